@@ -202,8 +202,9 @@ def get_or_create_dim(
         .select(name, version, F.col("__found").alias(dim_id))
         .unionByName(added.select(name, version, dim_id))
     )
-    cond = df[name].eqNullSafe(ids[name]) & df[version].eqNullSafe(ids[version])
-    linked = df.join(ids, cond, "left").select(*[df[c] for c in df.columns], ids[dim_id])
+    ids = ids.toDF("__name", "__version", dim_id)
+    cond = F.col(name).eqNullSafe(F.col("__name")) & F.col(version).eqNullSafe(F.col("__version"))
+    linked = df.join(ids, cond, "left").select(*df.columns, dim_id)
     return linked, added.select(dim_id, name, version)
 
 
