@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.urls import join_url
+from ..functions.urls import authority, join_url
 from ..operators import graph, merge
 from .base import derive, query
 
-# Two customers tables: the stored one lacks every third row, and the arriving
-# one has changed and new rows.
-STORED = "SELECT c_custkey, c_name, c_acctbal, c_mktsegment, c_nationkey FROM customer WHERE c_custkey % 3 <> 0"
+# Two customer tables: the stored one lacks low balances, and the arriving one
+# (all segments but one) has changed and new rows.
+STORED = "SELECT c_custkey, c_name, c_acctbal, c_mktsegment, c_nationkey FROM customer WHERE c_acctbal >= 2000"
 ARRIVING_SQL = """SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE concat(c_name, '!') END AS c_name,
  c_acctbal + 1 AS c_acctbal, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'NEW' END AS c_mktsegment, c_nationkey
- FROM customer WHERE c_custkey % 2 = 0"""
+ FROM customer WHERE c_mktsegment <> 'MACHINERY'"""
 ARRIVING = {
     "c_custkey": "c_custkey",
     "c_name": "CASE WHEN c_custkey % 4 = 0 THEN '' ELSE concat(c_name, '!') END",
@@ -25,11 +25,11 @@ ARRIVING = {
 
 def stored(t):
     cols = ("c_custkey", "c_name", "c_acctbal", "c_mktsegment", "c_nationkey")
-    return t.customer.filter("c_custkey % 3 <> 0").select(*cols)
+    return t.customer.filter("c_acctbal >= 2000").select(*cols)
 
 
 def arriving(t):
-    return derive(t.customer.filter("c_custkey % 2 = 0"), ARRIVING)
+    return derive(t.customer.filter("c_mktsegment <> 'MACHINERY'"), ARRIVING)
 
 
 def upsert_oracle(name, balance, segment, nation) -> str:
@@ -80,13 +80,13 @@ def upsert_counts(t):
 
 @query(
     "upsert_counter",
-    """WITH o AS (SELECT user_id, min(value) AS best, count(*) AS errors FROM events WHERE event_type = 'error' AND user_id % 2 = 0 GROUP BY 1),
+    """WITH o AS (SELECT user_id, min(value) AS best, count(*) AS errors FROM events WHERE event_type = 'error' AND value > 20 GROUP BY 1),
 n AS (SELECT user_id, count(*) AS more, arg_max(value, event_id) AS last FROM events WHERE event_type = 'error' GROUP BY 1)
 SELECT n.user_id, last AS best, coalesce(errors, 0) + more AS errors FROM n LEFT JOIN o USING (user_id)""",
 )
 def upsert_counter(t):
     errors = t.events.filter("event_type = 'error'")
-    old = errors.filter("user_id % 2 = 0").groupBy("user_id").agg(
+    old = errors.filter("value > 20").groupBy("user_id").agg(
         F.min("value").alias("best"), F.count("*").alias("errors")
     )
     fresh = errors.select("user_id", "event_id", F.col("value").alias("best"))
@@ -116,20 +116,20 @@ def duplicate_flag(t):
     return merge.duplicate_flag(fresh, stored(t), ["c_custkey", "c_name"])
 
 
-DOC_PART = "doc_id % 4 <> 0"
+LABELLED_DOCS = "doc_id IN (SELECT doc_id FROM labels)"
 NULL_LANG = "CASE WHEN doc_id % 6 = 0 THEN NULL ELSE lang END"
 
 
 @query(
     "exact_match_flag",
-    f"""WITH s AS (SELECT DISTINCT source, {NULL_LANG} AS lang, n_chars FROM documents WHERE {DOC_PART})
+    f"""WITH s AS (SELECT DISTINCT source, {NULL_LANG} AS lang, n_chars FROM documents WHERE {LABELLED_DOCS})
 SELECT doc_id, EXISTS (SELECT 1 FROM s WHERE s.source = d.source AND s.lang = d.lang AND s.n_chars = d.n_chars) AS strict_match,
  EXISTS (SELECT 1 FROM s WHERE s.source IS NOT DISTINCT FROM d.source AND s.lang IS NOT DISTINCT FROM d.lang AND s.n_chars IS NOT DISTINCT FROM d.n_chars) AS null_safe_match
 FROM (SELECT doc_id, source, {NULL_LANG} AS lang, n_chars FROM documents) d""",
 )
 def exact_match_flag(t):
     d = t.documents.selectExpr("doc_id", "source", f"{NULL_LANG} AS lang", "n_chars")
-    s = d.filter(DOC_PART).drop("doc_id")
+    s = d.join(t.labels, "doc_id", "left_semi").drop("doc_id")
     out = merge.exact_match_flag(d, s, name="strict_match")
     out = merge.exact_match_flag(out, s, null_safe=True, name="null_safe_match")
     return out.select("doc_id", "strict_match", "null_safe_match")
@@ -146,13 +146,13 @@ def exclude_seen(t):
 
 @query(
     "import_dedup",
-    """WITH n AS (SELECT DISTINCT text, source FROM documents WHERE doc_id % 2 = 0), s AS (SELECT DISTINCT text, source FROM documents WHERE doc_id % 2 = 1),
+    """WITH n AS (SELECT DISTINCT text, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)), s AS (SELECT DISTINCT text, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
 a AS (SELECT count(*) AS added FROM n WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.text = n.text AND s.source = n.source))
-SELECT added, (SELECT count(*) FROM documents WHERE doc_id % 2 = 0) - added AS skipped FROM a""",
+SELECT added, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) - added AS skipped FROM a""",
 )
 def import_dedup(t):
-    fresh = t.documents.filter("doc_id % 2 = 0")
-    old = t.documents.filter("doc_id % 2 = 1").select("text", "source")
+    fresh = t.documents.join(t.labels, "doc_id", "left_anti")
+    old = t.documents.join(t.labels, "doc_id", "left_semi").select("text", "source")
     added = merge.exclude_seen(fresh.dropDuplicates(["text", "source"]), old, ["text", "source"])
     total = fresh.agg(F.count("*")).scalar()
     return added.agg(F.count("*").alias("added")).withColumn("skipped", total - F.col("added"))
@@ -166,7 +166,7 @@ NEED = {"supp": "s_suppkey", "os_name": "CASE WHEN s_suppkey % 2 = 0 THEN 'BUILD
 
 @query(
     "get_or_create_dim",
-    f"""WITH dim AS (SELECT {DIM['os_id']} AS os_id, {DIM['os_name']} AS os_name, {DIM['version']} AS version FROM customer WHERE c_custkey < 200 OR c_custkey > 400),
+    f"""WITH dim AS (SELECT {DIM['os_id']} AS os_id, {DIM['os_name']} AS os_name, {DIM['version']} AS version FROM customer WHERE c_acctbal < 1000),
 need AS (SELECT {NEED['supp']} AS supp, {NEED['os_name']} AS os_name, {NEED['version']} AS version FROM supplier),
 w AS (SELECT DISTINCT os_name, version FROM need),
 m AS (SELECT w.os_name, w.version, min(dim.os_id) AS os_id FROM w LEFT JOIN dim ON dim.os_name = w.os_name AND (dim.version = w.version OR dim.version IS NULL) GROUP BY 1, 2),
@@ -175,7 +175,7 @@ u AS (SELECT * FROM m WHERE os_id IS NOT NULL UNION ALL SELECT * FROM f)
 SELECT supp, need.os_name, need.version, u.os_id FROM need LEFT JOIN u ON need.os_name IS NOT DISTINCT FROM u.os_name AND need.version IS NOT DISTINCT FROM u.version""",
 )
 def get_or_create_dim(t):
-    dim = derive(t.customer.filter("c_custkey < 200 or c_custkey > 400"), DIM)
+    dim = derive(t.customer.filter("c_acctbal < 1000"), DIM)
     return merge.get_or_create_dim(derive(t.supplier, NEED), dim, "os_name", "version", "os_id")[0]
 
 
@@ -228,7 +228,7 @@ def single_active(t):
 
 @query(
     "update_rows",
-    """SELECT c.c_custkey, CASE WHEN c.c_custkey % 2 = 0 AND c.c_custkey % 5 <> 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment, c_name FROM customer c""",
+    """SELECT c.c_custkey, CASE WHEN c_mktsegment <> 'MACHINERY' AND c.c_custkey % 5 <> 0 THEN 'NEW' ELSE c_mktsegment END AS c_mktsegment, c_name FROM customer c""",
 )
 def update_rows(t):
     base = t.customer.select("c_custkey", "c_mktsegment", "c_name")
@@ -278,11 +278,11 @@ def edges(t):
 @query(
     "expand_frontier",
     f"""WITH RECURSIVE {HREF_SQL},
-walk(url, depth) AS (SELECT min(url), 0 FROM pages UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.url WHERE w.depth < 6)
+walk(url, depth) AS (SELECT min(url), 0 FROM pages GROUP BY split_part(url, '/', 3) UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.url WHERE w.depth < 6)
 SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY url""",
 )
 def expand_frontier(t):
-    seeds = t.pages.agg(F.min("url").alias("url"))
+    seeds = t.pages.groupBy(authority("url").alias("host")).agg(F.min("url").alias("url"))
     return graph.expand_frontier(edges(t), seeds, 6)
 
 
@@ -324,7 +324,7 @@ def robots_verdict(t):
 
 @query(
     "history_change",
-    """WITH h AS (SELECT user_id AS url, arg_max(props, event_id) AS content_hash FROM events WHERE event_id % 2 = 0 AND user_id % 5 <> 0 GROUP BY 1)
+    """WITH h AS (SELECT user_id AS url, arg_max(props, event_id) AS content_hash FROM events WHERE event_type = 'click' AND value > 8 GROUP BY 1)
 SELECT event_id, CASE WHEN e.event_type = 'view' THEN 'not_modified' WHEN h.url IS NULL THEN 'new' WHEN h.content_hash = e.props THEN 'unchanged' ELSE 'changed' END AS change_type
 FROM events e LEFT JOIN h ON h.url = e.user_id""",
 )
@@ -333,7 +333,7 @@ def history_change(t):
         "event_id", F.col("user_id").alias("url"), F.col("props").alias("content_hash"),
         F.when(F.col("event_type") == "view", "304_not_modified").otherwise("200").alias("status"),
     )
-    old = t.events.filter("event_id % 2 = 0 and user_id % 5 <> 0").groupBy(F.col("user_id").alias("url")).agg(
+    old = t.events.filter("event_type = 'click' and value > 8").groupBy(F.col("user_id").alias("url")).agg(
         F.max_by("props", "event_id").alias("content_hash")
     )
     return graph.history_change(e, old).select("event_id", "change_type")
@@ -365,19 +365,19 @@ def containment_join(t):
 
 @query(
     "attach_page_id",
-    "SELECT page_id, url, substr(html, 1, 20) AS head FROM pages WHERE page_id % 3 = 0",
+    "SELECT page_id, url, substr(html, 1, 20) AS head FROM pages WHERE contains(url, '/en/')",
 )
 def attach_page_id(t):
-    rows = t.pages.filter("page_id % 3 = 0").select("url", F.substring("html", 1, 20).alias("head"))
+    rows = t.pages.filter(F.col("url").contains("/en/")).select("url", F.substring("html", 1, 20).alias("head"))
     return graph.attach_page_id(rows, t.pages)
 
 
 @query(
     "typed_enrichment",
-    "SELECT page_id, 'related' AS link_type, url || '#l' AS url, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS VARCHAR) AS description FROM pages WHERE page_id % 2 = 0",
+    "SELECT page_id, 'related' AS link_type, url || '#l' AS url, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS VARCHAR) AS description FROM pages WHERE contains(url, '/en/')",
 )
 def typed_enrichment(t):
-    kind = F.when(F.col("page_id") % 2 == 0, "related_links").otherwise("videos")
+    kind = F.when(F.col("url").contains("/en/"), "related_links").otherwise("videos")
     rows = t.pages.select(
         F.col("url").alias("page_url"), kind.alias("kind"), F.lit("related").alias("link_type"),
         F.concat("url", F.lit("#l")).alias("url"),

@@ -62,10 +62,10 @@ def queue_transition(t):
 
 @query(
     "force_recrawl",
-    f"""WITH {JOBS_CTE} SELECT id, CASE WHEN id % 6 = 0 THEN 'pending' ELSE status END AS status, id % 6 = 0 OR force_recrawl_flag AS force_recrawl_flag FROM j""",
+    f"""WITH {JOBS_CTE} SELECT id, CASE WHEN focus_score = 0.75 THEN 'pending' ELSE status END AS status, focus_score = 0.75 OR force_recrawl_flag AS force_recrawl_flag FROM j""",
 )
 def force_recrawl(t):
-    chosen = jobs(t).filter("id % 6 = 0").select("id")
+    chosen = jobs(t).filter("focus_score = 0.75").select("id")
     return q.force_recrawl(jobs(t), chosen)[0].select("id", "status", "force_recrawl_flag")
 
 

@@ -25,7 +25,7 @@ RULES = (
 
 @query(
     "apply_rules",
-    """WITH blocked AS (SELECT DISTINCT source FROM documents WHERE doc_id < 0 OR source = 'src7'),
+    """WITH blocked AS (SELECT DISTINCT source FROM documents WHERE source = 'src7'),
 stored AS (SELECT DISTINCT lang, source, n_chars FROM documents WHERE n_chars < 100),
 v AS (SELECT doc_id, CASE WHEN lower(lang) IN ('de', 'it') THEN 2
  WHEN text <> '' AND length(text) < 60 THEN 1
@@ -176,6 +176,7 @@ def import_rules(t):
 
 ITEMS = {
     "item_id": "event_id",
+    "value": "value",
     "specific_source_url": "CASE WHEN event_id % 13 = 0 THEN '' ELSE concat('http://v/', CAST(user_id AS VARCHAR(20))) END",
     "title": "CASE WHEN event_id % 5 = 0 THEN NULL ELSE concat('About ', event_type, ' things') END",
     "description_snippet": "CASE WHEN event_id % 3 = 0 THEN concat('a ', upper(event_type)) ELSE 'views of clicks' END",
@@ -189,7 +190,7 @@ ITEMS = {
 @query(
     "route_enrichment",
     f"""WITH {cte("d", "events", ITEMS)},
-k AS (SELECT DISTINCT specific_source_url FROM d WHERE item_id % 97 = 5 AND specific_source_url <> '')
+k AS (SELECT DISTINCT specific_source_url FROM d WHERE value > 95 AND specific_source_url <> '')
 SELECT item_id, CASE WHEN coalesce(specific_source_url, '') = '' THEN 'invalid_schema'
  WHEN specific_source_url IN (SELECT * FROM k) THEN 'duplicate'
  WHEN language <> 'en' THEN 'non_english'
@@ -198,7 +199,7 @@ SELECT item_id, CASE WHEN coalesce(specific_source_url, '') = '' THEN 'invalid_s
 )
 def route_enrichment(t):
     d = derive(t.events, ITEMS)
-    known = d.filter("item_id % 97 = 5 and specific_source_url <> ''").select("specific_source_url")
+    known = d.filter("value > 95 and specific_source_url <> ''").select("specific_source_url")
     return filters.route_enrichment(d, known, language="language").select("item_id", "outcome")
 
 
