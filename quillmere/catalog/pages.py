@@ -24,9 +24,19 @@ def extract_page_fields(t):
     return p.extract_page(t.pages, profile)
 
 
-@query("extract_sections")
+@query(
+    "extract_sections",
+    """SELECT page_id, url AS source, 'Part ' || page_id AS title, 'about ' || url || ' more' AS content FROM pages
+UNION ALL SELECT page_id, url, 'Next', 'end' FROM pages""",
+)
 def extract_sections(t):
-    return p.extract_sections(t.pages)
+    """Each page with two headed parts put before its article."""
+    parts = F.format_string(
+        "<section><h2> Part %s</h2>about %s <p> more</p><p>a<b>c</b></p><h3>Next</h3><i>end</i></section><article>",
+        F.col("page_id").cast("string"), F.replace("url", F.lit("&"), F.lit("&amp;")),
+    )
+    marked = t.pages.withColumn("html", F.replace("html", F.lit("<article>"), parts))
+    return p.extract_sections(marked).select("page_id", "source", "title", "content")
 
 
 CVE_TEXT = {
@@ -64,9 +74,9 @@ def extract_cves(t):
 )
 def extract_best_practices(t):
     box = F.format_string(
-        '<div class="x Best-Practice-box"><h3> Rule %s</h3> keep %s </div></body>', F.col("page_id").cast("string"), F.col("url")
+        '<div class="x Best-Practice-box"><h3> Rule %s</h3> keep %s </div>', F.col("page_id").cast("string"), F.col("url")
     )
-    marked = t.pages.withColumn("html", F.replace("html", F.lit("</body>"), box))
+    marked = t.pages.withColumn("html", F.replace("html", F.lit("<article>"), F.concat(box, F.lit("<article>"))))
     return p.extract_blocks(marked, "best_practice").select("page_id", "source", "title", "content")
 
 
@@ -76,10 +86,10 @@ def extract_best_practices(t):
 )
 def extract_port_rows(t):
     table = F.format_string(
-        "<table><tr><th>Port</th><th>S</th></tr><tr><td> %s </td><td>svc</td><td>x</td></tr><tr><td>any</td><td>y</td></tr></table></body>",
+        "<table><tr><th>Port</th><th>S</th></tr><tr><td> %s </td><td>svc</td><td>x</td></tr><tr><td>any</td><td>y</td></tr></table>",
         (F.col("page_id") % 1000).cast("string"),
     )
-    marked = t.pages.withColumn("html", F.replace("html", F.lit("</body>"), table))
+    marked = t.pages.withColumn("html", F.replace("html", F.lit("<article>"), F.concat(table, F.lit("<article>"))))
     out = p.extract_blocks(marked, "port_info").select("page_id", "title", "content")
     return out.withColumn("content", F.regexp_replace("content", r"\s+", ""))
 

@@ -8,11 +8,12 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..runtime import spread_small
 from .fields import WHITESPACE, strip
 
-NODES = (
-    "array<struct<i:int,last:int,parent:int,tag:string,"
-    "attrs:map<string,string>,text:string,string:string>>"
+PAGE = (
+    "struct<prose:string,nodes:array<struct<i:int,last:int,parent:int,tag:string,"
+    "attrs:map<string,string>,start:int,stop:int,string:string>>>"
 )
 # Elements that never have content, and those whose text is not prose.
 VOID = frozenset(
@@ -23,18 +24,25 @@ HEADINGS = ("h1", "h2", "h3", "h4")
 
 
 class _Flat(HTMLParser):
-    """Pre-order nodes with the index of each node's last descendant."""
+    """Pre-order nodes, each with its last descendant and its span of the prose.
+
+    The prose is all text of the page in order, so the text below any node is
+    one slice of it.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.nodes: list[dict] = []
         self.open: list[int] = []
+        self.prose: list[str] = []
+        self.length = 0
 
-    def _add(self, tag: str, attrs: dict, text: str | None) -> int:
-        i = len(self.nodes)
+    def _add(self, tag: str, attrs: dict, string: str | None) -> int:
+        i, at = len(self.nodes), self.length
         parent = self.open[-1] if self.open else -1
         self.nodes.append(
-            {"i": i, "last": i, "parent": parent, "tag": tag, "attrs": attrs, "text": text, "string": text}
+            {"i": i, "last": i, "parent": parent, "tag": tag, "attrs": attrs,
+             "start": at, "stop": at, "string": string}
         )
         return i
 
@@ -53,13 +61,18 @@ class _Flat(HTMLParser):
 
     def handle_data(self, data):
         silent = self.open and self.nodes[self.open[-1]]["tag"] in SILENT
-        self._add("#raw" if silent else "#text", {}, data)
+        i = self._add("#raw" if silent else "#text", {}, data)
+        if not silent:
+            self.prose.append(data)
+            self.length += len(data)
+            self.nodes[i]["stop"] = self.length
 
     def _close_to(self, depth: int) -> None:
         while len(self.open) > depth:
-            self.nodes[self.open.pop()]["last"] = len(self.nodes) - 1
+            node = self.nodes[self.open.pop()]
+            node["last"], node["stop"] = len(self.nodes) - 1, self.length
 
-    def done(self) -> list[dict]:
+    def done(self) -> dict:
         self.close()
         self._close_to(0)
         kids: dict[int, list[int]] = {}
@@ -69,35 +82,40 @@ class _Flat(HTMLParser):
             own = kids.get(n["i"], ())
             if len(own) == 1:
                 n["string"] = self.nodes[own[0]]["string"]
-        return self.nodes
+        return {"prose": "".join(self.prose), "nodes": self.nodes}
 
 
-def _flatten(html: str | None) -> list[dict]:
+def _flatten(html: str | None) -> dict:
     parser = _Flat()
     parser.feed(html or "")
     return parser.done()
 
 
-def with_nodes(df: DataFrame, html: str = "html", name: str = "nodes") -> DataFrame:
-    """Adds the node list of each page; the one step that runs in Python."""
+def with_nodes(df: DataFrame, html: str = "html") -> DataFrame:
+    """Adds ``prose`` and ``nodes`` of each page; the one step that runs in Python."""
 
-    @F.pandas_udf(NODES)
-    def parse(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(PAGE)
+    def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            yield s.map(_flatten)
+            yield pd.DataFrame([_flatten(h) for h in s], columns=["prose", "nodes"])
+
+    return spread_small(df).withColumn("__page", parse(html)).select(
+        *df.columns, F.col("__page.prose").alias("prose"), F.col("__page.nodes").alias("nodes")
+    )
+
 
-    return df.withColumn(name, parse(html))
+def text_of(node: Column) -> Column:
+    """All prose below a node."""
+    return F.substring(F.col("prose"), node["start"] + 1, node["stop"] - node["start"])
 
 
-def text_of(nodes: Column, node: Column, sep: str = "", strip_parts: bool = False) -> Column:
-    """All prose text below a node."""
-    parts = F.transform(
-        F.filter(
-            nodes, lambda n: (n["tag"] == "#text") & (n["i"] >= node["i"]) & (n["i"] <= node["last"])
-        ),
-        lambda n: strip(n["text"]) if strip_parts else n["text"],
+def tight_text_of(node: Column) -> Column:
+    """The stripped pieces of prose below a node, joined without gaps."""
+    parts = F.filter(
+        F.col("nodes"),
+        lambda n: (n["tag"] == "#text") & (n["i"] >= node["i"]) & (n["i"] <= node["last"]),
     )
-    return F.array_join(F.filter(parts, lambda t: t != "") if strip_parts else parts, sep)
+    return F.array_join(F.transform(parts, lambda n: strip(n["string"])), "")
 
 
 def elements(nodes: Column, *tags: str) -> Column:

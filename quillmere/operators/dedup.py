@@ -11,13 +11,12 @@ member only, which never lists the pairs inside the crowd.
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fields import WHITESPACE, truthy
-from ..runtime import cut_lineage
+from ..runtime import cut_lineage, spread_small
 
 BITS = 64
 MAX_DISTANCE = 6  # similarity 0.90 of 64 bits
@@ -37,24 +36,20 @@ def simhash(df: DataFrame, id_col: str, text_col: str, name: str = "simhash") ->
     tokens = F.filter(
         F.split(F.lower(F.col(text_col)), "[" + WHITESPACE + "]+"), lambda t: t != ""
     )
-    hashed = df.select(id_col, F.explode_outer(tokens).alias("t")).select(
+    hashed = spread_small(df.select(id_col, text_col)).select(id_col, F.explode_outer(tokens).alias("t")).select(
         id_col,
         F.conv(F.substring(F.md5(F.col("t").cast("binary")), 17, 16), 16, -10)
         .cast("bigint")
         .alias("h"),
     )
-    lanes = [
-        F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(_LANE))).alias(f"l{i}")
-        for i in range(32)
-    ]
+    lanes = [F.expr(f"sum(shiftrightunsigned(h, {i}) & {_LANE}L)").alias(f"l{i}") for i in range(32)]
     votes = hashed.groupBy(id_col).agg(F.count("h").alias("n"), *lanes)
 
-    def bit(i: int) -> Column:
-        lane = F.coalesce(f"l{i % 32}", F.lit(0))
-        ones = lane.bitwiseAND(F.lit(_LOW)) if i < 32 else F.shiftrightunsigned(lane, 32)
-        return F.when(ones * 2 >= F.col("n"), F.lit(_signed(1 << i))).otherwise(F.lit(0))
+    def bit(i: int) -> str:
+        ones = f"(l{i % 32} & {_LOW}L)" if i < 32 else f"shiftrightunsigned(l{i % 32}, 32)"
+        return f"if(coalesce({ones}, 0) * 2 >= n, shiftleft(1L, {i}), 0L)"
 
-    packed = reduce(lambda a, b: a.bitwiseOR(b), [bit(i).cast("bigint") for i in range(BITS)])
+    packed = F.expr(" | ".join(bit(i) for i in range(BITS)))
     return votes.select(id_col, packed.alias(name))
 
 
@@ -95,10 +90,20 @@ def choose_blocks(n: int, max_dist: int = MAX_DISTANCE) -> int:
     return best
 
 
+def _bigints(values) -> Column:
+    """Constant (nested) array; as text, since thousands of literals are slow to send."""
+
+    def text(v) -> str:
+        if isinstance(v, tuple | list):
+            return f"array({', '.join(text(x) for x in v)})"
+        return f"cast('{_signed(v)}' as bigint)" if _signed(v) == -(1 << 63) else f"{_signed(v)}L"
+
+    return F.expr(text(values))
+
+
 def _with_keys(df: DataFrame, masks: tuple[int, ...], h: str) -> DataFrame:
     """One row per mask: (columns..., key) where key holds mask number and bits."""
-    entries = F.array(*[F.lit(_signed(m)) for m in masks])
-    return df.select("*", F.posexplode(entries).alias("mask_no", "mask")).withColumn(
+    return df.select("*", F.posexplode(_bigints(masks)).alias("mask_no", "mask")).withColumn(
         "band", F.col(h).bitwiseAND(F.col("mask"))
     )
 
@@ -110,36 +115,39 @@ def _crowded(keyed: DataFrame, keys: list[str], limit: int) -> DataFrame:
 
 def _refined(crowd: DataFrame, masks: tuple[int, ...], max_dist: int, h: str) -> DataFrame:
     """Second-level keys of the members of crowded keys."""
-    per_mask = [
-        F.array(*[F.lit(_signed(s)) for s in band_masks(max_dist, max_dist + 2, ~m & (1 << 64) - 1)])
-        for m in masks
-    ]
+    per_mask = [band_masks(max_dist, max_dist + 2, ~m & (1 << 64) - 1) for m in masks]
     return crowd.select(
-        "*", F.posexplode(F.element_at(F.array(*per_mask), F.col("mask_no") + 1)).alias("sub_no", "sub")
+        "*", F.posexplode(F.element_at(_bigints(per_mask), F.col("mask_no") + 1)).alias("sub_no", "sub")
     ).withColumn("sub_band", F.col(h).bitwiseAND(F.col("sub")))
 
 
-def _cells(nodes: DataFrame, max_dist: int, blocks: int, crowd: int, h: str) -> tuple[DataFrame, DataFrame]:
-    """(loose, dense): rows (node, cell) of small cells and of crowded ones.
+def _cells(
+    nodes: DataFrame, max_dist: int, blocks: int, crowd: int, h: str
+) -> tuple[DataFrame, DataFrame | None]:
+    """(loose, dense): rows (node, cell) of small cells and of crowded ones, if any.
 
     Two values within ``max_dist`` share at least one cell in one of the two.
     """
     masks = band_masks(max_dist, blocks)
     keyed = _with_keys(nodes, masks, h)
-    big = _crowded(keyed, ["mask_no", "band"], crowd).select("mask_no", "band")
-    first = keyed.join(big, ["mask_no", "band"], "left_anti")
-    second = _refined(keyed.join(big, ["mask_no", "band"], "left_semi"), masks, max_dist, h)
-    cell2 = ["mask_no", "band", "sub_no", "sub_band"]
-    huge = _crowded(second, cell2, crowd).select(*cell2)
+    key = ["mask_no", "band"]
+    cell2 = [*key, "sub_no", "sub_band"]
     base = nodes.columns
     one = F.struct(
-        "mask_no", "band", F.lit(-1).alias("sub_no"), F.lit(0).cast("bigint").alias("sub_band")
-    )
-    loose = first.select(*base, one.alias("cell")).unionByName(
-        second.join(huge, cell2, "left_anti").select(*base, F.struct(*cell2).alias("cell"))
-    )
-    dense = second.join(huge, cell2, "left_semi").select(*base, F.struct(*cell2).alias("cell"))
-    return loose, dense
+        *key, F.lit(-1).alias("sub_no"), F.lit(0).cast("bigint").alias("sub_band")
+    ).alias("cell")
+    big = cut_lineage(_crowded(keyed, key, crowd).select(*key))
+    if big.isEmpty():
+        return keyed.select(*base, one), None
+    second = _refined(keyed.join(big, key, "left_semi"), masks, max_dist, h)
+    second = cut_lineage(second.select(*base, *cell2))
+    huge = cut_lineage(_crowded(second, cell2, crowd).select(*cell2))
+    two = F.struct(*cell2).alias("cell")
+    first = keyed.join(big, key, "left_anti").select(*base, one)
+    loose = first.unionByName(second.join(huge, cell2, "left_anti").select(*base, two))
+    if huge.isEmpty():
+        return loose, None
+    return loose, cut_lineage(second.join(huge, cell2, "left_semi").select(*base, two))
 
 
 def _kept_scan(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -198,18 +206,17 @@ def greedy_kept(
     """Kept rows of ``nodes(ord, h)``: those with no earlier kept row in reach.
 
     Gives what a loop over ``ord`` that keeps or drops each row would give.
-    ``h`` must be distinct.
+    ``h`` must be distinct, and ``nodes`` cheap to read again (a written table).
     """
-    open_ = cut_lineage(nodes.select("ord", "h"))
+    open_ = nodes.select("ord", "h")
     kept = nodes.sparkSession.createDataFrame([], "ord bigint, h bigint")
     while True:
         n = open_.count()
         if n == 0:
             return kept
         loose, dense = _cells(open_, max_dist, blocks or choose_blocks(n, max_dist), crowd, "h")
-        dense = cut_lineage(dense)
         edges = _pairs_in(loose, max_dist)
-        if dense.isEmpty():
+        if dense is None:
             state = open_.withColumn("blocked", F.lit(False))
             edges = cut_lineage(edges)
             won, _ = _kept_scan(state, edges)
@@ -248,32 +255,29 @@ def hamming_pairs(
     Equal fingerprints are folded on both sides first, so copies are compared
     once.  Keys that are crowded on the left are refined before the join.
     """
-    lh = left.select(F.col(h).alias("h")).distinct()
-    rh = right.select(F.col(h).alias("g")).distinct()
+    left = cut_lineage(left.select(left_id, F.col(h).alias("h")))
+    right = cut_lineage(right.select(right_id, F.col(h).alias("g")))
+    lh, rh = left.select("h").distinct(), right.select("g").distinct()
     m = blocks or choose_blocks(lh.count(), max_dist)
     masks = band_masks(max_dist, m)
     lk, rk = _with_keys(lh, masks, "h"), _with_keys(rh, masks, "g")
     key = ["mask_no", "band"]
-    big = _crowded(lk, key, crowd).select(*key)
-    small = (
-        lk.join(big, key, "left_anti").select(*key, "h").join(rk.select(*key, "g"), key)
-    )
+    big = cut_lineage(_crowded(lk, key, crowd).select(*key))
+    crowded = not big.isEmpty()
+    loose = lk.join(big, key, "left_anti") if crowded else lk
+    small = loose.select(*key, "h").join(rk.select(*key, "g"), key)
     sub = ["mask_no", "band", "sub_no", "sub_band"]
-    lr = _refined(lk.join(big, key, "left_semi"), masks, max_dist, "h").select(*sub, "h")
-    rr = _refined(rk.join(big, key, "left_semi"), masks, max_dist, "g").select(*sub, "g")
+    met = small.select("h", "g")
+    if crowded:
+        lr = _refined(lk.join(big, key, "left_semi"), masks, max_dist, "h").select(*sub, "h")
+        rr = _refined(rk.join(big, key, "left_semi"), masks, max_dist, "g").select(*sub, "g")
+        met = met.unionByName(lr.join(rr, sub).select("h", "g"))
     near = (
-        small.select("h", "g")
-        .unionByName(lr.join(rr, sub).select("h", "g"))
-        .withColumn("distance", hamming("h", "g"))
+        met.withColumn("distance", hamming("h", "g"))
         .filter(F.col("distance") <= max_dist)
         .distinct()
     )
-    return (
-        left.select(F.col(left_id), F.col(h).alias("h"))
-        .join(near, "h")
-        .join(right.select(F.col(right_id), F.col(h).alias("g")), "g")
-        .select(left_id, right_id, "distance")
-    )
+    return left.join(near, "h").join(right, "g").select(left_id, right_id, "distance")
 
 
 def near_dups(

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fields import content_hash, strip, truthy
-from ..functions.html import HEADINGS, attr, elements, first, has_class, text_of, with_nodes
+from ..functions.html import HEADINGS, attr, elements, first, has_class, text_of, tight_text_of, with_nodes
 from ..functions.urls import follow_link, join_url
 
 __all__ = ["content_hash"]
@@ -41,18 +41,18 @@ def extract_page(df: DataFrame, profile: PageProfile = PageProfile()) -> DataFra
     """(page_id, url, title, description, version, license, source_code_url)."""
     n = F.col("nodes")
     page = with_nodes(df)
-    text = lambda e: strip(text_of(n, e))
+    text = lambda e: strip(text_of(e))
     title = strip(first(elements(n, "title"))["string"])
     metas = F.filter(elements(n, "meta"), lambda m: attr(m, "name") == "description")
     h1, p = first(elements(n, "h1")), first(elements(n, "p"))
     description = F.coalesce(
         F.nullif(strip(attr(first(metas), "content")), F.lit("")),
-        F.when(truthy(text_of(n, h1)), text(h1)),
-        F.when(h1.isNull() | ~truthy(text_of(n, h1)), F.nullif(text(p), F.lit(""))),
+        F.when(truthy(text_of(h1)), text(h1)),
+        F.when(h1.isNull() | ~truthy(text_of(h1)), F.nullif(text(p), F.lit(""))),
         F.lit(profile.default_description),
     )
     named = F.filter(
-        F.transform(elements(n, "b", "strong", "p"), lambda e: text_of(n, e)),
+        F.transform(elements(n, "b", "strong", "p"), lambda e: text_of(e)),
         lambda t: F.lower(t).contains("version") & F.lower(t).contains(profile.product.lower()),
     )
     pattern = rf"(?U){profile.product}[\s\w\-]*([0-9]+\.[0-9]+(\.[0-9]+)?)"
@@ -63,10 +63,10 @@ def extract_page(df: DataFrame, profile: PageProfile = PageProfile()) -> DataFra
     licensed = F.filter(
         links,
         lambda a: F.lower(attr(a, "href")).contains("license")
-        | F.lower(text_of(n, a)).contains("license"),
+        | F.lower(text_of(a)).contains("license"),
     )
     mentions = F.filter(
-        elements(n, "p", "li", "a"), lambda e: F.lower(text_of(n, e)).contains("license")
+        elements(n, "p", "li", "a"), lambda e: F.lower(text_of(e)).contains("license")
     )
     license_ = F.coalesce(
         F.nullif(text(first(licensed)), F.lit("")), text(first(mentions))
@@ -114,7 +114,7 @@ def extract_sections(df: DataFrame) -> DataFrame:
             later, lambda x: (stop.isNull() | (x["i"] < stop)) & F.coalesce(x["string"] != "", F.lit(False))
         )
         return F.struct(
-            strip(text_of(n, h)).alias("title"),
+            strip(text_of(h)).alias("title"),
             F.array_join(F.transform(own, lambda x: strip(x["string"])), " ").alias("content"),
             F.size(own).alias("parts"),
         )
@@ -141,7 +141,7 @@ def extract_cves(df: DataFrame) -> DataFrame:
     """Vulnerability rows from the stripped text nodes of pages."""
     page = with_nodes(df)
     texts = F.filter(
-        F.transform(elements(F.col("nodes"), "#text"), lambda x: strip(x["text"])), lambda t: t != ""
+        F.transform(elements(F.col("nodes"), "#text"), lambda x: strip(x["string"])), lambda t: t != ""
     )
     rows = cve_rows(page, texts, ["page_id", "url"])
     return rows.select(
@@ -156,7 +156,7 @@ def extract_blocks(df: DataFrame, kind: str) -> DataFrame:
     inside = lambda outer, *tags: F.filter(
         elements(n, *tags), lambda x: (x["i"] > outer["i"]) & (x["i"] <= outer["last"])
     )
-    text = lambda e: strip(text_of(n, e))
+    text = lambda e: strip(text_of(e))
     if kind == "best_practice":
         boxes = F.filter(
             elements(n, "div", "section"),
@@ -204,13 +204,13 @@ def extract_blocks(df: DataFrame, kind: str) -> DataFrame:
 def extract_tool_page(df: DataFrame) -> DataFrame:
     """Tool pages with a name and a description; others are skipped."""
     n, page = F.col("nodes"), with_nodes(df)
-    tight = lambda e: text_of(n, e, strip_parts=True)
+    tight = lambda e: tight_text_of(e)
     described = first(F.filter(elements(n, "div"), lambda d: has_class(d, "tool-description")))
     examples = F.filter(
         F.transform(elements(n, "pre"), tight), lambda t: (t != "") & (F.length(t) < MAX_EXAMPLE)
     )
     options = F.filter(
-        F.transform(elements(n, "code"), lambda e: text_of(n, e)),
+        F.transform(elements(n, "code"), lambda e: text_of(e)),
         lambda t: t.rlike(f"(?U){OPTION_PATTERN}"),
     )
     return page.select(

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.fields import truthy
+from ..runtime import spread_small
 
 # The eight sums, in bucket order.
 PILLARS = (
@@ -149,6 +150,7 @@ def _project(df: DataFrame, dictionary: DataFrame, vec: str, k: int | None, limi
     """
     n, dim = _dictionary_shape(dictionary)
     vectors = df.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col(vec).alias("v"))
+    vectors = spread_small(vectors)
     if n * dim * 8 <= limit:
         table = dictionary.select("feature_id", "weights", "bias").toArrow()
         ids = table["feature_id"].to_numpy()
@@ -180,7 +182,7 @@ def _project(df: DataFrame, dictionary: DataFrame, vec: str, k: int | None, limi
     right = dictionary.select(
         F.pmod(F.xxhash64("feature_id"), F.lit(n_blocks)).cast("int").alias("block"),
         "feature_id", "weights", "bias",
-        F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).cast("bigint").alias("slice"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint"))).alias("slice"),
     )
 
     def cell(a: pa.Table, d: pa.Table) -> pa.Table:

@@ -57,12 +57,30 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint; survives executor loss, unlike a local one."""
+def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Write ``df`` to the shared folder and go on from the written table.
+
+    Survives executor loss, runs the plan once, and lets the planner see the
+    real size, so that small sides are broadcast by measurement.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+SMALL_PER_CORE = 32 << 20
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Give every core a share of an input too small to be read in parallel.
+
+    A small file is one task however costly each row is.  The planner's own size
+    estimate decides, so a large input is left as it was read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SMALL_PER_CORE else df
 
 
 def global_row_number(
