@@ -41,7 +41,10 @@ def train_binary(
         VectorAssembler(inputCols=list(features), outputCol="raw"),
         StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True),
     ]
-    common = {"featuresCol": "features", "labelCol": label}
+    common = {
+        "featuresCol": "features", "labelCol": label, "probabilityCol": "p_vector",
+        "rawPredictionCol": "p_raw", "predictionCol": "p_class",
+    }
     if hidden is None:
         stages.append(LogisticRegression(maxIter=max_iter, **common))
     else:
@@ -54,7 +57,7 @@ def train_binary(
 
 def with_probability(df: DataFrame, model: Transformer, name: str = "p") -> DataFrame:
     scored = model.transform(df)
-    return scored.withColumn(name, vector_to_array("probability")[1]).select(*df.columns, name)
+    return scored.withColumn(name, vector_to_array("p_vector")[1]).select(*df.columns, name)
 
 
 def text_label_index(df: DataFrame, label: str, order: str) -> DataFrame:

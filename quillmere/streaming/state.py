@@ -128,11 +128,12 @@ def dedup_within_batch(df: DataFrame, keys: list[str], ts: str, seq: str) -> Dat
 class _TtlCache(StatefulProcessor):
     """Last fetched value per key, forgotten after a time to live."""
 
-    def __init__(self, ttl_ms: int) -> None:
-        self.ttl_ms = ttl_ms
+    def __init__(self, ttl_ms: int, forget: bool) -> None:
+        self.ttl_ms, self.forget = ttl_ms, forget
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.value = handle.getValueState("value", "value string, at timestamp", self.ttl_ms)
+        ttl = self.ttl_ms if self.forget else None
+        self.value = handle.getValueState("value", "value string, at timestamp", ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
@@ -150,8 +151,12 @@ class _TtlCache(StatefulProcessor):
         pass
 
 
-def ttl_cache(stream: DataFrame, key: str, value: str, ts: str, seq: str, ttl_seconds: int) -> DataFrame:
-    """Serve the cached value of a key until it is older than the time to live."""
+def ttl_cache(stream: DataFrame, key: str, value: str, ts: str, seq: str, ttl_seconds: int, forget: bool = False) -> DataFrame:
+    """Serve the cached value of a key until it is older than the time to live.
+
+    Age is told by the rows' own times.  ``forget`` also drops idle keys from the
+    state by the clock, which suits a query that never ends.
+    """
     rows = stream.select(
         F.col(key).cast("string").alias("key"),
         F.col(seq).cast("bigint").alias("seq"),
@@ -159,8 +164,8 @@ def ttl_cache(stream: DataFrame, key: str, value: str, ts: str, seq: str, ttl_se
         F.col(value).cast("string").alias("value"),
     )
     return rows.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=_TtlCache(ttl_seconds * 1000),
+        statefulProcessor=_TtlCache(ttl_seconds * 1000, forget),
         outputStructType="key string, seq bigint, value string, hit boolean",
         outputMode="append",
-        timeMode="ProcessingTime",
+        timeMode="ProcessingTime" if forget else "none",
     )
