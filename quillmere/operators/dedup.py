@@ -20,7 +20,7 @@ from ..runtime import cut_lineage, spread_small
 
 BITS = 64
 MAX_DISTANCE = 6  # similarity 0.90 of 64 bits
-CROWD = 128  # members above which a key is refined
+CROWD = 2048  # members above which a key is refined
 
 # Pairs of lanes: a 64-bit sum carries the counts of bit i and of bit i + 32.
 _LANE = 0x0000000100000001

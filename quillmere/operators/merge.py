@@ -113,7 +113,8 @@ def upsert(
     keys = [key] if isinstance(key, str) else list(key)
     values = [c for c in target.columns if c not in keys]
     rules = {c: policy if isinstance(policy, str) else policy.get(c, "overwrite") for c in values}
-    unknown = set(rules.values()) - set(POLICIES)
+    asked = {policy} if isinstance(policy, str) else set(policy.values())
+    unknown = asked - set(POLICIES)
     if unknown:
         raise ValueError(f"unknown merge policy: {sorted(unknown)}")
     in_source = [c for c in values if c in source.columns]

@@ -64,7 +64,11 @@ def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
         .option("columnNameOfCorruptRecord", bad)
         .json(path)
     )
-    return raw.filter(F.col(bad).isNull()).drop(bad)
+    columns = [c for c in raw.columns if c != bad]
+    readable = F.col(bad).isNull()
+    for c in columns:  # a record with one odd value still counts
+        readable = readable | F.col(c).isNotNull()
+    return raw.filter(readable).select(*columns)
 
 
 def read_json_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -223,7 +227,7 @@ def read_project_tree(spark: SparkSession, root: str, max_bytes: int = MAX_FILE_
     text = F.when(
         F.col("length") > max_bytes,
         F.concat(F.lit("[File too large: "), F.col("length").cast("string"), F.lit(" bytes]")),
-    ).otherwise(F.decode("content", F.lit("UTF-8")))
+    ).otherwise(F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit("")))
     return listed.filter(F.col("w") & ~F.col("s")).select("path", "file", "length", text.alias("content"))
 
 
