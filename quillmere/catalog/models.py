@@ -83,7 +83,11 @@ def score_and_gate_rows(t):
     return m.score_and_gate(p).select("event_id", "verdict", F.round("confidence", 8).alias("confidence"))
 
 
-@query("review_sample")
+@query(
+    "review_sample",
+    """WITH p AS (SELECT event_id, least(value, 100.0) / 100.0 AS p FROM events)
+SELECT event_id, 'review' AS gate FROM p WHERE p < 0.7 AND p > 1 - 0.7::DOUBLE ORDER BY abs(p - 0.5), event_id LIMIT 100""",
+)
 def review_sample(t):
     p = t.events.select("event_id", (F.least("value", F.lit(100.0)) / 100.0).alias("p"))
     return m.review_sample(m.humility_gate(p, 0.7), 100, "event_id").select("event_id", "gate")

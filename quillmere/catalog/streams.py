@@ -15,10 +15,17 @@ from .queues import FETCHES, GATE_SQL
 
 def drain(t, stream, label: str):
     """Run a stream to its end into a table of the shared folder and read that."""
-    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+    conf = t.spark.conf
+    conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     root = scratch_path(t.spark, label)
     schema = stream.schema
-    sinks.run_resumable(stream, f"{root}/checkpoint", f"{root}/out").awaitTermination()
+    # State partitions are fixed for a stream's life: no more than two per core.
+    usual = conf.get("spark.sql.shuffle.partitions")
+    conf.set("spark.sql.shuffle.partitions", min(int(usual), 2 * t.spark.sparkContext.defaultParallelism))
+    try:
+        sinks.run_resumable(stream, f"{root}/checkpoint", f"{root}/out").awaitTermination()
+    finally:
+        conf.set("spark.sql.shuffle.partitions", usual)
     return t.spark.read.schema(schema).parquet(f"{root}/out")
 
 
@@ -138,7 +145,7 @@ PART_JSON = "p_partkey bigint, p_name string, p_brand string, p_type string, p_s
 def json_table(t):
     path = scratch_path(t.spark, "json")
     io.write_table(t.part, path, "json")
-    return io.read_json_table(t.spark, path, PART_JSON)
+    return io.read_json_table(t.spark, path, PART_JSON, lines=True)
 
 
 @query("jsonl_append", "SELECT * FROM part UNION ALL SELECT * FROM part")

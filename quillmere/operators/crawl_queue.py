@@ -130,23 +130,15 @@ def error_streaks(
     local = base.withColumn("__island", F.sum("__ok").over(order))
     inside = Window.partitionBy(key, "__chunk", "__island").orderBy(ts, tie)
     local = local.withColumn("__run", F.sum(1 - F.col("__ok")).over(inside))
-    chunks = base.groupBy(key, "__chunk").agg(
-        F.sum("__ok").alias("oks"),
-        F.max(F.when(F.col("__ok") == 1, F.struct(ts, tie))).alias("last_ok"),
-    )
-    tail = (
-        base.filter("__ok = 0")
-        .join(chunks, [key, "__chunk"])
-        .filter(F.col("last_ok").isNull() | (F.struct(ts, tie) > F.col("last_ok")))
-        .groupBy(key, "__chunk")
-        .agg(F.count("*").alias("tail"))
+    # Same partitioning as the windows above, so this needs no further shuffle.
+    at_end = F.when(F.col("__ok") == 1, 0).otherwise(F.col("__run"))
+    chunks = local.groupBy(key, "__chunk").agg(
+        F.max("__ok").alias("reset"), F.max_by(at_end, F.struct(ts, tie)).alias("tail")
     )
     by_time = Window.partitionBy(key).orderBy("__chunk")
-    summary = chunks.join(tail, [key, "__chunk"], "left").withColumn(
-        "__resets", F.sum((F.col("oks") > 0).cast("int")).over(by_time)
-    )
+    summary = chunks.withColumn("__resets", F.sum("reset").over(by_time))
     running = Window.partitionBy(key, "__resets").orderBy("__chunk")
-    summary = summary.withColumn("__state", F.sum(F.coalesce("tail", F.lit(0))).over(running))
+    summary = summary.withColumn("__state", F.sum("tail").over(running))
     carried = summary.select(
         key, "__chunk", F.coalesce(F.lag("__state").over(by_time), F.lit(0)).alias("__carry")
     )

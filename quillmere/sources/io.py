@@ -54,12 +54,12 @@ def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON arrays or objects, whole files; unreadable files give no rows."""
+def _json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """JSON arrays or objects (whole files) or one object per line; what is unreadable gives no rows."""
     bad = "_unreadable"
     raw = (
         spark.read.schema(f"{schema}, {bad} string")
-        .option("multiLine", True)
+        .option("multiLine", not lines)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", bad)
         .json(path)
@@ -71,9 +71,13 @@ def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return raw.filter(readable).select(*columns)
 
 
-def read_json_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A flat-file table; a missing or unreadable file is an empty table."""
-    return _json(spark, path, schema) if _path_exists(spark, path) else empty(spark, schema)
+def read_json_table(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """A flat-file table; a missing or unreadable file is an empty table.
+
+    ``lines`` reads what :func:`write_table` and :func:`write_jsonl` leave, which
+    splits over tasks; a JSON array is one task per file.
+    """
+    return _json(spark, path, schema, lines) if _path_exists(spark, path) else empty(spark, schema)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:

@@ -67,7 +67,7 @@ def test_project_tree(spark, tmp_path):
     put("apps/one/main.py", "pass")
     put("apps/one/sub/deep.md", "deep")
     put("apps/one/.git/notes.md", "hidden")
-    put("libs/two/code.rs", "")
+    put("libs/two/code.rs", "fn")
     tree = {r["path"]: r["content"] for r in io.read_project_tree(spark, str(tmp_path)).collect()}
     assert tree == {
         "apps/one/README.md": "hello",
