@@ -101,7 +101,8 @@ def stream_feed(t):
 )
 def stream_upsert(t):
     root = scratch_path(t.spark, "upsert")
-    table = sinks.VersionedTable(t.spark, f"{root}/table", "user_id bigint, last_type string, hits bigint")
+    schema = "user_id bigint, last_type string, hits bigint"
+    table = sinks.BucketedTable(t.spark, f"{root}/table", schema, "user_id", 8)
     rows = source(t, "events").select("user_id", F.col("event_type").alias("last_type"), "event_id")
     sink = sinks.upsert_sink(table, "user_id", {"last_type": "overwrite", "hits": "counter"}, ["event_id"])
     sinks.run_resumable(rows, f"{root}/checkpoint", each_batch=sink).awaitTermination()

@@ -61,7 +61,10 @@ def exact_match_flag(
         .filter(F.col("__t").isNotNull())
         .distinct()
     )
-    probe = df.withColumn("__d", _record_digest(df, shared, types, null_safe))
+    digest = _record_digest(df, shared, types, null_safe)
+    # A row that cannot match gets a key of its own, so such rows do not pile up.
+    alone = F.concat(F.lit("!"), _record_digest(df, shared, types, True))
+    probe = df.withColumn("__d", F.coalesce(digest, alone))
     return (
         probe.join(seen, F.col("__d") == F.col("__t"), "left")
         .withColumn(name, F.col("__t").isNotNull())

@@ -82,7 +82,7 @@ def train_text_classifier(
         IDF(inputCol="tf", outputCol="features"),
         LogisticRegression(featuresCol="features", labelCol="label_index", maxIter=max_iter),
     ]
-    model = Pipeline(stages=stages).fit(rows.join(F.broadcast(labels), label))
+    model = Pipeline(stages=stages).fit(rows.join(labels, label))
     return model, labels
 
 

@@ -103,12 +103,15 @@ def global_row_number(
         r["p"]: r["n"]
         for r in ordered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()
     }
-    offsets, seen = {}, start
+    offsets, seen = [], start
     for p in sorted(sizes):
-        offsets[p] = seen
+        offsets.append((p, seen))
         seen += sizes[p]
-    if not offsets:
-        return ordered.withColumn(name, F.lit(None).cast("bigint")).drop("__mid")
-    table = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv])
+    table = df.sparkSession.createDataFrame(offsets, "__part bigint, __from bigint")
     within = F.col("__mid").bitwiseAND(F.lit((1 << 33) - 1))
-    return ordered.withColumn(name, (table[part] + within).cast("bigint")).drop("__mid")
+    return (
+        ordered.withColumn("__part", part)
+        .join(F.broadcast(table), "__part")  # one row per partition
+        .withColumn(name, F.col("__from") + within)
+        .drop("__mid", "__part", "__from")
+    )

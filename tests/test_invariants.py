@@ -13,7 +13,7 @@ from quillmere.functions.quantiles import exact_quantiles
 from quillmere.operators import crawl_queue, dedup, filters, graph, merge, models, normalize, risk, security, vectors
 from quillmere.plans.flows import curate
 from quillmere.schemas import RAW_TOOL
-from quillmere.streaming import gates
+from quillmere.streaming import gates, sinks
 
 
 def signed(x):
@@ -330,3 +330,18 @@ def test_curate_end_to_end(spark):
     assert out.tools.first()["description"].startswith("a useful")
     assert {r["merge_action"]: r["n"] for r in out.counts.collect()} == {"inserted": 1}
     assert out.audit.count() == 2
+
+
+def test_bucketed_upsert_replays_and_keeps_other_buckets(spark, tmp_path):
+    table = sinks.BucketedTable(spark, str(tmp_path / "t"), "k bigint, v string, n bigint", "k", 4)
+    write = sinks.upsert_sink(table, "k", {"v": "keep_old_if_blank", "n": "counter"}, ["i"])
+    schema = "k bigint, v string, i bigint"
+    first = spark.createDataFrame([(k, f"a{k}", 0) for k in range(20)], schema)
+    second = spark.createDataFrame([(3, "", 0), (3, "new", 1), (3, "", 2), (99, "x", 0)], schema)
+    write(first, 0)
+    write(second, 1)
+    write(second, 1)  # a replay changes nothing
+    rows = {r["k"]: (r["v"], r["n"]) for r in table.read().collect()}
+    assert len(rows) == 21 and rows[3] == ("new", 4) and rows[99] == ("x", 1) and rows[7] == ("a7", 1)
+    table.vacuum(1)
+    assert {r["k"]: (r["v"], r["n"]) for r in table.read().collect()} == rows
