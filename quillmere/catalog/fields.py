@@ -241,11 +241,11 @@ def stable_id(t):
 
 @query(
     "prefixed_id",
-    """WITH i AS (SELECT page_id, 'MDE_PAGE_' || substr(upper(sha256(url)), 1, 8) AS public_id FROM pages)
+    """WITH i AS (SELECT page_id, 'PAGE_' || substr(upper(sha256(url)), 1, 8) AS public_id FROM pages)
 SELECT page_id, public_id, count(*) OVER (PARTITION BY public_id) AS holders FROM i""",
 )
 def prefixed_id(t):
-    ids = t.pages.select("page_id", f.prefixed_id("MDE_PAGE_", "url", 8).alias("public_id"))
+    ids = t.pages.select("page_id", f.prefixed_id("PAGE_", "url", 8).alias("public_id"))
     holders = ids.groupBy("public_id").agg(F.count("*").alias("holders"))
     return ids.join(holders, "public_id")
 

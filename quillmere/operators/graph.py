@@ -222,7 +222,7 @@ ENRICHMENT_COLUMNS = {
     "videos": ("video_url", "title", "description_snippet", "uploader", "platform", "video_id", "embed_code"),
     "geo_location": ("latitude", "longitude", "location_description", "source_of_geo_info", "notes"),
     "related_links": ("link_type", "url", "title", "description"),
-    "related_socials": ("platform", "author_handle", "comment_summary", "mde_id", "url", "timestamp", "comment"),
+    "related_socials": ("platform", "author_handle", "comment_summary", "entity_id", "url", "timestamp", "comment"),
 }
 
 
