@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..runtime import cut_lineage
+
 
 def documents(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id`` (long) and ``text`` (null counts as empty), without any other column but ``more``."""
@@ -21,3 +23,26 @@ def held_out(doc_id: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def sha256(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+def keep_rows(docs: DataFrame, answer: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that a written (doc_id, digest, kept) table keeps, all their columns and no others.
+
+    ``digest`` is the SHA-256 of the text (null as empty).  A row stays where its id and
+    digest are those of a kept row; rows repeated with the same id and text are folded to the
+    one whose columns, as JSON, come first.
+    """
+    named = answer.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "kept")
+    same = F.col("__sha").eqNullSafe(F.col("__digest")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id"))
+    mine = docs.withColumn("__sha", sha256(F.coalesce(F.col("text"), F.lit(""))))
+    rows = mine.join(named.filter("kept").drop("kept"), same, "left_semi")
+    twice = cut_lineage(named.groupBy("__id", "__digest").count().filter("count > 1").drop("count"), "repeats")
+    if twice.isEmpty():
+        return rows.select(*docs.columns)
+    first = F.min(F.struct(F.to_json(F.struct(*docs.columns)).alias("j"), F.struct(*docs.columns).alias("r")))
+    folded = rows.join(twice, same, "left_semi").groupBy("doc_id", "__sha").agg(first.alias("m")).select("m.r.*")
+    return rows.join(twice, same, "left_anti").select(*docs.columns).unionByName(folded)

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..runtime import cut_lineage
-from .common import documents
+from .common import keep_rows, sha256
 
 KEYS_PER_FILTER = 1 << 15
 MAX_SEEDS = 64
@@ -146,10 +146,6 @@ def screen(digests: DataFrame, filters: DataFrame) -> DataFrame:
     )
 
 
-def sha256(text: Column) -> Column:
-    return F.sha2(text.cast("binary"), 256)
-
-
 def _groups(rows: DataFrame) -> DataFrame:
     """One row a digest; the row that stays has the largest id, then the largest row number."""
     return rows.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("n"))
@@ -232,20 +228,5 @@ def _answer(rows: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, in_snapshot: Column | None = None) -> DataFrame:
-    """``docs`` with one row of each text, all its columns and no others.
-
-    A row stays where its id and digest are those of a kept row; rows repeated with the same
-    id and text are folded to the one whose columns, as text, come first.
-    """
-    answer = cut_lineage(exact_groups(docs, in_snapshot), "exact-answer")
-    kept = answer.filter("kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
-    mine = docs.withColumn("__sha", sha256(F.coalesce(F.col("text"), F.lit(""))))
-    same = F.col("__sha").eqNullSafe(F.col("__digest")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id"))
-    rows = mine.join(kept, same, "left_semi")
-    twice = answer.groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).count().filter("count > 1")
-    twice = cut_lineage(twice.drop("count"), "exact-repeats")
-    if twice.isEmpty():
-        return rows.select(*docs.columns)
-    first = F.min(F.struct(F.to_json(F.struct(*docs.columns)).alias("j"), F.struct(*docs.columns).alias("r")))
-    folded = rows.join(twice, same, "left_semi").groupBy("__sha").agg(first.alias("m")).select("m.r.*")
-    return rows.join(twice, same, "left_anti").select(*docs.columns).unionByName(folded)
+    """``docs`` with one row of each text (see ``keep_rows``)."""
+    return keep_rows(docs, cut_lineage(exact_groups(docs, in_snapshot), "exact-answer"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, token_counts
+from . import decontamination, exact_dedup, near_dedup, packing, quality, token_counts
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,10 +16,22 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(table(spark, sf_dir, "documents"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents")).drop("digest")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
 
@@ -34,7 +46,10 @@ FROM (SELECT doc_id, coalesce(text, '') AS t,
 
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
+    "op3_near_dedup": op3_near_dedup,
+    "op4_quality": op4_quality,
     "op7_packing": op7_packing,
+    "op9_decontamination": op9_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES: dict[str, str] = {"op10_exact_dedup": OP10_SQL}
