@@ -2,11 +2,11 @@
 
 The test items are the indexed side: an inverted index with BM25 impacts, each divided by
 the item's own full score, so that one threshold fits short and long items.  Items stand in
-order of length in blocks of sixteen, and every term knows its greatest impact overall and
-in each block.  Every passage of every document is a query: windows of text that overlap by
-three quarters, as wide as the longest item.  As the threshold is fixed, a window is given
-up once the sum of its terms' greatest impacts stays below it, then block by block; only
-blocks that can reach the threshold have their postings read.  Every item above it is
+order of length in blocks of four, and every term knows its greatest impact in each block.  Every passage of every document is a query: windows of text that overlap by
+three quarters, as wide as the longest item.  As the threshold is fixed, a window skips
+every block whose greatest impacts, summed over its terms, stay below it; these bounds are
+sums over quarters of windows, taken for all blocks of a document at once.  Only blocks that
+can reach the threshold have their postings read.  Every item above it is
 checked: the words of its question and of its answer must come back in order.
 
 Documents are never shuffled.  The index is built on the driver for at most ``SHARD``
@@ -24,8 +24,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import documents
 from .words import WordNumbers, words
 
-SHARD = 20_000  # items indexed at once; about 20 MB for items of 60 words
-BLOCK = 16
+SHARD = 2_000  # items indexed at once; the bounds of 500 blocks and 40,000 terms take 80 MB
+BLOCK = 4
+_WORDS = 1 << 15  # words whose bounds are summed at once
 STEPS = 4  # windows start every quarter of their width
 THRESHOLD = 0.7  # of an item's own score
 COVER = 0.8  # words of an item, in order
@@ -79,32 +80,36 @@ class Index:
         self.item = np.array([r[1] for r in rows], np.int64)
         self.impact = np.array([r[2] for r in rows])
         self.start = np.searchsorted(terms, np.arange(v + 1))
-        # The last slot belongs to words outside the index, numbered -1.
-        self.most = np.zeros(v + 1)
-        np.maximum.at(self.most, terms, self.impact)
         self.blocks = -(-n // BLOCK)
-        cells, where = np.unique(terms * max(1, self.blocks) + self.item // BLOCK, return_inverse=True)
-        self.cell_most = np.zeros(len(cells))
-        np.maximum.at(self.cell_most, where, self.impact)
-        self.cell_block = cells % max(1, self.blocks)
-        self.cell_start = np.searchsorted(cells // max(1, self.blocks), np.arange(v + 1))
-
-    def above(self, terms, threshold: float):
-        """(item, score) of all items that a set of terms scores at or above the threshold."""
+        # The last row belongs to words outside the index, numbered -1.
+        self.most = np.zeros((v + 1, self.blocks), np.float32)
+        np.maximum.at(self.most, (terms, self.item // BLOCK), np.nextafter(self.impact.astype(np.float32), np.float32(2)))
+
+    def above(self, terms, alive, threshold: float):
+        """(item, score) of all items in the ``alive`` blocks that a set of terms scores at or above the threshold."""
         import numpy as np
 
-        if self.most[terms].sum() < threshold:
-            return []
-        cells = np.concatenate([np.arange(self.cell_start[t], self.cell_start[t + 1]) for t in terms])
-        bound = np.bincount(self.cell_block[cells], self.cell_most[cells], self.blocks)
-        alive = bound >= threshold
-        if not alive.any():
-            return []
         posts = np.concatenate([np.arange(self.start[t], self.start[t + 1]) for t in terms])
         posts = posts[alive[self.item[posts] // BLOCK]]
         score = np.bincount(self.item[posts], self.impact[posts])
         return [(int(k), float(score[k])) for k in np.flatnonzero(score >= threshold)]
 
+    def bounds(self, t):
+        """Greatest score of each block in each window; windows start every quarter of their width."""
+        import numpy as np
+
+        step = self.width // STEPS
+        padded = np.full(-(-t.size // step) * step, -1)
+        padded[: t.size] = t
+        rows = np.sort(padded.reshape(-1, step), 1)
+        rows[:, 1:][rows[:, 1:] == rows[:, :-1]] = -1  # a repeated word counts once in a quarter
+        take = max(1, _WORDS // step)
+        quarter = np.concatenate([self.most[rows[k : k + take]].sum(1) for k in range(0, len(rows), take)])
+        out = quarter.copy()
+        for j in range(1, STEPS):
+            out[:-j] += quarter[j:]
+        return out
+
 
 def in_order(pattern, stretch) -> float:
     """Share of the pattern's words that come in the stretch in the same order."""
@@ -122,19 +127,13 @@ def hits_in(index: Index, t, threshold: float = THRESHOLD, cover: float = COVER)
     """The items that a document, as term numbers with -1 for other words, repeats."""
     import numpy as np
 
-    step = index.width // STEPS
     if not t.size or not index.ids:
         return []
-    padded = np.zeros(-(-t.size // step) * step)
-    padded[: t.size] = index.most[t]
-    quarter = padded.reshape(-1, step).sum(1)
-    bound = quarter.copy()
-    for j in range(1, STEPS):
-        bound[:-j] += quarter[j:]
-    found: dict[int, dict] = {}
-    for s in np.flatnonzero(bound >= threshold - 1e-9).tolist():
+    step, found = index.width // STEPS, {}
+    alive = index.bounds(t) >= threshold - 1e-4
+    for s in np.flatnonzero(alive.any(1)).tolist():
         terms = np.unique(t[s * step : s * step + index.width])
-        for k, score in index.above(terms[terms >= 0], threshold - 1e-9):
+        for k, score in index.above(terms[terms >= 0], alive[s], threshold - 1e-9):
             if k in found and found[k]["score"] >= score:
                 continue
             q, a = index.questions[k], index.answers[k]

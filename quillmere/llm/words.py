@@ -13,6 +13,7 @@ from collections.abc import Callable
 CACHED = 300_000
 LONGEST = 64
 _NONE, _MANY = -(1 << 62), -(1 << 62) - 1
+_MARKS = ".,!?;:\"'()$%&*#|"
 _find = re.compile(r"\w+").findall
 
 
@@ -28,7 +29,8 @@ class WordNumbers(dict):
         self.number = number
 
     def __missing__(self, chunk: str) -> int:
-        found = words(chunk)
+        bare = chunk.lower().strip(_MARKS)
+        found = [bare] if bare.isalnum() else _find(bare)
         value = self.number(found[0]) if len(found) == 1 else _MANY if found else _NONE
         if len(chunk) <= LONGEST:
             if len(self) >= CACHED:
