@@ -241,7 +241,8 @@ def stable_id(t):
 
 @query(
     "prefixed_id",
-    """WITH i AS (SELECT page_id, 'PAGE_' || substr(upper(sha256(url)), 1, 8) AS public_id FROM pages)
+    """WITH h AS (SELECT page_id, CAST('0x' || substr(sha256(url), 1, 15) AS BIGINT) AS v FROM pages),
+i AS (SELECT page_id, 'PAGE_' || list_aggregate([substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', CAST((v // CAST(pow(36, k) AS BIGINT)) % 36 + 1 AS BIGINT), 1) FOR k IN range(7, -1, -1)], 'string_agg', '') AS public_id FROM h)
 SELECT page_id, public_id, count(*) OVER (PARTITION BY public_id) AS holders FROM i""",
 )
 def prefixed_id(t):

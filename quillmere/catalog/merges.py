@@ -275,6 +275,22 @@ def edges(t):
     return links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
+# Shortest walks from the first page of each host: a level is what the last one reaches anew.
+WALK_SQL = f"""WITH RECURSIVE {HREF_SQL},
+walk(url, depth) USING KEY (url) AS (SELECT min(url), 0 FROM pages GROUP BY split_part(url, '/', 3)
+ UNION SELECT e.dst, min(w.depth) + 1 FROM walk w JOIN edges e ON e.src = w.url WHERE e.dst NOT IN (SELECT url FROM recurring.walk) GROUP BY e.dst)
+SELECT url, CAST(depth AS INTEGER) AS depth FROM walk"""
+
+
+def first_pages(t):
+    return t.pages.groupBy(authority("url").alias("host")).agg(F.min("url").alias("url"))
+
+
+@query("expand_frontier_to_end", WALK_SQL)
+def expand_frontier_to_end(t):
+    return graph.expand_frontier(edges(t), first_pages(t))
+
+
 @query(
     "expand_frontier",
     f"""WITH RECURSIVE {HREF_SQL},
@@ -282,8 +298,7 @@ walk(url, depth) AS (SELECT min(url), 0 FROM pages GROUP BY split_part(url, '/',
 SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY url""",
 )
 def expand_frontier(t):
-    seeds = t.pages.groupBy(authority("url").alias("host")).agg(F.min("url").alias("url"))
-    return graph.expand_frontier(edges(t), seeds, 6)
+    return graph.expand_frontier(edges(t), first_pages(t), 6)
 
 
 @query(
@@ -351,12 +366,12 @@ def content_changes(t):
 
 @query(
     "containment_join",
-    """WITH n AS (SELECT n_nationkey AS ord, n_name AS wanted, regexp_replace(lower(substr(n_name, 1, 3)), '[^a-z0-9]', '', 'g') AS piece FROM nation),
+    """WITH n AS (SELECT n_nationkey AS ord, n_name AS wanted, regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') AS piece FROM nation),
 d AS (SELECT p_partkey, regexp_replace(lower(p_name || ' ' || p_type || ' for ' || n_name), '[^a-z0-9]', '', 'g') AS core FROM part JOIN nation ON n_nationkey = p_partkey % 25)
-SELECT p_partkey, arg_min(substr(n.wanted, 1, 3), n.ord) AS matched FROM d JOIN n ON contains(d.core, n.piece) GROUP BY 1""",
+SELECT p_partkey, arg_min(n.wanted, n.ord) AS matched FROM d JOIN n ON contains(d.core, n.piece) GROUP BY 1""",
 )
 def containment_join(t):
-    names = t.nation.select(F.col("n_nationkey").alias("ord"), F.substring("n_name", 1, 3).alias("wanted"))
+    names = t.nation.select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("wanted"))
     d = t.part.join(t.nation, F.col("n_nationkey") == F.col("p_partkey") % 25).select(
         "p_partkey", F.concat_ws(" ", "p_name", "p_type", F.lit("for"), "n_name").alias("name")
     )
@@ -365,19 +380,20 @@ def containment_join(t):
 
 @query(
     "attach_page_id",
-    "SELECT page_id, url, substr(html, 1, 20) AS head FROM pages WHERE contains(url, '/en/')",
+    "SELECT min(page_id) OVER (PARTITION BY url) AS page_id, url, md5(html) AS body FROM pages",
 )
 def attach_page_id(t):
-    rows = t.pages.filter(F.col("url").contains("/en/")).select("url", F.substring("html", 1, 20).alias("head"))
+    rows = t.pages.select("url", F.md5("html").alias("body"))
     return graph.attach_page_id(rows, t.pages)
 
 
 @query(
     "typed_enrichment",
-    "SELECT page_id, 'related' AS link_type, url || '#l' AS url, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS VARCHAR) AS description FROM pages WHERE contains(url, '/en/')",
+    "SELECT min(page_id) OVER (PARTITION BY url) AS page_id, 'related' AS link_type, url || '#l' AS url, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS VARCHAR) AS description FROM pages",
 )
 def typed_enrichment(t):
-    kind = F.when(F.col("url").contains("/en/"), "related_links").otherwise("videos")
+    """Every page has one related link."""
+    kind = F.lit("related_links")
     rows = t.pages.select(
         F.col("url").alias("page_url"), kind.alias("kind"), F.lit("related").alias("link_type"),
         F.concat("url", F.lit("#l")).alias("url"),

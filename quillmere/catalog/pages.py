@@ -123,7 +123,7 @@ def extract_tool_page(t):
 VIDEO_TEXT = {
     "page_id": "page_id",
     "url": "url",
-    "html": "concat(substr(html, 1, 40), ' https://www.youtube.com/watch?v=a_', CAST(page_id AS VARCHAR(9)), '\" and http://youtu.be/B-', CAST(page_id % 7 AS VARCHAR(9)), '?t=1')",
+    "html": "concat(html, ' https://www.youtube.com/watch?v=a_', CAST(page_id AS VARCHAR(9)), '\" and http://youtu.be/B-', CAST(page_id % 7 AS VARCHAR(9)), '?t=1')",
 }
 
 

@@ -223,7 +223,7 @@ FETCHES = {
 i AS (SELECT *, sum(CASE WHEN status LIKE 'error%' THEN 0 ELSE 1 END) OVER (PARTITION BY url ORDER BY ts, seq) AS island FROM f),
 s AS (SELECT *, sum(CASE WHEN status LIKE 'error%' THEN 1 ELSE 0 END) OVER (PARTITION BY url, island ORDER BY ts, seq)::BIGINT AS errors FROM i)
 SELECT url, arg_max(etag, seq) FILTER (status LIKE '200%') AS etag, arg_max(content_hash, seq) FILTER (status LIKE '200%') AS content_hash,
- arg_max(CASE WHEN status LIKE '200%' THEN 200 WHEN status LIKE 'error%' THEN 404 ELSE 0 END, seq) AS http_status,
+ coalesce(arg_max(CASE WHEN status LIKE '200%' THEN 200 WHEN status LIKE 'error%' THEN 404 ELSE 0 END, seq) FILTER (status NOT LIKE '304%'), 0) AS http_status,
  arg_max(errors, seq) AS consecutive_errors, max(ts) AS last_crawled_at FROM s GROUP BY url""",
 )
 def crawl_state(t):

@@ -155,10 +155,10 @@ def incidence(t):
 @query(
     "incidence_matrix",
     f"""WITH {PORTS_CTE} SELECT ip, max((port = 22)::INT) AS port_22, max((port = 80)::INT) AS port_80, max((port = 443)::INT) AS port_443
-FROM p WHERE state = 'open' AND version = '9.9' GROUP BY 1""",
+FROM p WHERE state = 'open' GROUP BY 1""",
 )
 def incidence_matrix(t):
-    open_ports = ports(t).filter("state = 'open' and version = '9.9'")
+    open_ports = ports(t).filter("state = 'open'")
     return risk.incidence_matrix(open_ports, "ip", "port", [22, 80, 443])
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import urls
 from ..operators import filters, language
 from ..plans.flows import curate
+from ..runtime import cut_lineage
 from ..schemas import RAW_TOOL
 from .base import cte, derive, now, query
 from .fields import RAW
@@ -85,8 +86,8 @@ FOCUS = urls.FocusConfig(
 FOCUS_COLUMNS = {
     "page_id": "page_id",
     "url": "url",
-    "anchor": "substr(html, 60, 80)",
-    "meta_text": "substr(html, 200, 60)",
+    "anchor": "url",
+    "meta_text": "html",
     "referrer": "CAST((page_id % 7) - 2 AS DOUBLE) / 2.0",
 }
 
@@ -205,7 +206,7 @@ def route_enrichment(t):
 
 @query("language_gate")
 def language_gate(t):
-    profiles = language.train_language_profiles(t.documents, "text", "lang")
+    profiles = cut_lineage(language.train_language_profiles(t.documents, "text", "lang"), "profiles")
     out = language.language_gate(t.documents, "doc_id", "text", profiles)
     return out.select("doc_id", "lang", "detected", "passes")
 

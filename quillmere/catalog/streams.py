@@ -9,7 +9,7 @@ from ..runtime import ROCKSDB_PROVIDER, scratch_path
 from ..sources import io
 from ..streaming import gates, sinks, state
 from .base import cte, derive, query
-from .merges import edges
+from .merges import WALK_SQL, edges, first_pages
 from .queues import FETCHES, GATE_SQL
 
 
@@ -47,7 +47,7 @@ def stream_rate_gate(t):
     "stream_crawl_state",
     f"""WITH f AS (SELECT * FROM ({'SELECT ' + ', '.join(f'{e} AS {c}' for c, e in FETCHES.items()) + ' FROM events'}) WHERE status <> 'disallowed_by_policy'),
 i AS (SELECT *, sum(CASE WHEN status LIKE 'error%' THEN 0 ELSE 1 END) OVER (PARTITION BY url ORDER BY ts, seq) AS island FROM f)
-SELECT url, seq, CASE WHEN status LIKE '200%' THEN 200 WHEN status LIKE 'error%' THEN 404 ELSE 0 END AS http_status,
+SELECT url, seq, coalesce(last_value(CASE WHEN status LIKE '200%' THEN 200 WHEN status LIKE 'error%' THEN 404 END IGNORE NULLS) OVER (PARTITION BY url ORDER BY ts, seq), 0) AS http_status,
  sum(CASE WHEN status LIKE 'error%' THEN 1 ELSE 0 END) OVER (PARTITION BY url, island ORDER BY ts, seq)::BIGINT AS consecutive_errors,
  last_value(CASE WHEN status LIKE '200%' THEN content_hash END IGNORE NULLS) OVER (PARTITION BY url ORDER BY ts, seq) AS content_hash FROM i""",
 )
@@ -128,13 +128,12 @@ def near_dups_against_index(t):
     return dedup.near_dups(turns, "id", "text", "id", index=index).select("id", "kept", "near_dup_of")
 
 
-@query("resume_frontier")
+@query("resume_frontier", WALK_SQL)
 def resume_frontier(t):
     """A walk stopped after two levels and then gone on with to the end."""
     root = scratch_path(t.spark, "walk")
-    seeds = t.pages.agg(F.min("url").alias("url"))
-    graph.resume_frontier(edges(t), seeds, root, 2)
-    return graph.resume_frontier(edges(t), seeds, root, 6)
+    graph.resume_frontier(edges(t), first_pages(t), root, 2)
+    return graph.resume_frontier(edges(t), first_pages(t), root)
 
 
 # ------------------------------------------------------- sources and sinks, written and read back

@@ -212,9 +212,8 @@ def rename_pillars(t):
 
 
 def coded(t):
-    """The first eight components of each vector as the eight named floats."""
-    names = [F.col("embedding")[i].alias(p) for i, p in enumerate(v.PILLARS)]
-    return v.float_bits(t.embeddings.select("vec_id", *names))
+    """The eight sums of each whole vector's projection as the eight named floats."""
+    return v.float_bits(v.gestalt(v.project(t.embeddings, dictionary(t)), N_FEATURES))
 
 
 @query("float_hex")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 # The characters a text strip removes.
 WHITESPACE = (
@@ -110,9 +110,27 @@ def stable_id(name: Column | str, url: Column | str, trim_name: bool = True) ->
 
 
 def prefixed_id(prefix: str, key: Column | str, length: int) -> Column:
-    """Short public id derived from a key, so that a rerun gives the same id."""
-    digest = F.upper(F.sha2(col(key).cast("string"), 256))
-    return F.concat(F.lit(prefix), F.substring(digest, 1, length))
+    """Short public id derived from a key, so that a rerun gives the same id.
+
+    ``length`` characters of base 36, at most 11, from 60 bits of a digest.  Two keys of
+    n share an id with a chance of about n * n / (2 * 36**length); ``unique_ids`` tells them apart.
+    """
+    digits = F.conv(F.substring(F.sha2(col(key).cast("string"), 256), 1, 15), 16, 36)
+    return F.concat(F.lit(prefix), F.substr(F.lpad(digits, 12, "0"), F.lit(-length)))
+
+
+def unique_ids(df: DataFrame, prefix: str, key: str, name: str, length: int = 8) -> DataFrame:
+    """Add ``prefixed_id`` of a key as ``name``; keys that share one get ``-1``, ``-2`` ... in key order."""
+    keys = df.select(key).distinct().withColumn(name, prefixed_id(prefix, key, length))
+    shared = keys.groupBy(name).count().filter("count > 1").select(name)
+    rank = F.row_number().over(Window.partitionBy(name).orderBy(key)) - 1
+    later = keys.join(shared, name, "left_semi").select(key, rank.alias("__n")).filter("__n > 0")
+    return (
+        df.withColumn(name, prefixed_id(prefix, key, length))
+        .join(later, key, "left")
+        .withColumn(name, F.concat(name, F.coalesce(F.concat(F.lit("-"), F.col("__n").cast("string")), F.lit(""))))
+        .select(*df.columns, name)
+    )
 
 
 def ref_type(c: Column | str) -> Column:

@@ -34,6 +34,7 @@ class _Flat(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes: list[dict] = []
         self.open: list[int] = []
+        self.depths: dict[str, list[int]] = {}  # places in ``open`` of each open tag
         self.prose: list[str] = []
         self.length = 0
 
@@ -49,15 +50,15 @@ class _Flat(HTMLParser):
     def handle_starttag(self, tag, attrs):
         i = self._add(tag, {k: v or "" for k, v in reversed(attrs)}, None)
         if tag not in VOID:
+            self.depths.setdefault(tag, []).append(len(self.open))
             self.open.append(i)
 
     def handle_startendtag(self, tag, attrs):
         self._add(tag, {k: v or "" for k, v in reversed(attrs)}, None)
 
     def handle_endtag(self, tag):
-        at = [n for n in range(len(self.open)) if self.nodes[self.open[n]]["tag"] == tag]
-        if at:
-            self._close_to(at[-1])
+        if self.depths.get(tag):
+            self._close_to(self.depths[tag][-1])
 
     def handle_data(self, data):
         silent = self.open and self.nodes[self.open[-1]]["tag"] in SILENT
@@ -70,10 +71,12 @@ class _Flat(HTMLParser):
     def _close_to(self, depth: int) -> None:
         while len(self.open) > depth:
             node = self.nodes[self.open.pop()]
+            self.depths[node["tag"]].pop()
             node["last"], node["stop"] = len(self.nodes) - 1, self.length
 
-    def done(self) -> dict:
-        self.close()
+    def done(self, broken: bool = False) -> dict:
+        if not broken:
+            self.close()
         self._close_to(0)
         kids: dict[int, list[int]] = {}
         for n in self.nodes:
@@ -87,8 +90,11 @@ class _Flat(HTMLParser):
 
 def _flatten(html: str | None) -> dict:
     parser = _Flat()
-    parser.feed(html or "")
-    return parser.done()
+    try:
+        parser.feed(html or "")
+        return parser.done()
+    except (AssertionError, ValueError):  # markup the tokenizer gives up on: what came before it counts
+        return parser.done(broken=True)
 
 
 def with_nodes(df: DataFrame, html: str = "html") -> DataFrame:

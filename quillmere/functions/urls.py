@@ -27,6 +27,24 @@ def url_path(url: Column | str) -> Column:
     return F.when(path == "", "/").when(path.startswith("?"), F.concat(F.lit("/"), path)).otherwise(path)
 
 
+def _without_dots(url: Column) -> Column:
+    """A hierarchical url with the ``.`` and ``..`` segments of its path resolved."""
+    root = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    tail = F.regexp_extract(url, r"([?#].*)$", 1)
+    parts = F.split(F.substr(path, F.lit(2)), "/")
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda acc, p: F.when(p == ".", acc)
+        .when(p == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+        .otherwise(F.concat(acc, F.array(p))),
+    )
+    folder = F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    dotted = (root != "") & path.rlike(r"/\.\.?(?:/|$)")
+    return F.when(dotted, F.concat(root, F.lit("/"), F.array_join(kept, "/"), folder, tail)).otherwise(url)
+
+
 def join_url(base: Column | str, href: Column | str) -> Column:
     """Absolute form of a link: absolute, scheme-relative, root-relative or relative."""
     base, href = col(base), col(href)
@@ -36,7 +54,7 @@ def join_url(base: Column | str, href: Column | str) -> Column:
     folder = F.when(
         plain == root, F.concat(root, F.lit("/"))
     ).otherwise(F.regexp_replace(plain, r"[^/]*$", ""))
-    return (
+    joined = (
         F.when(href == "", base)
         .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
@@ -45,6 +63,8 @@ def join_url(base: Column | str, href: Column | str) -> Column:
         .when(href.startswith("#"), F.concat(F.regexp_replace(base, r"#.*$", ""), href))
         .otherwise(F.concat(folder, href))
     )
+    # Links that stand as they are, whole, without scheme or empty, keep their dots.
+    return F.when((href == "") | href.startswith("//") | href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), joined).otherwise(_without_dots(joined))
 
 
 def follow_link(url: Column | str, base: Column | str) -> Column:
@@ -62,9 +82,9 @@ def url_patterns(url: Column | str, include: Sequence[str], exclude: Sequence[st
     url = col(url)
     wanted = F.lit(not include)
     for pattern in include:
-        wanted = wanted | url.rlike(pattern)
+        wanted = wanted | url.rlike(f"(?U){pattern}")
     for pattern in exclude:
-        wanted = wanted & ~url.rlike(pattern)
+        wanted = wanted & ~url.rlike(f"(?U){pattern}")
     return wanted
 
 
@@ -96,7 +116,7 @@ def focus_score(
     w = config.weights
     pattern_hit = F.lit(False)
     for pattern in config.url_patterns:
-        pattern_hit = pattern_hit | url.rlike(f"(?i){pattern}")
+        pattern_hit = pattern_hit | url.rlike(f"(?iU){pattern}")
     host = authority(url)
     signals = {
         "anchor": _mentions(col(anchor), config.keywords).cast("int"),

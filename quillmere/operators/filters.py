@@ -61,7 +61,7 @@ def _failure(df: DataFrame, rule: Rule, flag: str | None) -> tuple[Column, str]:
     else:
         return F.lit(False), ""
     if rule.rule_type == "regex":
-        bad = ~value.rlike(f"^(?:{rule.value})")
+        bad = ~value.rlike(f"(?U)^(?:{rule.value})")
         reason = f"Field '{rule.field}' failed regex: {rule.value}"
     elif rule.rule_type == "min_length":
         bad = F.length(value) < int(rule.value)
@@ -225,7 +225,9 @@ def import_rules(
 def whole_word_in(text: Column, word: Column) -> Column:
     """Case-insensitive whole-word test with the word taken literally."""
     quoted = F.concat(F.lit(r"(?iU)\b\Q"), F.replace(word, F.lit(r"\E"), F.lit("")), F.lit(r"\E\b"))
-    return F.coalesce(truthy(word) & F.regexp_like(text, quoted), F.lit(False))
+    # The pattern differs by row; only texts that hold the word at all are worth compiling it for.
+    held = F.contains(F.lower(text), F.lower(word))
+    return F.coalesce(truthy(word) & F.when(held, F.regexp_like(text, quoted)).otherwise(False), F.lit(False))
 
 
 def route_enrichment(

@@ -16,7 +16,6 @@ def expand_frontier(
     seeds: DataFrame,
     max_depth: int | None = None,
     max_pages: int | None = None,
-    max_rounds: int = 10_000,
 ) -> DataFrame:
     """(url, depth) reached from ``seeds(url)`` over ``edges(src, dst)``, level by level.
 
@@ -29,7 +28,7 @@ def expand_frontier(
     visited, taken, depth = level, level.count(), 0
     if max_pages is not None and taken >= max_pages:
         return level.orderBy("url").limit(max_pages)
-    while (max_depth is None or depth < max_depth) and depth < max_rounds:
+    while max_depth is None or depth < max_depth:
         depth += 1
         found = (
             links.join(level.select(F.col("url").alias("src")), "src", "left_semi")
@@ -213,8 +212,8 @@ def containment_join(
 
 
 def attach_page_id(df: DataFrame, pages: DataFrame, key: str = "url") -> DataFrame:
-    """Enrichment rows with the id of their page."""
-    return df.join(pages.select(key, "page_id"), key)
+    """Enrichment rows with the id of their page: the least one if several pages share a url."""
+    return df.join(pages.groupBy(key).agg(F.min("page_id").alias("page_id")), key)
 
 
 # Columns of each typed page-enrichment output.
@@ -232,6 +231,6 @@ def typed_enrichment(df: DataFrame, pages: DataFrame, kind: str, page_key: str =
         F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c)
         for c in ENRICHMENT_COLUMNS[kind]
     ]
-    ids = pages.select(F.col("url").alias(page_key), "page_id")
+    ids = pages.groupBy(F.col("url").alias(page_key)).agg(F.min("page_id").alias("page_id"))
     rows = df.filter(F.col("kind") == kind).select(page_key, *columns)
     return rows.join(ids, page_key).select("page_id", *ENRICHMENT_COLUMNS[kind])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 MIN_DETECTABLE = 8
 GRAM = 3
@@ -25,19 +25,12 @@ def _grams(df: DataFrame, text: str, keep: list) -> DataFrame:
 
 
 def train_language_profiles(
-    df: DataFrame, text: str, lang: str, top: int = 400
+    df: DataFrame, text: str, lang: str
 ) -> DataFrame:
-    """(lang, gram, weight): smoothed log share of each language's commonest grams.
-
-    The result has at most ``top`` rows per language, so its size does not grow
-    with the corpus.
-    """
+    """(lang, gram, weight): smoothed log share of every gram that a language has."""
     counts = _grams(df, text, [lang])
     totals = counts.groupBy(lang).agg(F.sum("n").alias("total"))
-    ranked = counts.withColumn(
-        "r", F.row_number().over(Window.partitionBy(lang).orderBy(F.desc("n"), "gram"))
-    ).filter(F.col("r") <= top)
-    return ranked.join(totals, lang).select(
+    return counts.join(totals, lang).select(
         F.col(lang).alias("lang"),
         "gram",
         F.log((F.col("n") + 1) / (F.col("total") + 1)).alias("weight"),
@@ -49,7 +42,7 @@ def detect_language(df: DataFrame, key: str, text: str, profiles: DataFrame) ->
     # An unseen gram costs the same in every language, so only hits need summing.
     floor = profiles.agg(F.min("weight") - F.lit(2.0)).scalar()
     grams = _grams(df, text, [key])
-    hits = grams.join(F.broadcast(profiles), "gram")
+    hits = grams.join(profiles, "gram")  # the planner measures the profiles
     gains = (
         hits.withColumn("gain", F.col("n") * (F.col("weight") - floor))
         .groupBy(key, "lang")

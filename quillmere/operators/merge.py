@@ -282,14 +282,21 @@ def import_counts(df: DataFrame, status: str = "status") -> DataFrame:
 
 
 def update_rows(
-    target: DataFrame, updates: DataFrame, key: str, allowed: Sequence[str]
+    target: DataFrame, updates: DataFrame, key: str, allowed: Sequence[str], order: Column | str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Overwrite allow-listed columns where the update gives a value.
 
+    Several updates of one key are folded first: each column takes its last given value by
+    ``order``, or its greatest one if no order is known.
     Returns (updated table, update rows whose key is unknown).
     """
     cols = [c for c in allowed if c in updates.columns and c in target.columns]
-    fresh = updates.select(key, *[F.col(c).alias(f"__u_{c}") for c in cols])
+    by = F.col(order) if isinstance(order, str) else order
+    last = [
+        (F.max(c) if by is None else F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(by, F.col(c))))).alias(f"__u_{c}")
+        for c in cols
+    ]
+    fresh = updates.groupBy(key).agg(*last) if last else updates.select(key).distinct()
     out = target.join(fresh, key, "left").select(
         *[
             F.coalesce(F.col(f"__u_{c}"), F.col(c)).alias(c) if c in cols else F.col(c)

@@ -213,7 +213,7 @@ def enrich_from_text(df: DataFrame, text: str, now: Column, stamp: str | None =
         found[name] = F.when(hit, strip(F.regexp_extract(body, TEXT_PATTERNS[name], 1)))
     systems = F.regexp_extract_all(body, F.lit(TEXT_PATTERNS["supported_os"]), 1)
     capital = F.transform(
-        systems, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 1000)))
+        systems, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substr(x, F.lit(2))))
     )
     found["supported_os"] = F.when(F.size(systems) > 0, F.array_sort(F.array_distinct(capital)))
     for name, lower in (("categories", False), ("tags", True)):

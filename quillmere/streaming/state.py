@@ -34,11 +34,11 @@ class _CrawlState(StatefulProcessor):
     """etag, hash, last status and consecutive errors of one url."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "etag string, hash string, errors long")
+        self.state = handle.getValueState("state", "etag string, hash string, errors long, status int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
-        etag, known, errors = self.state.get() or (None, None, 0)
+        etag, known, errors, status = self.state.get() or (None, None, 0, 0)
         out = []
         for r in pdf.itertuples(index=False):
             if r.status.startswith("200"):
@@ -48,8 +48,10 @@ class _CrawlState(StatefulProcessor):
                 change, errors = "not_modified", 0
             else:
                 change, errors = "error", errors + 1
-            out.append((r.url, r.seq, r.ts, etag, known, r.http_status, errors, change))
-        self.state.update((etag, known, errors))
+            if change != "not_modified":  # an unmodified page keeps the status it had
+                status = int(r.http_status)
+            out.append((r.url, r.seq, r.ts, etag, known, status, errors, change))
+        self.state.update((etag, known, errors, status))
         yield pd.DataFrame(
             out, columns=["url", "seq", "ts", "etag", "content_hash", "http_status", "consecutive_errors", "change_type"]
         )
@@ -79,7 +81,9 @@ def crawl_state_batch(df: DataFrame) -> DataFrame:
     return streaks.groupBy("url").agg(
         F.max_by("etag", got).alias("etag"),
         F.max_by("content_hash", got).alias("content_hash"),
-        F.max_by("http_status", when).alias("http_status"),
+        F.coalesce(
+            F.max_by("http_status", F.when(~F.col("status").startswith("304"), when)), F.lit(0)
+        ).alias("http_status"),
         F.max_by("streak", when).alias("consecutive_errors"),
         F.max("ts").alias("last_crawled_at"),
     )
