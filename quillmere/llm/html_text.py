@@ -252,6 +252,7 @@ def blocks_of(node: Node, out: list[str]) -> None:
         if not done and part.tag != "br":
             todo.append((part, True)) if part.tag in BLOCK else None
             todo.extend((p, False) for p in reversed(part.parts))
+    end()
 
 
 def main_text(html: str) -> str:

@@ -80,17 +80,18 @@ def matched(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> tupl
 
 
 def _grams(mark: str, text: Column) -> list[Column]:
+    """All n-grams of a text with its ends marked; neighbours are zipped, so long texts stay linear."""
     edged = F.concat(F.lit("^"), text, F.lit("$"))
-    return [
-        F.when(
-            F.length(edged) >= n,
-            F.transform(
-                F.sequence(F.lit(1), F.length(edged) - F.lit(n - 1)),
-                lambda i, n=n: F.concat(F.lit(mark), F.substr(edged, i, F.lit(n))),
-            ),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in GRAMS
-    ]
+    points, out = F.split(edged, ""), []
+    for n in GRAMS:
+        count = F.greatest(F.length(edged) - (n - 1), F.lit(0))
+        zipped = F.arrays_zip(*[F.slice(points, j + 1, count).alias(f"c{j}") for j in range(n)])
+        out.append(F.transform(zipped, _joined(mark, n)))
+    return out
+
+
+def _joined(mark: str, n: int):
+    return lambda x: F.concat(F.lit(mark), *[x[f"c{j}"] for j in range(n)])
 
 
 def featured(rows: DataFrame) -> DataFrame:
