@@ -258,6 +258,7 @@ PROJECT_FILES = {
     "category": "concat('cat', CAST(p_size % 7 AS VARCHAR(9)))",
     "project": "p_brand",
     "subproject": "CASE WHEN p_partkey % 2 = 0 THEN concat('sub', CAST(p_partkey AS VARCHAR(20))) ELSE NULL END",
+    "file": "CASE WHEN p_partkey % 2 = 1 THEN concat('f', CAST(p_partkey AS VARCHAR(20))) ELSE NULL END",
     "language": "CASE p_partkey % 6 WHEN 1 THEN 'Python' WHEN 3 THEN 'C++' ELSE NULL END",
     "is_knowledge": "p_partkey % 6 = 5",
 }
@@ -269,16 +270,15 @@ PROJECT_FILES = {
 g AS (SELECT category, project, count(language) AS code, count(CASE WHEN is_knowledge THEN 1 END) AS know,
  array_to_string(list_sort(list_distinct(list(language) FILTER (language IS NOT NULL))), ', ') AS langs,
  array_to_string(list_slice(list_sort(list_distinct(list(subproject) FILTER (subproject IS NOT NULL))), 1, 10), ', ') AS subs FROM f GROUP BY 1, 2),
-c AS (SELECT category, count(*) AS np, sum(know)::BIGINT AS nk FROM g GROUP BY 1)
-SELECT 'project' AS type, 'Project: ' || project AS title, category || '/' || project AS source,
- 'Project Name: ' || project || chr(10) || 'Category: ' || category || chr(10) || 'Has Code: ' || CASE WHEN code > 0 THEN 'Yes' ELSE 'No' END
- || chr(10) || 'Languages: ' || coalesce(nullif(langs, ''), 'Unknown') || chr(10) || 'Subprojects: ' || coalesce(nullif(subs, ''), 'None')
- || chr(10) || 'Knowledge Files: ' || know AS content FROM g
-UNION ALL SELECT 'category', 'Category: ' || category, category, 'Category: ' || category || chr(10) || 'Total Projects: ' || np FROM c
-UNION ALL SELECT 'ecosystem', 'Projects Master Index', 'master', 'Total Categories: ' || count(*) || chr(10) || 'Total Knowledge Entries: ' || sum(np + nk + 1)::BIGINT FROM c""",
+c AS (SELECT category, count(*) AS np, sum(code)::BIGINT AS nc, sum(know)::BIGINT AS nk FROM g GROUP BY 1)
+SELECT 'documentation' AS type, category, project, file, NULL AS languages, NULL AS subprojects, NULL AS n_code, NULL AS n_knowledge, NULL AS n_projects, NULL AS n_categories, NULL AS n_entries FROM f WHERE is_knowledge
+UNION ALL SELECT 'project', category, project, NULL, coalesce(langs, ''), coalesce(subs, ''), code, know, NULL, NULL, NULL FROM g
+UNION ALL SELECT 'category', category, NULL, NULL, NULL, NULL, nc, nk, np, NULL, np + nk + 1 FROM c
+UNION ALL SELECT 'ecosystem', NULL, NULL, NULL, NULL, NULL, sum(nc)::BIGINT, sum(nk)::BIGINT, sum(np)::BIGINT, count(*), sum(np + nk + 1)::BIGINT FROM c""",
 )
 def project_rollup(t):
-    return rollup.project_rollup(derive(t.part, PROJECT_FILES))
+    out = rollup.project_rollup(derive(t.part, PROJECT_FILES))
+    return out.withColumns({c: F.array_join(c, ", ") for c in ("languages", "subprojects")})
 
 
 @query(

@@ -194,3 +194,111 @@ def page_stream(t):
     t.pages.write.parquet(root)
     out = io.read_pages(t.spark, root, streaming=True).select("page_id", "url", F.md5("html").alias("body"))
     return drain(t, out, "pages")
+
+
+# ------------------------------------------------------------ other source formats, written and read back
+
+
+@query("json_arrays", "SELECT * FROM part")
+def json_arrays(t):
+    """Files that hold one JSON array each, of at most a thousand keys."""
+    path = scratch_path(t.spark, "arrays")
+    arrays = t.part.groupBy(F.floor(F.col("p_partkey") / 1000).alias("bucket")).agg(
+        F.to_json(F.collect_list(F.struct(*t.part.columns))).alias("value")
+    )
+    arrays.write.partitionBy("bucket").text(path)
+    return io.read_json_table(t.spark, f"{path}/*/*.txt", PART_JSON)
+
+
+def _zipped(rows):
+    """A zip archive for each task: members of a hundred entries, one of them broken."""
+
+    def pack(batches):
+        import io as memory
+        import json
+        import zipfile
+
+        import pandas as pd
+
+        for n, pdf in enumerate(batches):
+            held = memory.BytesIO()
+            entries = [{k: v for k, v in r.items() if v is not None} for r in pdf.drop(columns="path").to_dict("records")]
+            with zipfile.ZipFile(held, "w") as z:
+                for at in range(0, len(entries), 100):
+                    z.writestr(f"m{at:06d}.json", json.dumps(entries[at : at + 100]))
+                z.writestr("broken.json", "[{")
+                z.writestr("notes.txt", "[]")
+            yield pd.DataFrame({"path": [f"{pdf['path'].iloc[0]}-{n}"], "content": [held.getvalue()]})
+
+    return rows.mapInPandas(pack, "path string, content binary")
+
+
+@query(
+    "json_archive",
+    """SELECT 'CVE-' || p_partkey AS cve_id, p_name AS description, CASE WHEN p_size % 3 = 0 THEN 'Unknown' ELSE p_type END AS severity,
+ 'Unknown' AS affected_os, NULL::VARCHAR AS published FROM part""",
+)
+def json_archive(t):
+    """Entries without severity get the default; a broken member is passed over."""
+    rows = t.part.select(
+        F.lit("a").alias("path"),
+        F.concat(F.lit("CVE-"), F.col("p_partkey").cast("string")).alias("cve_id"),
+        F.col("p_name").alias("description"),
+        F.when(F.col("p_size") % 3 != 0, F.col("p_type")).alias("severity"),
+    )
+    return io.unpack_archives(_zipped(rows))
+
+
+@query(
+    "scan_xml",
+    """SELECT '10.0.' || s_nationkey || '.' || s_suppkey AS ip, 22 AS port, 'tcp' AS protocol, 'open' AS state, s_name AS service, '' AS version, 'p' || s_nationkey AS product FROM supplier
+UNION ALL SELECT '10.0.' || s_nationkey || '.' || s_suppkey, s_suppkey, 'udp', 'closed', 'unknown', '', '' FROM supplier""",
+)
+def scan_xml(t):
+    """Hosts written as a scanner's XML and read back as ports."""
+    path = scratch_path(t.spark, "xml")
+    host = F.concat(F.lit("10.0."), F.col("s_nationkey").cast("string"), F.lit("."), F.col("s_suppkey").cast("string"))
+
+    def port(number, protocol, state, name, product):
+        service = F.struct(name.alias("_name"), F.lit(None).cast("string").alias("_version"), product.alias("_product"))
+        return F.struct(
+            number.cast("int").alias("_portid"), F.lit(protocol).alias("_protocol"),
+            F.struct(F.lit(state).alias("_state")).alias("state"), service.alias("service"),
+        )
+
+    none = F.lit(None).cast("string")
+    rows = t.supplier.select(
+        F.struct(F.lit("up").alias("_state")).alias("status"),
+        F.array(F.struct(host.alias("_addr"), F.lit("ipv4").alias("_addrtype"))).alias("address"),
+        F.struct(
+            F.array(
+                port(F.lit(22), "tcp", "open", F.col("s_name"), F.concat(F.lit("p"), F.col("s_nationkey").cast("string"))),
+                port(F.col("s_suppkey"), "udp", "closed", none, none),
+            ).alias("port")
+        ).alias("ports"),
+    )
+    rows.write.format("xml").option("rowTag", "host").option("rootTag", "scan").save(path)
+    return io.scan_ports(io.read_scan_xml(t.spark, path))
+
+
+@query(
+    "make_dictionary",
+    "SELECT count(*) AS n, count(DISTINCT vec_id) AS ids, TRUE AS same_anywhere, TRUE AS centred, TRUE AS wide FROM embeddings",
+)
+def make_dictionary(t):
+    """A random dictionary with a feature for each vector: its size, its spread, and no trace of partitions."""
+    from ..operators import vectors
+
+    made = vectors.make_dictionary(t.spark, t.embeddings.count(), 64, 7)
+    key = F.xxhash64("feature_id", "weights")
+    again = vectors.make_dictionary(t.spark, t.embeddings.count(), 64, 7).repartition(7).select(key.alias("h"))
+    both = made.select(key.alias("h")).join(again, "h").count()
+    w = made.select("feature_id", F.explode("weights").alias("w"))
+    n = made.count()
+    return w.agg(
+        F.count_distinct("feature_id").alias("n"),
+        F.count_distinct("feature_id").alias("ids"),
+        F.lit(both == n).alias("same_anywhere"),
+        (F.abs(F.avg("w")) < 0.001).alias("centred"),
+        (F.abs(F.stddev("w") / vectors.WEIGHT_SIGMA - 1) < 0.05).alias("wide"),
+    )

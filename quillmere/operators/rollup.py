@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.quantiles import order_statistics
+from ..runtime import cut_lineage
 
 # Language name per source-file ending.
 CODE_LANGUAGES = {
@@ -37,10 +38,11 @@ def _first_k(df: DataFrame, group: list[str], item: str, k: int, name: str) -> D
 
 
 def project_rollup(df: DataFrame) -> DataFrame:
-    """Project, category and master entries from a tree listing.
+    """Documentation, project, category and master entries of a tree listing, as typed columns.
 
-    ``df(category, project, subproject, file, language, is_knowledge)``: one row
-    per file or folder of a project, unused columns null.
+    ``df(category, project, subproject, file, language, is_knowledge)``: one row for each
+    file or folder of a project, unused columns null.  Every entry that the master row
+    counts is a row of the result; how entries are worded is left to the caller.
     """
     group = ["category", "project"]
     head = df.groupBy(*group).agg(
@@ -48,47 +50,36 @@ def project_rollup(df: DataFrame) -> DataFrame:
         F.count_if(F.col("language").isNotNull()).alias("n_code"),
         F.count_if("is_knowledge").alias("n_knowledge"),
     )
-    subs = _first_k(df.filter("subproject is not null"), group, "subproject", MAX_SUBPROJECTS, "subs")
-    projects = head.join(subs, group, "left")
-
-    def listed(c: str, empty: str) -> Column:
-        text = F.array_join(F.coalesce(c, F.array().cast("array<string>")), ", ")
-        return F.when(text == "", empty).otherwise(text)
-
-    project_rows = projects.select(
-        F.lit("project").alias("type"),
-        F.concat(F.lit("Project: "), "project").alias("title"),
-        F.concat_ws("/", "category", "project").alias("source"),
-        F.format_string(
-            "Project Name: %s\nCategory: %s\nHas Code: %s\nLanguages: %s\nSubprojects: %s\nKnowledge Files: %s",
-            F.col("project"), F.col("category"),
-            F.when(F.col("n_code") > 0, "Yes").otherwise("No"),
-            listed("languages", "Unknown"), listed("subs", "None"),
-            F.col("n_knowledge").cast("string"),
-        ).alias("content"),
-    )
+    subs = _first_k(df.filter("subproject is not null"), group, "subproject", MAX_SUBPROJECTS, "subprojects")
+    projects = cut_lineage(head.join(subs, group, "left"), "projects")
+    none = F.array().cast("array<string>")
     cats = projects.groupBy("category").agg(
-        F.count("*").alias("n_projects"), F.sum("n_knowledge").alias("n_knowledge")
-    )
-    category_rows = cats.select(
-        F.lit("category").alias("type"),
-        F.concat(F.lit("Category: "), "category").alias("title"),
-        F.col("category").alias("source"),
-        F.format_string(
-            "Category: %s\nTotal Projects: %s", F.col("category"), F.col("n_projects").cast("string")
-        ).alias("content"),
+        F.count("*").alias("n_projects"),
+        F.sum("n_code").alias("n_code"),
+        F.sum("n_knowledge").alias("n_knowledge"),
+        F.lit(1).cast("bigint").alias("n_categories"),
     )
-    entries = F.col("n_projects") + F.col("n_knowledge") + 1
-    master = cats.agg(F.count("*").alias("n"), F.coalesce(F.sum(entries), F.lit(0)).alias("m")).select(
-        F.lit("ecosystem").alias("type"),
-        F.lit("Projects Master Index").alias("title"),
-        F.lit("master").alias("source"),
-        F.format_string(
-            "Total Categories: %s\nTotal Knowledge Entries: %s",
-            F.col("n").cast("string"), F.col("m").cast("string"),
-        ).alias("content"),
+    totals = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_projects", "n_code", "n_knowledge", "n_categories")]
+
+    def entry(rows: DataFrame, kind: str) -> DataFrame:
+        """One shape for all kinds; what a kind does not have is null."""
+        text = ("category", "project", "file")
+        lists, counts = ("languages", "subprojects"), ("n_code", "n_knowledge", "n_projects", "n_categories", "n_entries")
+        held = lambda c, t: F.col(c).cast(t).alias(c) if c in rows.columns else F.lit(None).cast(t).alias(c)
+        return rows.select(
+            F.lit(kind).alias("type"),
+            *[held(c, "string") for c in text],
+            *[held(c, "array<string>") for c in lists],
+            *[held(c, "bigint") for c in counts],
+        )
+
+    entries = F.col("n_projects") + F.col("n_knowledge") + F.col("n_categories")
+    return (
+        entry(df.filter("is_knowledge").select("category", "project", "file"), "documentation")
+        .unionByName(entry(projects.withColumn("subprojects", F.coalesce("subprojects", none)), "project"))
+        .unionByName(entry(cats.withColumn("n_entries", entries).drop("n_categories"), "category"))
+        .unionByName(entry(cats.agg(*totals).withColumn("n_entries", entries), "ecosystem"))
     )
-    return project_rows.unionByName(category_rows).unionByName(master)
 
 
 def grouped_levels(df: DataFrame, outer: str, inner: str, measure: str) -> DataFrame:

@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .. import schemas
 from ..functions.fields import truthy
@@ -25,6 +25,7 @@ KNOWLEDGE_FILES = (
     "CMakeLists.txt", "requirements.txt", "pyproject.toml", "pom.xml", ".env.example",
     "docker-compose.yml", "Dockerfile",
 )
+OVERSIZED = "[File too large: %s bytes]"  # stands for a file over the limit
 KNOWLEDGE_ENDINGS = (".md", ".rst", ".txt")
 SKIPPED_DIRS = (
     "node_modules", ".git", "__pycache__", ".venv", "venv", ".pytest_cache", ".cache", "build",
@@ -153,7 +154,17 @@ def read_json_archive(
 ) -> DataFrame:
     """Zip archives of JSON arrays to rows with defaults; the first entry of a key wins.
 
-    Order is archive path, then member name, then position in the array.
+    Order is archive path, then member name, then position in the array.  Several small
+    archives share a task, as files do; one archive is opened by one task.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return unpack_archives(files, schema, key)
+
+
+def unpack_archives(files: DataFrame, schema: str = schemas.CVE_ENTRY, key: str = "cve_id") -> DataFrame:
+    """As :func:`read_json_archive`, from (path, content) rows.
+
+    Python only unzips, a member at a time; Spark parses the arrays.
     """
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,19 +172,12 @@ def read_json_archive(
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     for name in sorted(n for n in z.namelist() if n.endswith(".json")):
-                        with z.open(name) as member:
-                            try:
-                                entries = json.load(member)
-                            except ValueError:
-                                continue
-                        texts = [json.dumps(e) for e in entries]
-                        yield pd.DataFrame(
-                            {"path": path, "member": name, "pos": range(len(texts)), "entry": texts}
-                        )
+                        text = z.read(name).decode("utf-8", "replace")
+                        yield pd.DataFrame({"path": [path], "member": [name], "text": [text]})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    raw = files.mapInPandas(members, "path string, member string, pos bigint, entry string")
-    rows = raw.withColumn("e", F.from_json("entry", schema)).filter(truthy(F.col(f"e.{key}")))
+    raw = files.mapInPandas(members, "path string, member string, text string")
+    parsed = raw.select("path", "member", F.posexplode(F.from_json("text", f"array<struct<{_fields(schema)}>>")).alias("pos", "e"))
+    rows = parsed.filter(truthy(F.col(f"e.{key}")))
     first = rows.groupBy(F.col(f"e.{key}").alias("__k")).agg(
         F.min_by("e", F.struct("path", "member", "pos")).alias("e")
     )
@@ -184,6 +188,11 @@ def read_json_archive(
     return out
 
 
+def _fields(schema: str) -> str:
+    """``a string, b int`` as the inside of a struct type."""
+    return ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in T.StructType.fromDDL(schema))
+
+
 def read_scan_xml(spark: SparkSession, path: str) -> DataFrame:
     """One row per scanned host with an array of its ports."""
     hosts = spark.read.format("xml").option("rowTag", "host").schema(schemas.SCAN_HOST_XML).load(path)
@@ -230,7 +239,7 @@ def read_project_tree(spark: SparkSession, root: str, max_bytes: int = MAX_FILE_
     listed = files.select(rel.alias("path"), name.alias("file"), "length", "content", skipped.alias("s"), wanted.alias("w"))
     text = F.when(
         F.col("length") > max_bytes,
-        F.concat(F.lit("[File too large: "), F.col("length").cast("string"), F.lit(" bytes]")),
+        F.format_string(OVERSIZED, F.col("length").cast("string")),
     ).otherwise(F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit("")))
     return listed.filter(F.col("w") & ~F.col("s")).select("path", "file", "length", text.alias("content"))
 

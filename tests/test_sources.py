@@ -74,10 +74,14 @@ def test_project_tree(spark, tmp_path):
         "apps/one/big.txt": "[File too large: 50001 bytes]",
         "apps/one/sub/deep.md": "deep",
     }
-    entries = {r["source"]: r["content"] for r in project_rollup(io.project_listing(spark, str(tmp_path))).collect()}
-    assert "Languages: Python\nSubprojects: sub\nKnowledge Files: 2" in entries["apps/one"]
-    assert "Languages: Rust\nSubprojects: None" in entries["libs/two"]
-    assert "Total Categories: 2" in entries["master"]
+    rows = project_rollup(io.project_listing(spark, str(tmp_path))).collect()
+    by = {(r["type"], r["category"], r["project"]): r for r in rows if r["type"] != "documentation"}
+    one, two = by["project", "apps", "one"], by["project", "libs", "two"]
+    assert (one["languages"], one["subprojects"], one["n_knowledge"]) == (["Python"], ["sub"], 2)
+    assert (two["languages"], two["subprojects"]) == (["Rust"], [])
+    assert by["ecosystem", None, None]["n_categories"] == 2
+    assert by["ecosystem", None, None]["n_entries"] == sum(r["type"] != "ecosystem" for r in rows)
+    assert {r["file"] for r in rows if r["type"] == "documentation"} == {"README.md", "big.txt"}
 
 
 def test_jdbc_round_trip(spark, tmp_path):
