@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.urls import authority, join_url
-from ..operators import graph, merge
+from ..operators import fuzzy, graph, merge
 from .base import derive, query
 
 # Two customer tables: the stored one lacks low balances, and the arriving one
@@ -259,6 +259,18 @@ def restrict_to(t):
     return merge.restrict_to(df, target)
 
 
+@query(
+    "similar_strings",
+    """WITH a AS (SELECT DISTINCT lower(s_name) AS v FROM supplier), b AS (SELECT DISTINCT lower(c_name) AS v FROM customer UNION SELECT DISTINCT lower(p_type) FROM part UNION SELECT DISTINCT lower(s_name) FROM supplier)
+SELECT a.v AS "left", b.v AS "right", round(1 - levenshtein(a.v, b.v) / greatest(length(a.v), length(b.v))::DOUBLE, 9) AS similarity
+FROM a JOIN b ON levenshtein(a.v, b.v) <= 0.08 * greatest(length(a.v), length(b.v)) + 1e-9""",
+)
+def similar_strings(t):
+    names = t.supplier.select(F.lower("s_name").alias("v"))
+    others = t.customer.select(F.lower("c_name").alias("v")).union(t.part.select(F.lower("p_type"))).union(names)
+    return fuzzy.similar_strings(names, others, 0.92).withColumn("similarity", F.round("similarity", 9))
+
+
 # ------------------------------------------------------------------- graph
 
 HREF_SQL = """links AS (SELECT DISTINCT url AS src, split_part(url, ':', 1) || '://' || split_part(url, '/', 3) || href AS dst
@@ -328,13 +340,33 @@ m AS (SELECT * FROM r WHERE agent = '*'),
 u AS (SELECT page_id, url, split_part(url, '/', 3) AS domain, '/' || array_to_string(list_slice(string_split(url, '/'), 4, 99), '/') AS path FROM pages),
 v AS (SELECT page_id, arg_min(m.allow, m.ordinal * 2 + m.allow::INT) AS allow FROM u JOIN m ON u.domain = m.domain AND starts_with(u.path, m.path) GROUP BY 1),
 h AS (SELECT domain, arg_min(crawl_delay, ordinal * 100 + 50 - crawl_delay) AS d FROM m WHERE crawl_delay IS NOT NULL GROUP BY 1)
-SELECT page_id, coalesce(v.allow, TRUE) AS allowed, CASE WHEN coalesce(v.allow, TRUE) THEN 'allowed' ELSE 'disallowed_by_robots' END AS reason
-FROM u LEFT JOIN v USING (page_id)""",
+SELECT page_id, coalesce(v.allow, TRUE) AS allowed, CASE WHEN coalesce(v.allow, TRUE) THEN 'allowed' ELSE 'disallowed_by_robots' END AS reason,
+ CAST(coalesce(h.d, 1) AS INTEGER) AS crawl_delay FROM u LEFT JOIN v USING (page_id) LEFT JOIN h USING (domain)""",
 )
 def robots_verdict(t):
     rules = derive(t.pages, ROBOTS)
     out = graph.robots_verdict(t.pages.select("page_id", "url"), rules, "testbot")
-    return out.select("page_id", "allowed", "reason")
+    return out.select("page_id", "allowed", "reason", F.col("crawl_delay").cast("int").alias("crawl_delay"))
+
+
+ROBOTS_TEXT = {
+    "domain": "CAST(page_id AS VARCHAR(20))",
+    "text": "concat('# of page', chr(10), 'Disallow: /early', chr(10), 'User-Agent: *', chr(10), 'Disallow: /p', CAST(page_id AS VARCHAR(20)), ' # private', chr(13), chr(10), "
+    "'Crawl-delay: ', CAST(page_id % 9 AS VARCHAR(20)), '.5', chr(10), 'Sitemap: http://x/y', chr(10), CASE WHEN page_id % 2 = 0 THEN concat('user-agent: OneBot', chr(10)) ELSE '' END, "
+    "'User-agent : TwoBot', chr(10), 'Allow: /a', chr(10), 'Disallow:', chr(10), 'crawl-delay: soon', chr(10), 'User-agent: SlowBot', chr(10), 'Crawl-delay: 7')",
+}
+
+
+@query(
+    "robots_rules",
+    """WITH a AS (SELECT CAST(page_id AS VARCHAR) AS domain, page_id FROM pages)
+SELECT domain, '*' AS agent, FALSE AS allow, '/p' || page_id AS path, page_id % 9 + 0.5::DOUBLE AS crawl_delay FROM a
+UNION ALL SELECT domain, unnest(CASE WHEN page_id % 2 = 0 THEN ['onebot', 'twobot'] ELSE ['twobot'] END), TRUE, '/a', NULL FROM a
+UNION ALL SELECT domain, unnest(CASE WHEN page_id % 2 = 0 THEN ['onebot', 'twobot'] ELSE ['twobot'] END), TRUE, '/', NULL FROM a
+UNION ALL SELECT domain, 'slowbot', TRUE, '/', 7 FROM a""",
+)
+def robots_rules(t):
+    return graph.robots_rules(derive(t.pages, ROBOTS_TEXT)).drop("ordinal")
 
 
 @query(

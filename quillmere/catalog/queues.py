@@ -180,15 +180,15 @@ def list_positions(t):
     return out.select("c_custkey", "position")
 
 
-GATE_SQL = """WITH RECURSIVE d AS (SELECT user_id % 10 AS domain, event_id AS seq, ts, event_type <> 'signup' AS robots_ok FROM events),
+GATE_SQL = """WITH RECURSIVE d AS (SELECT user_id % 10 AS domain, event_id AS seq, ts, event_type <> 'signup' AS robots_ok, to_seconds(3600 * (1 + user_id % 10)) AS wait FROM events),
 o AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY ts, seq) AS i FROM d),
 w AS (SELECT domain, i, ts, seq, robots_ok AS allowed, CASE WHEN robots_ok THEN 'allowed' ELSE 'disallowed_by_robots' END AS reason,
   CASE WHEN robots_ok THEN ts END AS last, CAST(NULL AS TIMESTAMP) AS restricted_until FROM o WHERE i = 1
  UNION ALL
- SELECT o.domain, o.i, o.ts, o.seq, o.robots_ok AND (w.last IS NULL OR o.ts >= w.last + INTERVAL 7200 SECOND),
-  CASE WHEN o.ts < w.last + INTERVAL 7200 SECOND THEN 'crawl_delay' WHEN o.robots_ok THEN 'allowed' ELSE 'disallowed_by_robots' END,
-  CASE WHEN o.robots_ok AND (w.last IS NULL OR o.ts >= w.last + INTERVAL 7200 SECOND) THEN o.ts ELSE w.last END,
-  CASE WHEN o.ts < w.last + INTERVAL 7200 SECOND THEN w.last + INTERVAL 7200 SECOND END
+ SELECT o.domain, o.i, o.ts, o.seq, o.robots_ok AND (w.last IS NULL OR o.ts >= w.last + o.wait),
+  CASE WHEN o.ts < w.last + o.wait THEN 'crawl_delay' WHEN o.robots_ok THEN 'allowed' ELSE 'disallowed_by_robots' END,
+  CASE WHEN o.robots_ok AND (w.last IS NULL OR o.ts >= w.last + o.wait) THEN o.ts ELSE w.last END,
+  CASE WHEN o.ts < w.last + o.wait THEN w.last + o.wait END
  FROM w JOIN o ON o.domain = w.domain AND o.i = w.i + 1)
 SELECT CAST(domain AS VARCHAR) AS domain, seq, allowed, reason, restricted_until FROM w"""
 
@@ -197,12 +197,13 @@ def gate_requests(t):
     return t.events.select(
         (F.col("user_id") % 10).alias("domain"), F.col("event_id").alias("seq"), "ts",
         (F.col("event_type") != "signup").alias("robots_ok"),
+        (3600.0 * (1 + F.col("user_id") % 10)).alias("wait"),
     )
 
 
 @query("rate_gate", GATE_SQL)
 def rate_gate(t):
-    out = gates.rate_gate_batch(gate_requests(t), "domain", "ts", "seq", 7200.0, "robots_ok")
+    out = gates.rate_gate_batch(gate_requests(t), "domain", "ts", "seq", "wait", "robots_ok")
     return out.select("domain", "seq", "allowed", "reason", "restricted_until")
 
 

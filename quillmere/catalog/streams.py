@@ -38,8 +38,9 @@ def stream_rate_gate(t):
     requests = source(t, "events").select(
         (F.col("user_id") % 10).alias("domain"), F.col("event_id").alias("seq"), "ts",
         (F.col("event_type") != "signup").alias("robots_ok"),
+        (3600.0 * (1 + F.col("user_id") % 10)).alias("wait"),
     )
-    out = gates.rate_gate(requests, "domain", "ts", "seq", 7200.0, "robots_ok")
+    out = gates.rate_gate(requests, "domain", "ts", "seq", "wait", "robots_ok")
     return drain(t, out, "gate").select("domain", "seq", "allowed", "reason", "restricted_until")
 
 

@@ -85,6 +85,51 @@ def resume_frontier(
     return visited
 
 
+def robots_rules(files: DataFrame, domain: str = "domain", text: str = "text") -> DataFrame:
+    """robots.txt texts to ``robots_verdict``'s rules (domain, ordinal, agent, allow, path, crawl_delay).
+
+    Consecutive agent lines open a group that holds until the next agent line after a
+    directive.  Each allow or disallow line with a path gives a row for each agent of its
+    group, in file order; an empty disallow allows everything.  A group's delay stands on all
+    of its rows, or on one that allows everything if it has no other.  Comments, unknown
+    fields, lines before any agent and values that are no number are passed over.
+    """
+    order = Window.partitionBy("domain").orderBy("i")
+    lines = files.select(
+        F.col(domain).alias("domain"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"\r\n|\r|\n")).alias("i", "line")
+    ).withColumn("line", F.regexp_replace("line", "#.*$", ""))
+    pairs = lines.select(
+        "domain", "i",
+        F.lower(F.trim(F.regexp_extract("line", r"^([^:]*):", 1))).alias("field"),
+        F.trim(F.regexp_extract("line", r"^[^:]*:(.*)$", 1)).alias("value"),
+    ).filter(F.col("field").isin("user-agent", "allow", "disallow", "crawl-delay"))
+    is_agent = F.col("field") == "user-agent"
+    opens = is_agent & ~F.coalesce(F.lag(is_agent).over(order), F.lit(False))
+    grouped = pairs.withColumn("opens", opens.cast("int")).withColumn("grp", F.sum("opens").over(order)).filter("grp > 0")
+    agents = grouped.filter(is_agent).groupBy("domain", "grp", F.lower("value").alias("agent")).agg(F.min("i").alias("first"))
+    delays = (
+        grouped.filter("field = 'crawl-delay'")
+        .select("domain", "grp", "i", F.col("value").try_cast("double").alias("d"))
+        .filter("d >= 0")
+        .groupBy("domain", "grp")
+        .agg(F.min_by("d", "i").alias("crawl_delay"))
+    )
+    ruled = grouped.filter("field IN ('allow', 'disallow')").select(
+        "domain", "grp", F.col("i").alias("ordinal"),
+        ((F.col("field") == "allow") | (F.col("value") == "")).alias("allow"),
+        F.when(F.col("value") == "", "/").otherwise(F.col("value")).alias("path"),
+    )
+    bare = delays.join(ruled, ["domain", "grp"], "left_anti").select(
+        "domain", "grp", F.lit(1 << 30).alias("ordinal"), F.lit(True).alias("allow"), F.lit("/").alias("path")
+    )
+    return (
+        ruled.unionByName(bare)
+        .join(agents, ["domain", "grp"])
+        .join(delays, ["domain", "grp"], "left")
+        .select("domain", "ordinal", "agent", "allow", "path", "crawl_delay")
+    )
+
+
 def robots_verdict(urls: DataFrame, rules: DataFrame, agent: str, default_delay: int = 1) -> DataFrame:
     """First matching robots rule per url.
 
@@ -98,9 +143,10 @@ def robots_verdict(urls: DataFrame, rules: DataFrame, agent: str, default_delay:
     )
     hosts = mine.groupBy("domain").agg(
         F.collect_set(F.length("path")).alias("lengths"),
-        F.max_by("crawl_delay", F.when(F.col("crawl_delay").isNotNull(), -F.col("ordinal"))).alias(
-            "host_delay"
-        ),
+        F.min_by(
+            "crawl_delay",
+            F.when(F.col("crawl_delay").isNotNull(), F.struct("ordinal", (-F.col("crawl_delay")).alias("d"))),
+        ).alias("host_delay"),
     )
     firsts = mine.groupBy("domain", "path").agg(
         F.min(F.struct("ordinal", "allow")).alias("rule")

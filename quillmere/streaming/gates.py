@@ -19,7 +19,18 @@ def _walk(ts: np.ndarray, robots: np.ndarray, delay: np.ndarray, last: float) ->
     """
     allowed = np.zeros(len(ts), dtype=bool)
     until = np.full(len(ts), np.nan)
-    for i in range(len(ts)):
+    if len(ts) and (delay == delay[0]).all():
+        # One jump for each allowed request: everything before its delay has passed is late.
+        open_at, i = np.flatnonzero(robots), 0
+        while True:
+            j = int(np.searchsorted(ts, last + delay[0], side="left"))
+            until[i:j] = last + delay[0]
+            k = int(np.searchsorted(open_at, max(i, j), side="left"))
+            if k == len(open_at):
+                return allowed, until, last
+            i = int(open_at[k])
+            allowed[i], last, i = True, float(ts[i]), i + 1
+    for i in range(len(ts)):  # delays that differ from request to request
         nxt = last + delay[i]
         if ts[i] < nxt:
             until[i] = nxt
@@ -112,7 +123,7 @@ def rate_gate_batch(
     key: str,
     ts: str,
     seq: str,
-    delay: float,
+    delay: float | str,
     robots: str | None = None,
     chunk_seconds: int = 86_400,
 ) -> DataFrame:
@@ -122,24 +133,36 @@ def rate_gate_batch(
     which lies within ``delay`` of the chunk's start.  So each chunk first tells,
     for each such request (and for "nothing in the way"), when it would end;
     a short pass over these tables fixes every chunk's start; then all chunks are
-    gated at once.  ``chunk_seconds`` must not be shorter than ``delay``.
+    gated at once.  ``delay`` is a number or a column that is constant for each key;
+    chunks are made as long as the longest delay.
     """
-    if chunk_seconds < delay:
-        raise ValueError("chunk_seconds must be at least the delay")
+    if isinstance(delay, str):
+        spread = (
+            df.groupBy(key)
+            .agg(F.min(delay).alias("lo"), F.max(delay).alias("hi"), F.count_if(F.col(delay).isNull()).alias("none"))
+            .agg(F.max("hi").alias("most"), F.count_if((F.col("lo") < F.col("hi")) | (F.col("none") > 0)).alias("mixed"))
+            .first()
+        )
+        if spread["mixed"]:
+            raise ValueError(f"{delay} must be one number for each {key}")
+        longest = float(spread["most"] or 0.0)
+    else:
+        longest = float(delay)
+    chunk_seconds = max(chunk_seconds, int(np.ceil(longest)))
     since = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
     rows = _requests(df, key, ts, seq, delay, robots).withColumn(
         "chunk", F.floor(since / F.lit(chunk_seconds))
     )
 
-    wait = float(delay) * 1e6
     span = float(chunk_seconds) * 1e6
 
     def exits(k, pdf: pd.DataFrame) -> pd.DataFrame:
         """(first request let in, last allowed at the end) for each possible start."""
+        wait = float(pdf["delay"].iloc[0]) * 1e6
         pdf = pdf[pdf["robots_ok"]].sort_values(["ts", "seq"], kind="stable")
         t = _micros(pdf["ts"])
         if len(t) == 0:
-            return pd.DataFrame({"domain": [k[0]], "chunk": [k[1]], "enter": [np.nan], "leave": [np.nan]})
+            return pd.DataFrame({"domain": [k[0]], "chunk": [k[1]], "wait": [wait], "enter": [np.nan], "leave": [np.nan]})
         t = np.unique(t)
         nxt = np.searchsorted(t, t + wait, side="left")
         leave = t.copy()
@@ -151,16 +174,17 @@ def rate_gate_batch(
         enter, leave = t[:n], leave[:n]
         # Starts that end alike fold into the latest of them.
         keep = np.append(leave[1:] != leave[:-1], True)
-        return pd.DataFrame({"domain": k[0], "chunk": k[1], "enter": enter[keep], "leave": leave[keep]})
+        return pd.DataFrame({"domain": k[0], "chunk": k[1], "wait": wait, "enter": enter[keep], "leave": leave[keep]})
 
     table = rows.groupBy("domain", "chunk").applyInPandas(
-        exits, "domain string, chunk bigint, enter double, leave double"
+        exits, "domain string, chunk bigint, wait double, enter double, leave double"
     )
 
     def chain(k, pdf: pd.DataFrame) -> pd.DataFrame:
         last, out = -np.inf, []
         for c, part in pdf.sort_values(["chunk", "enter"]).groupby("chunk", sort=True):
             out.append((k[0], c, last))
+            wait = float(part["wait"].iloc[0])
             part = part.dropna()
             enter = part["enter"].to_numpy()
             at = int(np.searchsorted(enter, last + wait, side="left"))

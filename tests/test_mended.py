@@ -67,3 +67,27 @@ def test_ids_that_collide_are_told_apart(spark):
 def test_pages_that_share_a_url_do_not_multiply_rows(spark):
     pages = spark.createDataFrame([("u", 2), ("u", 1)], "url string, page_id long")
     assert [tuple(r) for r in graph.attach_page_id(spark.createDataFrame([("u", "t")], "url string, x string"), pages).collect()] == [("u", "t", 1)]
+
+
+def test_similar_strings_equal_all_pairs(spark):
+    import random
+
+    from quillmere.operators.fuzzy import similar_strings
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 14))) for _ in range(60)] + ["", None, "é😀x"]
+    df = spark.createDataFrame([(w,) for w in words], "v string")
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    known = {w for w in words if w}
+    for threshold in (0.5, 0.7, 0.8, 0.92):
+        want = {(a, b) for a in known for b in known if 1 - edits(a, b) / max(len(a), len(b)) >= threshold - 1e-9}
+        got = [(r["left"], r["right"]) for r in similar_strings(df, df, threshold).collect()]
+        assert set(got) == want and len(got) == len(want)
