@@ -11,13 +11,15 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from quillmere.catalog import QUERIES  # noqa: E402
-from quillmere.runtime import build_session  # noqa: E402
+from quillmere.runtime import build_session, scratch_scope  # noqa: E402
 
 HEADLINE = (
     "quality_rank_counts", "field_completeness", "apply_rules", "upsert_overwrite", "duplicate_flag",
     "consistency", "risk_lookups", "scan_summary", "box_stats", "histogram", "error_streaks", "rate_gate",
     "latest_per_key", "expand_frontier", "robots_verdict", "extract_page", "link_edges", "simhash",
     "near_dups", "project_topk", "gestalt_sparse", "mean_pairwise_l2", "best_of_n", "chat_corpus",
+    "extract_sections", "language_gate", "reconstruct", "stream_rate_gate", "stream_upsert", "risk_regressor",
+    "expand_frontier_to_end", "similar_strings",
 )
 
 
@@ -28,7 +30,8 @@ def main() -> None:
     times = {}
     for name in HEADLINE:
         start = time.perf_counter()
-        QUERIES[name](spark, base).write.format("noop").mode("overwrite").save()
+        with scratch_scope(spark):
+            QUERIES[name](spark, base).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
         print(f"{name} {times[name]}", file=sys.stderr)
     total = round(sum(times.values()), 3)

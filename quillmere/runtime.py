@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -34,13 +35,32 @@ def build_session(app: str = "quillmere", cores: str = "*", **conf: str) -> Spar
     return spark
 
 
+SCOPE = "quillmere.scratch.scope"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own, below the shared one, for all tables written inside; deleted at the end.
+
+    What reads those tables must have run by then.
+    """
+    root, outer = scratch_path(spark, "scope"), spark.conf.get(SCOPE, None)
+    spark.conf.set(SCOPE, root)
+    try:
+        yield root
+    finally:
+        spark.conf.unset(SCOPE) if outer is None else spark.conf.set(SCOPE, outer)
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``.
+    """Folder every executor can reach: ``spark.checkpoint.dir``, or the scope's folder below it.
 
     A machine-local folder is only ever made up in local mode, where the whole
     "cluster" is one process.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or (
+    configured = spark.conf.get(SCOPE, None) or spark.conf.get("spark.checkpoint.dir", None) or (
         spark.sparkContext.getConf().get("spark.checkpoint.dir")
     )
     if configured:

@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -11,4 +12,5 @@ from quillmere.runtime import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return build_session("tests", "8", **{"spark.driver.memory": "8g"})
+    scratch = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return build_session("tests", "8", **{"spark.driver.memory": "8g", "spark.checkpoint.dir": scratch})

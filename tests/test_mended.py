@@ -91,3 +91,14 @@ def test_similar_strings_equal_all_pairs(spark):
         want = {(a, b) for a in known for b in known if 1 - edits(a, b) / max(len(a), len(b)) >= threshold - 1e-9}
         got = [(r["left"], r["right"]) for r in similar_strings(df, df, threshold).collect()]
         assert set(got) == want and len(got) == len(want)
+
+
+def test_scope_deletes_what_was_written_inside(spark, tmp_path):
+    import os
+
+    from quillmere.runtime import cut_lineage, scratch_scope
+
+    with scratch_scope(spark) as root:
+        assert cut_lineage(spark.range(5), "x").count() == 5
+        assert os.listdir(root.removeprefix("file://"))
+    assert not os.path.exists(root.removeprefix("file://"))
