@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -28,7 +29,7 @@ BINS = 256
 NAMES = (
     "upper", "lower", "digit", "stop", "mark", "symbol", "bang", "bar", "blank", "line_end", "wide",
     "words", "word_length", "long_words", "distinct_words", "repeated_lines", "stops_per_word",
-    "capital_words", "marked_words", "line_words",
+    "capital_words", "marked_words", "line_words", "stutter",
 )
 _PART = 1 << 20
 
@@ -61,6 +62,7 @@ def text_figures(text: str):
             sum(1 for x in words if x[0].isupper()) / w,
             sum(1 for x in words if not x[-1].isalnum()) / w,
             np.log1p(w / max(1, len(lines))),
+            sum(map(eq, words, words[1:])) / w,
         ]
     )
 
