@@ -183,7 +183,8 @@ def fit_nonnegative(positive, unlabelled, prior: float):
 def prior_of(positive, unlabelled) -> float:
     """Least ratio of the upper tails of two histograms, best bin last, with room for chance.
 
-    Only tails with a tenth of the positives count; half as many positives give none.
+    Only tails with half of the positives count: the very top holds what the ranking has
+    learned by heart.  Without positives or unlabelled rows it is a half.
     """
     import numpy as np
 
@@ -192,7 +193,7 @@ def prior_of(positive, unlabelled) -> float:
         return 0.5
     room = np.sqrt(1 / p[-1]) + np.sqrt(1 / u[-1])
     share_p, share_u = p / p[-1], u / u[-1]
-    wide = share_p >= 0.1
+    wide = share_p >= 0.5
     best = np.argmin(np.where(wide, (share_u + room) / np.maximum(share_p, 1e-12), np.inf))
     return float(np.clip(share_u[best] / share_p[best], 0.01, 0.99))
 
