@@ -29,7 +29,13 @@ def duplicate_flag(
             .distinct()
             .withColumn(f"__h{i}", F.lit(True))
         )
-        df = df.join(seen, F.col(key) == F.col(f"__k{i}"), "left").drop(f"__k{i}")
+        # Null and blank keys match nothing; each such row gets a salt, so they do not pile up in one task.
+        salt = F.when(truthy(key, df.schema[key].dataType), F.lit(0)).otherwise(F.rand(i) * 1e9 + 1).cast("int")
+        df = (
+            df.withColumn(f"__s{i}", salt)
+            .join(seen.withColumn("__zero", F.lit(0)), (F.col(key) == F.col(f"__k{i}")) & (F.col(f"__s{i}") == F.col("__zero")), "left")
+            .drop(f"__k{i}", f"__s{i}", "__zero")
+        )
         hit = hit | F.coalesce(f"__h{i}", F.lit(False))
     flagged = df.withColumn(name, F.when(hit, "duplicate").otherwise("unique"))
     return flagged.drop(*[f"__h{i}" for i in range(len(keys))])

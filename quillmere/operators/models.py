@@ -69,16 +69,19 @@ def text_label_index(df: DataFrame, label: str, order: str) -> DataFrame:
 
 
 def train_text_classifier(
-    df: DataFrame, title: str, content: str, label: str, order: str, max_iter: int = 30
+    df: DataFrame, title: str, content: str, label: str, order: str, max_iter: int = 30, vocabulary: int = VOCABULARY
 ) -> tuple[PipelineModel, DataFrame]:
-    """TF-IDF over title and content, at least ten characters; (model, label table)."""
+    """TF-IDF over title and content, at least ten characters; (model, label table).
+
+    ``vocabulary`` is the number of commonest terms that are features; rarer ones are not used.
+    """
     text = F.trim(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(content, F.lit(""))))
     rows = df.withColumn("text", text).filter((F.length("text") >= MIN_TEXT) & truthy(label))
     labels = text_label_index(rows, label, order)
     stages = [
         RegexTokenizer(inputCol="text", outputCol="words", pattern=r"(?U)\b\w\w+\b", gaps=False),
         StopWordsRemover(inputCol="words", outputCol="kept"),
-        CountVectorizer(inputCol="kept", outputCol="tf", vocabSize=VOCABULARY),
+        CountVectorizer(inputCol="kept", outputCol="tf", vocabSize=vocabulary),
         IDF(inputCol="tf", outputCol="features"),
         LogisticRegression(featuresCol="features", labelCol="label_index", maxIter=max_iter),
     ]

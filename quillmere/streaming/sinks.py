@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dedup import near_dups
 from ..operators.merge import upsert
+from ..runtime import cut_lineage
 
 _DONE = "_SUCCESS"
 
@@ -46,61 +47,50 @@ class VersionedTable:
             self._fs.delete(self._path(f"{self.path}/v={old}"), True)
 
 
-class BucketedTable(VersionedTable):
-    """A keyed table in hash buckets; a batch rewrites only the buckets it touches.
+class BucketedTable:
+    """A keyed table partitioned by hash bucket; a batch overwrites only the partitions it touches.
 
-    ``manifest/v=<batch id>`` says which version of each bucket is current, so a
-    batch becomes visible at once when its manifest is complete.  Choose
-    ``buckets`` so that one bucket is a few hundred megabytes.
+    Each row carries the batch that last wrote its bucket, so a replayed batch leaves alone
+    what it has written already.  Choose ``buckets`` so that one is a few hundred megabytes.
+    Partitions are replaced one by one: read between batches, not during one.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: str, key: str | Sequence[str], buckets: int = 64) -> None:
-        super().__init__(spark, f"{path.rstrip('/')}/manifest", "b int, v bigint")
-        self.root, self.row_schema, self.buckets = path.rstrip("/"), schema, buckets
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
         self.keys = [key] if isinstance(key, str) else list(key)
+        self.schema = T.StructType.fromDDL(schema)
+        self.stored = T.StructType([*self.schema.fields, T.StructField("_batch", T.LongType()), T.StructField("_bucket", T.IntegerType())])
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
 
-    def _current(self, before: int | None = None) -> dict[int, int]:
-        """Version of each bucket that has rows; at most one entry per bucket."""
-        return {r["b"]: r["v"] for r in VersionedTable.read(self, before).collect()}
+    def _rows(self) -> DataFrame:
+        return self.spark.read.schema(self.stored).parquet(self.path)
 
-    def _rows(self, current: dict[int, int]) -> DataFrame:
-        if not current:
-            return self.spark.createDataFrame([], self.row_schema)
-        paths = [f"{self.root}/data/v={v}/b={b}" for b, v in sorted(current.items())]
-        return self.spark.read.schema(self.row_schema).parquet(*paths)
-
-    def read(self, before: int | None = None) -> DataFrame:
-        return self._rows(self._current(before))
+    def read(self) -> DataFrame:
+        return self._rows().select(*self.schema.fieldNames())
 
     def merge(self, batch: DataFrame, version: int, fold: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
         """Replace the touched buckets by ``fold(their rows, batch)``."""
         bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
-        touched = {r["b"] for r in batch.select(bucket.alias("b")).distinct().collect()}
-        current = self._current(version)
-        held = {b: v for b, v in current.items() if b in touched}
-        out = f"{self.root}/data/v={version}"
-        merged = fold(self._rows(held), batch).withColumn("b", bucket)
-        merged.hint("rebalance", "b").write.mode("overwrite").partitionBy("b").parquet(out)
-        written = [s.getPath().getName() for s in self._fs.listStatus(self._path(out))]
-        current = {b: v for b, v in current.items() if b not in touched}
-        current.update({int(n[2:]): version for n in written if n.startswith("b=")})
-        state = self.spark.createDataFrame(sorted(current.items()), "b int, v bigint")
-        state.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/v={version}")
-
-    def vacuum(self, keep: int = 2) -> None:
-        """Drop bucket versions that none of the last ``keep`` manifests names."""
-        ids = self.versions()[-keep:]
-        named = {(b, v) for i in ids for b, v in self._current(i + 1).items()}
-        for folder in self._fs.listStatus(self._path(f"{self.root}/data")):
-            v = int(folder.getPath().getName()[2:])
-            for part in self._fs.listStatus(folder.getPath()):
-                name = part.getPath().getName()
-                if name.startswith("b=") and v < ids[-1] and (int(name[2:]), v) not in named:
-                    self._fs.delete(part.getPath(), True)
+        written = self._rows().filter(F.col("_batch") >= version).select("_bucket").distinct()
+        # At most one number for each bucket.
+        todo = [
+            r["b"] for r in batch.select(bucket.alias("b")).distinct().join(written, F.col("b") == F.col("_bucket"), "left_anti").collect()
+        ]
+        if not todo:
+            return
+        held = self._rows().filter(F.col("_bucket").isin(todo)).select(*self.schema.fieldNames())
+        merged = fold(held, batch.filter(bucket.isin(todo))).select(
+            *self.schema.fieldNames(), F.lit(version).cast("bigint").alias("_batch"), bucket.alias("_bucket")
+        )
+        # Written aside first: the plan reads the partitions that it replaces.
+        cut_lineage(merged, "buckets").hint("rebalance", "_bucket").write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy("_bucket").parquet(self.path)
 
 
 def upsert_sink(
-    table: VersionedTable, key: str | Sequence[str], policy: Mapping[str, str] | str, order: Sequence[str] = ()
+    table: VersionedTable | BucketedTable, key: str | Sequence[str], policy: Mapping[str, str] | str, order: Sequence[str] = ()
 ) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function that merges each batch once, also when replayed."""
 
