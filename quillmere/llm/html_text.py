@@ -6,7 +6,8 @@ comments and the like) is left out.  Every node gets its composite text density:
 for each tag, less what links hold, adjusted by the page's share of linked text.  The node
 whose children's densities sum to the most holds the article; the least density on its path
 to the body is the threshold that a subtree beside it must reach to belong to the article
-as well.  Blocks come out in page order.
+as well.  An <article> around that node, or a <main> around it that has no other articles, is
+taken whole; one that does not hold it has no say.  Blocks come out in page order.
 """
 
 from __future__ import annotations
@@ -205,14 +206,6 @@ def measure(root: Node) -> list[Node]:
 def article(root: Node) -> list[Node]:
     """Subtrees that hold the article, in page order."""
     nodes = measure(root)
-    marked = [n for n in nodes if n.tag == "article" and n.chars] or [n for n in nodes if n.tag == "main" and n.chars]
-    if marked:
-        # The page itself names its article; of several, those that no other one holds.
-        inside = set()
-        for n in nodes:
-            if n.parent is not None and (id(n.parent) in inside or n.parent in marked):
-                inside.add(id(n))
-        return [n for n in marked if id(n) not in inside]
     sums = {id(n): sum(c.density for c in n.children) for n in nodes}
     best = max(nodes, key=lambda n: sums[id(n)])
     if not sums[id(best)]:
@@ -222,13 +215,32 @@ def article(root: Node) -> list[Node]:
         path.append(node.density)
         node = node.parent
     threshold = min(path)
-    beside = []
-    if best.parent is not None:
-        for n in best.parent.children:
-            if n is best or (n.density >= threshold and n.chars and n.link_chars * 2 < n.chars):
-                beside.append(n)
-        return beside
-    return [best]
+    top = _named(best, nodes)
+    if top.parent is None:
+        return [top]
+    return [n for n in top.parent.children if n is top or (n.density >= threshold and n.chars and n.link_chars * 2 < n.chars)]
+
+
+def _named(best: Node, nodes: list[Node]) -> Node:
+    """The outermost <article> around the densest node, or else a <main> around it without other articles, or else the node."""
+    path, node = [], best
+    while node is not None:
+        path.append(node)
+        node = node.parent
+    articles = [n for n in path if n.tag == "article"]
+    if articles:
+        return articles[-1]
+    inside = {id(best)}
+    for n in nodes:
+        if n.parent is not None and id(n.parent) in inside:
+            inside.add(id(n))
+    held = set()
+    for n in nodes:
+        if n.tag == "article" and n.chars and id(n) not in inside:
+            while n is not None and id(n) not in held:
+                held.add(id(n))
+                n = n.parent
+    return next((n for n in reversed(path) if n.tag == "main" and id(n) not in held), best)
 
 
 def blocks_of(node: Node, out: list[str]) -> None:

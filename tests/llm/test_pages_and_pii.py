@@ -115,3 +115,18 @@ def test_em_finds_the_reliable_labeler():
     likely = pii.reliabilities(patterns)
     assert likely[0, (0, 0, 1, 1, 0)] > 0.8 and likely[0, (0, 0, 1, -1, 0)] > 0.8
     assert likely[0, (0, -1, -1, 1, -1)] < 0.2
+
+
+STORY = "".join(f"<p>Paragraph {i} of the story, which goes on for a good while and links to nothing at all.</p>" for i in range(6))
+STORY_TEXT = "\n".join(f"Paragraph {i} of the story, which goes on for a good while and links to nothing at all." for i in range(6))
+CARDS = "".join(f"<article><h3><a href={i}>Teaser {i} with a long linked title</a></h3></article>" for i in range(3))
+
+
+@pytest.mark.parametrize("html", [f"<div>{STORY}</div><div>{CARDS}</div>", f"<main><div>{STORY}</div>{CARDS}</main>", f"<div>{CARDS}</div><main>{STORY}</main>"])
+def test_density_overrules_article_tags(html):
+    assert html_text.main_text(html) == STORY_TEXT
+
+
+def test_story_goes_on_beside_the_article_tag():
+    first, rest = STORY[: STORY.index("<p>Paragraph 4")], STORY[STORY.index("<p>Paragraph 4") :]
+    assert html_text.main_text(f"<div><article>{first}</article><div>{rest}</div></div>") == STORY_TEXT
