@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
+    best_fit,
     decontamination,
     exact_dedup,
     html_text,
@@ -63,6 +64,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
 
 
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pieces(table(spark, sf_dir, "documents"))
+
+
 OP10_SQL = """
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
 FROM (SELECT doc_id, coalesce(text, '') AS t,
@@ -82,5 +87,6 @@ QUERIES: dict[str, Query] = {
     "op8_pii": op8_pii,
     "op9_decontamination": op9_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
+    "op13_best_fit": op13_best_fit,
 }
 ORACLES: dict[str, str] = {"op10_exact_dedup": OP10_SQL}
