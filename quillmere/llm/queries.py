@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import (
     best_fit,
+    collocations,
     decontamination,
     exact_dedup,
     html_text,
@@ -64,6 +65,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pieces(table(spark, sf_dir, "documents"))
 
@@ -76,6 +81,50 @@ FROM (SELECT doc_id, coalesce(text, '') AS t,
       FROM documents)
 """
 
+OP11_SQL = r"""
+WITH pieces AS MATERIALIZED (
+    SELECT coalesce(lang, 'und') AS lang,
+           list_filter(string_split_regex(unnest(string_split_regex(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[.,;:!?\x0A-\x0D]')), '[\x20\x09]+'), lambda x: x <> '') AS w
+    FROM documents
+),
+f AS MATERIALIZED (
+    SELECT lang, array_to_string(p, ' ') AS p, len(p) AS k, count(*)::BIGINT AS a
+    FROM (SELECT lang, w[i : i + k - 1] AS p
+          FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (VALUES (1), (2), (3)) v(k)))
+    GROUP BY ALL
+),
+sizes AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT *, string_split(p, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
+inside AS (
+    SELECT lang, part, max(a) AS longer
+    FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS part FROM c WHERE k = 3)
+    GROUP BY lang, part
+),
+split AS MATERIALIZED (
+    SELECT lang, p, a, j, array_to_string(w[1:j], ' ') AS first, array_to_string(w[j + 1:], ' ') AS rest
+    FROM (SELECT *, unnest(range(1, k)) AS j FROM c)
+),
+cuts AS (
+    SELECT s.lang, s.p, s.a, j, x.a AS l, y.a AS r, (1000000::HUGEINT * s.a * s.a) // (x.a::HUGEINT * y.a) AS score
+    FROM split s
+    JOIN f x ON x.lang = s.lang AND x.p = s.first
+    JOIN f y ON y.lang = s.lang AND y.p = s.rest
+),
+lowest AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1
+),
+ranked AS (
+    SELECT lowest.lang, p, lowest.a, l, r, score,
+           row_number() OVER (PARTITION BY lowest.lang ORDER BY score DESC, lowest.a DESC, p) AS rank
+    FROM lowest LEFT JOIN inside ON inside.lang = lowest.lang AND inside.part = lowest.p
+    WHERE longer IS NULL OR 100 * longer < 50 * lowest.a
+)
+SELECT ranked.lang, rank, p AS phrase, a, l, r, n, score::BIGINT AS score
+FROM ranked JOIN sizes ON sizes.lang = ranked.lang WHERE rank <= 2000
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_url_filter": op2_url_filter,
@@ -87,6 +136,7 @@ QUERIES: dict[str, Query] = {
     "op8_pii": op8_pii,
     "op9_decontamination": op9_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_collocations": op11_collocations,
     "op13_best_fit": op13_best_fit,
 }
-ORACLES: dict[str, str] = {"op10_exact_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op10_exact_dedup": OP10_SQL, "op11_collocations": OP11_SQL}
