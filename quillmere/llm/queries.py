@@ -16,6 +16,7 @@ from . import (
     near_dedup,
     packing,
     pii,
+    prefix_trie,
     quality,
     token_counts,
     url_filter,
@@ -69,6 +70,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pieces(table(spark, sf_dir, "documents"))
 
@@ -125,6 +130,48 @@ SELECT ranked.lang, rank, p AS phrase, a, l, r, n, score::BIGINT AS score
 FROM ranked JOIN sizes ON sizes.lang = ranked.lang WHERE rank <= 2000
 """
 
+# crc32 of the id's digits, bit by bit; only its last two bits are needed.
+OP12_SQL = r"""
+WITH named AS (
+    SELECT conv_id AS c, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id,
+           len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS words
+    FROM conversations WHERE conv_id IS NOT NULL
+),
+own AS (
+    SELECT c, list(id ORDER BY turn NULLS FIRST, id) AS t, list(words ORDER BY turn NULLS FIRST, id) AS w,
+           xor(list_reduce(
+               list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+               lambda crc, b: list_reduce(
+                   [xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                   lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)),
+               4294967295::BIGINT) % 4 AS h
+    FROM named GROUP BY c
+),
+rebuilt AS (
+    SELECT a.c, list_concat(coalesce(b.t[1:a.h], []), a.t[a.h + 1:]) AS t, list_concat(coalesce(b.w[1:a.h], []), a.w[a.h + 1:]) AS w
+    FROM own a LEFT JOIN own b ON b.c = a.c - a.c % 20
+),
+paths AS (
+    SELECT c, d, array_to_string(t[1:d], '') AS p, array_to_string(t[1:d - 1], '') AS up,
+           CASE WHEN d = 0 THEN 0 ELSE w[d] END AS words, d = len(t) AS ends
+    FROM (SELECT *, unnest(range(0, len(t) + 1)) AS d FROM rebuilt)
+),
+nodes AS (
+    SELECT p, any_value(d) AS d, any_value(up) AS up, min(c) AS c, count(*) AS n, (count(*) - 1) * any_value(words) AS saving,
+           sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+    FROM paths GROUP BY p
+),
+kids AS (SELECT up AS p, count(*) AS n FROM nodes WHERE d > 0 GROUP BY up),
+sums AS (
+    SELECT paths.p, sum(saving) AS saved, count(*) FILTER (kids.n IS NULL) AS leaves
+    FROM nodes LEFT JOIN kids ON kids.p = nodes.p JOIN paths ON paths.c = nodes.c AND paths.d <= nodes.d
+    GROUP BY paths.p
+)
+SELECT a.c AS conv_id, a.d AS depth, b.c AS parent_conv_id, a.n AS n_convs, coalesce(kids.n, 0) AS n_children,
+       sums.leaves AS n_leaves, sums.saved::BIGINT AS saved_tokens, a.ends_sha256
+FROM nodes a LEFT JOIN nodes b ON a.d > 0 AND b.p = a.up LEFT JOIN kids ON kids.p = a.p JOIN sums ON sums.p = a.p
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_url_filter": op2_url_filter,
@@ -137,6 +184,11 @@ QUERIES: dict[str, Query] = {
     "op9_decontamination": op9_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_collocations": op11_collocations,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_best_fit": op13_best_fit,
 }
-ORACLES: dict[str, str] = {"op10_exact_dedup": OP10_SQL, "op11_collocations": OP11_SQL}
+ORACLES: dict[str, str] = {
+    "op10_exact_dedup": OP10_SQL,
+    "op11_collocations": OP11_SQL,
+    "op12_prefix_trie": OP12_SQL,
+}
