@@ -25,9 +25,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..runtime import cut_lineage, scratch_path
 
-BLOCK = 1 << 17  # words of a block at most, but for the last text in it
-MAX_BITS = 24
+BLOCK = 1 << 19  # words of a block at most, but for the last text in it
+MAX_BITS = 26  # of a table that a task counts in, 64 MB, and of its packed bits, 8 MB
 CHUNK = 16  # bits of a slot inside its part of the table
+_MANY = 8  # children of a node beyond which it is placed alone
 SHARD = 500_000  # phrases of a trie, on average: about 20 MB
 _BREAKS = b".,;:!?\n\x0b\x0c\r"  # fixed values
 
@@ -217,9 +218,9 @@ def _candidates(blocks: DataFrame, passed: list, max_words: int) -> DataFrame:
 
 
 def double_array(paths: list[bytes]):
-    """(words, base, check, accepts) of phrases given as paths of eight bytes a word.
+    """(words, labels, base, check, accepts) of phrases given as paths of eight bytes a word.
 
-    ``words`` are the sorted keys; a word's label is its place there from 1.  The root is
+    ``words`` are the sorted keys and ``labels`` their labels, small ones for frequent words.  The root is
     slot 0; the child of slot s by label c is slot t = base[s] + c if check[t] = s.  ``accepts`` gives
     the slot of each path.
     """
@@ -228,49 +229,62 @@ def double_array(paths: list[bytes]):
     sizes = np.asarray([len(p) // 8 for p in paths])
     depth = int(sizes.max())
     grid = np.frombuffer(b"".join(p.ljust(8 * depth, b"\0") for p in paths), "<u8").reshape(-1, depth)
-    words = np.unique(grid[np.arange(depth) < sizes[:, None]])
-    labels = np.searchsorted(words, grid) + 1
+    used = np.arange(depth) < sizes[:, None]
+    words, inverse, times = np.unique(grid[used], return_inverse=True, return_counts=True)
+    labels = np.empty(words.size, np.int64)
+    labels[np.argsort(-times, kind="stable")] = np.arange(1, words.size + 1)
+    by_place = np.zeros(grid.shape, np.int64)
+    by_place[used] = labels[inverse]
     # Nodes by number, level by level; ``up`` and ``by`` are a node's parent and last label.
-    up, by, node, last = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], np.zeros(len(paths), np.int64), np.zeros(len(paths), np.int64)
+    up, by, node = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], np.zeros(len(paths), np.int64)
     total, width = 1, words.size + 1
     for k in range(depth):
         here = np.flatnonzero(sizes > k)
-        pair, inverse = np.unique(node[here] * width + labels[here, k], return_inverse=True)
+        pair, inverse = np.unique(node[here] * width + by_place[here, k], return_inverse=True)
         up.append(pair // width)
         by.append(pair % width)
         node[here] = total + inverse
-        last[here] = node[here]
         total += pair.size
     up, by = np.concatenate(up), np.concatenate(by)
     order = np.lexsort((by[1:], up[1:])) + 1
     parents, starts, counts = np.unique(up[order], return_index=True, return_counts=True)
-    base, room = np.zeros(total, np.int64), 2 * (total + width) + 64
-    free = np.ones(room, bool)
+    base, free = np.zeros(total, np.int64), np.ones(2 * total + 2 * width + 1024, bool)
     free[0] = False
-    low = 1
-    for p in np.argsort(-counts, kind="stable"):
-        if counts[p] == 1:
-            break
+    at = 1
+    for p in np.argsort(-counts, kind="stable")[: int((counts > _MANY).sum())]:
+        # Nodes with many children, most first: next fit, in ever longer strides.
         own = by[order[starts[p] : starts[p] + counts[p]]]
-        at = low
+        off, reach = own - own[0], max(1, min(256, (1 << 18) // own.size))
+        stride = reach
         while True:
-            tries = at + np.flatnonzero(free[at : at + 512])
-            if tries.size:
-                spots = tries[:, None] + (own - own[0])
-                fits = (spots < room).all(1) & free[np.minimum(spots, room - 1)].all(1)
-                if fits.any():
-                    first = int(tries[fits.argmax()])
-                    break
-            at += 512
-            if at + own[-1] - own[0] >= room:
-                free = np.concatenate([free, np.ones(room, bool)])
-                room *= 2
+            if at + reach + off[-1] >= free.size:
+                free = np.concatenate([free, np.ones(free.size, bool)])
+            tries = at + np.flatnonzero(free[at : at + reach])
+            fits = free[tries[:, None] + off].all(1)
+            if fits.any():
+                break
+            at += stride
+            stride *= 2
+        first = int(tries[fits.argmax()])
         base[parents[p]] = first - own[0]
-        free[first + own - own[0]] = False
-        while not free[low]:
-            low += 1
-        if at - low > 1 << 15:  # a crowded start is not searched again and again
-            low = at
+        free[first + off] = False
+    random = np.random.default_rng(11)
+    for c in range(_MANY, 1, -1):
+        # All nodes with few children propose places at once; who shares none with an earlier one stays.
+        todo = np.flatnonzero(counts == c)
+        own = by[order[starts[todo][:, None] + np.arange(c)]]
+        while todo.size:
+            if free.sum() < 2 * c * todo.size:
+                free = np.concatenate([free, np.ones(free.size, bool)])
+            spots = random.integers(0, free.size - width, todo.size)[:, None] + own
+            fit = np.flatnonzero(free[spots].all(1))
+            first = np.unique(spots[fit], return_index=True)[1]
+            won = fit[np.bincount(first // c, minlength=fit.size) == c]
+            base[parents[todo[won]]] = spots[won, 0] - own[won, 0]
+            free[spots[won]] = False
+            left = np.ones(todo.size, bool)
+            left[won] = False
+            todo, own = todo[left], own[left]
     lone = counts == 1
     spots = np.flatnonzero(free)[: int(lone.sum())]
     base[parents[lone]] = spots - by[order[starts[lone]]]
@@ -280,26 +294,25 @@ def double_array(paths: list[bytes]):
     out, check = np.zeros(size, np.int64), np.full(size, -1, np.int64)
     out[slot] = base
     check[slot[1:]] = slot[up[1:]]
-    return words, out.astype("<i4"), check.astype("<i4"), slot[last].astype("<i4")
+    return words, *(x.astype("<i4") for x in (labels, out, check, slot[node]))
 
 
 def _tries(candidates: DataFrame, shards: int) -> DataFrame:
-    """(shard, words, base, check, accepts, paths), a row for each shard: its trie, and its phrases by accepting slot."""
+    """(shard, words, labels, base, check, accepts, paths), a row for each shard: its trie, and its phrases by accepting slot."""
 
     def build(table):
         import pyarrow as pa
 
         paths = table["path"].to_pylist()
-        words, base, check, accepts = double_array(paths)
-        columns = [words.tobytes(), base.tobytes(), check.tobytes(), accepts.tobytes()]
+        arrays = [pa.array([x.tobytes()], pa.binary()) for x in double_array(paths)]
         return pa.table(
-            [table["shard"][:1], *(pa.array([c], pa.binary()) for c in columns), pa.array([paths], pa.list_(pa.binary()))],
-            ["shard", "words", "base", "check", "accepts", "paths"],
+            [table["shard"][:1], *arrays, pa.array([paths], pa.list_(pa.binary()))],
+            ["shard", "words", "labels", "base", "check", "accepts", "paths"],
         )
 
     dealt = candidates.withColumn("shard", F.pmod(F.xxhash64("path"), F.lit(shards)))
     return dealt.groupBy("shard").applyInArrow(
-        build, "shard long, words binary, base binary, check binary, accepts binary, paths array<binary>"
+        build, "shard long, words binary, labels binary, base binary, check binary, accepts binary, paths array<binary>"
     )
 
 
@@ -311,13 +324,14 @@ def _states(blocks: DataFrame, trie) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        words, base, check = (np.frombuffer(c, kind) for c, kind in zip(shared.value, ("<u8", "<i4", "<i4"), strict=True))
+        kinds = ("<u8", "<i4", "<i4", "<i4")
+        words, labels, base, check = (np.frombuffer(c, kind) for c, kind in zip(shared.value, kinds, strict=True))
         counts = np.zeros(check.size, np.int64)
         for batch in batches:
             for codes, keys in zip(batch.column(0), batch.column(1), strict=True):
                 codes, keys = np.frombuffer(codes.as_buffer(), "<i4"), np.frombuffer(keys.as_buffer(), "<u8")
                 place = np.minimum(np.searchsorted(words, keys), words.size - 1)
-                label = np.where(words[place] == keys, place + 1, 0)[codes]
+                label = np.where(words[place] == keys, labels[place], 0)[codes]
                 at, state = np.arange(codes.size), np.zeros(codes.size, np.int64)
                 while at.size:
                     to = base[state] + label[at]
@@ -339,16 +353,12 @@ def phrase_counts(docs: DataFrame, max_words: int = 3, min_count: int = 10) -> t
     spark = docs.sparkSession
     for seed in range(16):
         blocks = cut_lineage(_blocks(docs, seed), "phrase-blocks")
-        own = F.struct("w.lang", "w.word")
-        folded = blocks.select(F.explode("words").alias("w")).groupBy("w.path").agg(
-            F.min(own).alias("own"), F.max(own).alias("other"), F.sum("w.n").alias("n")
-        )
+        folded = blocks.select(F.inline("words")).groupBy("path", "lang", "word").agg(F.sum("n").alias("n"))
         words = cut_lineage(folded, "phrase-words")
-        if words.filter("own <> other").isEmpty():
+        if words.groupBy("path").agg(F.count("*").alias("c")).filter("c > 1").isEmpty():
             break
     else:
         raise RuntimeError("no seed tells all words apart")
-    words = words.select("path", "own.lang", "own.word", "n")
     positions = words.agg(F.sum("n")).first()[0] or 0
     bits = min(MAX_BITS, max(CHUNK, int(positions).bit_length()))
     passed: list[np.ndarray] = []
@@ -363,7 +373,7 @@ def phrase_counts(docs: DataFrame, max_words: int = 3, min_count: int = 10) -> t
     tries = cut_lineage(_tries(found, max(1, shards)), "phrase-tries")
     for shard in range(shards):
         mine = tries.filter(F.col("shard") == shard)
-        trie = mine.select("words", "base", "check").first()
+        trie = mine.select("words", "labels", "base", "check").first()
         if trie is None:
             continue
         sums = _states(blocks, trie).filter(F.col("a") >= min_count)

@@ -79,8 +79,8 @@ def test_trie_takes_just_its_paths():
         letters = [rng.getrandbits(63) + 1 for _ in range(rng.choice([3, 50]))]
         paths = {tuple(rng.choice(letters) for _ in range(rng.randint(2, 4))) for _ in range(size)}
         listed = [b"".join(x.to_bytes(8, "little") for x in p) for p in sorted(paths)]
-        words, base, check, accepts = double_array(listed)
-        label = {int(w): k for k, w in enumerate(words, 1)}
+        words, labels, base, check, accepts = double_array(listed)
+        label = {int(w): int(k) for w, k in zip(words, labels, strict=True)}
         prefixes = {p[:k] for p in paths for k in range(1, len(p) + 1)}
         assert len(set(accepts.tolist())) == len(paths) and (check >= 0).sum() == len(prefixes)
 
