@@ -25,11 +25,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..runtime import cut_lineage, scratch_path
 
-BLOCK = 1 << 19  # words of a block at most, but for the last text in it
+BLOCK = 1 << 18  # words of a block at most, but for the last text in it
 MAX_BITS = 26  # of a table that a task counts in, 64 MB, and of its packed bits, 8 MB
 CHUNK = 16  # bits of a slot inside its part of the table
 _MANY = 8  # children of a node beyond which it is placed alone
-SHARD = 500_000  # phrases of a trie, on average: about 20 MB
+SHARD = 250_000  # phrases of a trie, on average: about 10 MB
 _BREAKS = b".,;:!?\n\x0b\x0c\r"  # fixed values
 
 
@@ -165,10 +165,11 @@ def _slots(blocks: DataFrame, passed: list, bits: int, least: int):
                 slot, n = np.unique(hashed >> np.uint64(64 - bits), return_counts=True)
                 slot = slot.astype(np.int64)
                 counts[slot] = np.minimum(255, counts[slot] + n)
-        used = np.flatnonzero(counts)
-        for part in np.split(used, np.flatnonzero(np.diff(used >> CHUNK)) + 1) if used.size else ():
-            rows = [int(part[0] >> CHUNK), (part & (1 << CHUNK) - 1).astype("<u2").tobytes(), counts[part].tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in rows], ["chunk", "slots", "counts"])
+        for chunk, part in enumerate(counts.reshape(-1, 1 << CHUNK)):
+            used = np.flatnonzero(part)
+            if used.size:
+                rows = [chunk, used.astype("<u2").tobytes(), part[used].tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in rows], ["chunk", "slots", "counts"])
 
     def add(table):
         import numpy as np
