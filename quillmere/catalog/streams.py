@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import dedup, graph
+from ..operators.near_index import NearIndex
 from ..runtime import ROCKSDB_PROVIDER, scratch_path
 from ..sources import io
 from ..streaming import gates, sinks, state
 from .base import cte, derive, query
 from .merges import WALK_SQL, edges, first_pages
 from .queues import FETCHES, GATE_SQL
+from .vectors import GREEDY_SQL, SIMHASH_SQL, simhash_sql
 
 
 def drain(t, stream, label: str):
@@ -110,16 +112,38 @@ def stream_upsert(t):
     return table.read()
 
 
-@query("stream_near_dups")
+@query("stream_near_dups", GREEDY_SQL)
 def stream_near_dups(t):
+    """All documents in four batches by id, each against what the earlier ones stored: the one-pass answer."""
     root = scratch_path(t.spark, "near")
-    sink = sinks.near_dup_sink(f"{root}/index", f"{root}/out", "doc_id", "text", "doc_id")
-    rows = source(t, "documents").select("doc_id", "text")
-    sinks.run_resumable(rows, f"{root}/checkpoint", each_batch=sink).awaitTermination()
+    rows = t.documents.select("doc_id", "text")
+    cuts = rows.approxQuantile("doc_id", [0.25, 0.5, 0.75], 0.01)
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        # A stream of files takes the oldest first; each batch is written after the one before.
+        late = F.lit(True) if low is None else F.col("doc_id") > low
+        rows.filter(late & (F.lit(True) if high is None else F.col("doc_id") <= high)).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    index = NearIndex(t.spark, f"{root}/index")
+    sink = sinks.near_dup_sink(index, f"{root}/out", "doc_id", "text", "doc_id")
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    sinks.run_resumable(stream, f"{root}/checkpoint", each_batch=sink).awaitTermination()
     return t.spark.read.parquet(f"{root}/out").select("doc_id", "kept", "near_dup_of")
 
 
-@query("near_dups_against_index")
+INDEXED_SQL = f"""WITH RECURSIVE {SIMHASH_SQL},
+turns AS (SELECT conv_id * 10000 + turn AS id, text FROM conversations),
+{simhash_sql("turns", "id", "t")},
+hit AS (SELECT a.id, arg_min(CAST(b.doc_id AS VARCHAR), (bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)), CAST(b.doc_id AS VARCHAR))) AS of
+ FROM tsh a JOIN sh b ON bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 6 GROUP BY 1),
+o AS MATERIALIZED (SELECT id, hi, lo, row_number() OVER (ORDER BY id) AS i FROM tsh WHERE id NOT IN (SELECT id FROM hit)),
+p AS MATERIALIZED (SELECT b.i AS i, list(a.i ORDER BY a.i) AS near FROM o a JOIN o b ON a.i < b.i AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 6 GROUP BY 1),
+w AS (SELECT 0::BIGINT AS i, CAST([] AS BIGINT[]) AS kept, CAST(NULL AS BIGINT) AS by
+ UNION ALL SELECT o.i, CASE WHEN x.by IS NULL THEN list_append(w.kept, o.i) ELSE w.kept END, x.by
+ FROM w JOIN o ON o.i = w.i + 1 LEFT JOIN p ON p.i = o.i, LATERAL (SELECT list_min(list_intersect(w.kept, p.near)) AS by) x)
+SELECT o.id, w.by IS NULL AS kept, CAST(k.id AS VARCHAR) AS near_dup_of FROM w JOIN o ON o.i = w.i LEFT JOIN o k ON k.i = w.by
+UNION ALL SELECT id, FALSE, of FROM hit"""
+
+
+@query("near_dups_against_index", INDEXED_SQL)
 def near_dups_against_index(t):
     """Conversation turns against the fingerprints of all documents, then each other."""
     index = dedup.simhash(t.documents, "doc_id", "text").select(
@@ -129,6 +153,26 @@ def near_dups_against_index(t):
     return dedup.near_dups(turns, "id", "text", "id", index=index).select("id", "kept", "near_dup_of")
 
 
+@query(
+    "near_index_lookup",
+    f"""WITH {SIMHASH_SQL}, turns AS (SELECT item_id AS id, text FROM benchmark), {simhash_sql("turns", "id", "t")},
+m AS (SELECT a.id, b.doc_id, (bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)))::INTEGER AS distance,
+ row_number() OVER (PARTITION BY a.hi, a.lo, a.id ORDER BY b.doc_id) AS r FROM tsh a JOIN sh b
+ ON bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 14)
+SELECT id, doc_id, distance, r::INTEGER AS place FROM m WHERE r <= 2""",
+)
+def near_index_lookup(t):
+    """Every benchmark item against a stored index of all documents: the two stored first within 14 bits."""
+    index = NearIndex(t.spark, scratch_path(t.spark, "near-index"), max_dist=14, blocks=4)
+    docs = dedup.simhash(t.documents, "doc_id", "text")
+    index.add(docs.select(F.col("doc_id").alias("entity_id"), "simhash", F.col("doc_id").alias("place")), 0)
+    items = dedup.fingerprints(t.benchmark, "item_id", "text", "item_id")
+    near = index.lookup(items, 1).select(F.col("h").alias("simhash"), F.posexplode("near").alias("n", "e"))
+    return items.join(near, "simhash").select(
+        F.col("item_id").alias("id"), F.col("e.entity_id").cast("bigint").alias("doc_id"), "e.distance", (F.col("n") + 1).alias("place")
+    )
+
+
 @query("resume_frontier", WALK_SQL)
 def resume_frontier(t):
     """A walk stopped after two levels and then gone on with to the end."""

@@ -31,14 +31,17 @@ def topk(t):
     return v.project_topk(t.embeddings, dictionary(t), K)
 
 
-SIMHASH_SQL = """tok AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\x0b\\x0c]+'), lambda x: x <> '')) AS w FROM documents),
-hl AS (SELECT doc_id, ('0x' || substr(md5(w), 17, 8))::BIGINT AS hi, ('0x' || substr(md5(w), 25, 8))::BIGINT AS lo FROM tok),
-bits AS (SELECT doc_id, count(*) AS n, %s FROM hl GROUP BY 1),
-sh AS (SELECT doc_id, (%s) AS hi, (%s) AS lo FROM bits)""" % (
-    ", ".join(f"sum((hi >> {i}) & 1) AS h{i}, sum((lo >> {i}) & 1) AS l{i}" for i in range(32)),
-    " + ".join(f"CASE WHEN 2 * h{i} >= n THEN {1 << i}::BIGINT ELSE 0 END" for i in range(32)),
-    " + ".join(f"CASE WHEN 2 * l{i} >= n THEN {1 << i}::BIGINT ELSE 0 END" for i in range(32)),
-)
+def simhash_sql(source: str, key: str, tag: str) -> str:
+    """CTEs that end in ``<tag>sh(key, hi, lo)``: the fingerprints of a table's texts."""
+    sums = ", ".join(f"sum((hi >> {i}) & 1) AS h{i}, sum((lo >> {i}) & 1) AS l{i}" for i in range(32))
+    high, low = (" + ".join(f"CASE WHEN 2 * {x}{i} >= n THEN {1 << i}::BIGINT ELSE 0 END" for i in range(32)) for x in "hl")
+    return f"""{tag}tok AS (SELECT {key}, unnest(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\x0b\\x0c]+'), lambda x: x <> '')) AS w FROM {source}),
+{tag}hl AS (SELECT {key}, ('0x' || substr(md5(w), 17, 8))::BIGINT AS hi, ('0x' || substr(md5(w), 25, 8))::BIGINT AS lo FROM {tag}tok),
+{tag}bits AS (SELECT {key}, count(*) AS n, {sums} FROM {tag}hl GROUP BY 1),
+{tag}sh AS (SELECT {key}, ({high}) AS hi, ({low}) AS lo FROM {tag}bits)"""
+
+
+SIMHASH_SQL = simhash_sql("documents", "doc_id", "")
 
 
 @query(
@@ -66,11 +69,7 @@ def near_dups(t):
 
 @query(
     "near_dups_of_benchmark",
-    f"""WITH {SIMHASH_SQL}, btok AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\r\\x0b\\x0c]+'), lambda x: x <> '')) AS w FROM benchmark),
-bhl AS (SELECT item_id, ('0x' || substr(md5(w), 17, 8))::BIGINT AS hi, ('0x' || substr(md5(w), 25, 8))::BIGINT AS lo FROM btok),
-bbits AS (SELECT item_id, count(*) AS n, {", ".join(f"sum((hi >> {i}) & 1) AS h{i}, sum((lo >> {i}) & 1) AS l{i}" for i in range(32))} FROM bhl GROUP BY 1),
-bsh AS (SELECT item_id, ({" + ".join(f"CASE WHEN 2 * h{i} >= n THEN {1 << i}::BIGINT ELSE 0 END" for i in range(32))}) AS hi,
- ({" + ".join(f"CASE WHEN 2 * l{i} >= n THEN {1 << i}::BIGINT ELSE 0 END" for i in range(32))}) AS lo FROM bbits)
+    f"""WITH {SIMHASH_SQL}, {simhash_sql("benchmark", "item_id", "b")}
 SELECT doc_id, item_id, CAST(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS INTEGER) AS distance FROM sh a JOIN bsh b
  ON bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 12""",
 )

@@ -280,6 +280,12 @@ def hamming_pairs(
     return left.join(near, "h").join(right, "g").select(left_id, right_id, "distance")
 
 
+def fingerprints(df: DataFrame, id_col: str, text_col: str, order_col: str) -> DataFrame:
+    """(id, simhash, ord) of the rows with text, written out."""
+    rows = df.filter(truthy(text_col)).select(id_col, F.col(order_col).cast("bigint").alias("ord"), text_col)
+    return cut_lineage(simhash(rows, id_col, text_col).join(rows.select(id_col, "ord"), id_col))
+
+
 def near_dups(
     df: DataFrame,
     id_col: str,
@@ -295,9 +301,13 @@ def near_dups(
     an earlier *kept* row is in reach, or a row of ``index(entity_id, simhash)``;
     dropped rows are never compared with.  Rows without text take no part.
     """
-    rows = df.filter(truthy(text_col)).select(id_col, F.col(order_col).cast("bigint").alias("ord"), text_col)
-    prints = simhash(rows, id_col, text_col).join(rows.select(id_col, "ord"), id_col)
-    prints = cut_lineage(prints)
+    return verdicts(fingerprints(df, id_col, text_col, order_col), id_col, max_dist, crowd, index)
+
+
+def verdicts(
+    prints: DataFrame, id_col: str, max_dist: int = MAX_DISTANCE, crowd: int = CROWD, index: DataFrame | None = None
+) -> DataFrame:
+    """``near_dups`` of fingerprints (id, simhash, ord) that are cheap to read again."""
     # Equal fingerprints have equal neighbours: only the first can be kept.
     nodes = prints.groupBy(F.col("simhash").alias("h")).agg(F.min("ord").alias("ord"))
     matched = None

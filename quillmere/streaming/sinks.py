@@ -7,8 +7,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.dedup import near_dups
 from ..operators.merge import upsert
+from ..operators.near_index import NearIndex, admit
 from ..runtime import cut_lineage
 
 _DONE = "_SUCCESS"
@@ -107,31 +107,16 @@ def upsert_sink(
 
 
 def near_dup_sink(
-    index_path: str, out_path: str, id_col: str, text_col: str, order_col: str
+    index: NearIndex, out_path: str, id_col: str, text_col: str, order_col: str
 ) -> Callable[[DataFrame, int], None]:
-    """Admit each batch against the index of kept fingerprints and against itself.
+    """Admit each batch against the stored fingerprints of earlier ones and against itself.
 
-    The index and the verdicts are both partitioned by batch, so a replayed
-    batch overwrites its own part and compares only with earlier ones.
+    A replayed batch overwrites its own verdicts, compares only with earlier batches and
+    stores the same rows again, which changes nothing.
     """
-    schema = "entity_id string, simhash bigint"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path
-        fs = path(index_path).getFileSystem(spark._jsc.hadoopConfiguration())
-        earlier = [
-            f"{index_path}/batch={b}" for b in range(batch_id) if fs.exists(path(f"{index_path}/batch={b}/{_DONE}"))
-        ]
-        index = (
-            spark.read.schema(schema).parquet(*earlier) if earlier else spark.createDataFrame([], schema)
-        )
-        found = near_dups(batch, id_col, text_col, order_col, index=index)
-        found.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-        done = spark.read.parquet(f"{out_path}/batch={batch_id}")
-        done.filter("kept").selectExpr(f"cast({id_col} as string) entity_id", "simhash").write.mode(
-            "overwrite"
-        ).parquet(f"{index_path}/batch={batch_id}")
+        admit(batch, index, batch_id, out_path, id_col, text_col, order_col)
 
     return write
 
