@@ -184,21 +184,61 @@ def quantize_rows(t):
     return out.select("vec_id", F.round("scale", 10).alias("scale"), F.array_join(F.transform("q", lambda x: x.cast("string")), ",").alias("q"))
 
 
-@query("quantize_split")
+def int8_sql(x: str, scale: str) -> str:
+    return f"list_transform({x}, lambda x: least(greatest(sign(x) * floor(abs(x / {scale}) + 0.5), -127), 127))"
+
+
+PEAK = "list_max(list_transform({0}, lambda x: abs(x)))"
+PLANES_SQL = f"""x AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+h AS (SELECT *, CASE WHEN {PEAK.format('v')} > 0 THEN {PEAK.format('v')} / 127.0 ELSE 1.0 END AS scale_hi FROM x),
+q AS (SELECT *, {int8_sql('v', 'scale_hi')} AS q_hi FROM h),
+r AS (SELECT *, list_transform(v, lambda e, i: e - q_hi[i] * scale_hi) AS rest FROM q),
+l AS (SELECT *, CASE WHEN {PEAK.format('rest')} > 0 THEN {PEAK.format('rest')} / 127.0 ELSE 1.0 END AS scale_lo FROM r),
+planes AS MATERIALIZED (SELECT vec_id, v, q_hi, scale_hi, scale_lo, {int8_sql('rest', 'scale_lo')} AS q_lo FROM l)"""
+
+
+def numbers_sql(x: str) -> str:
+    return f"array_to_string(list_transform({x}, lambda x: x::INTEGER), ',')"
+
+
+@query(
+    "quantize_split",
+    f"""WITH {PLANES_SQL} SELECT vec_id, round(scale_hi, 10) AS scale_hi, round(scale_lo, 12) AS scale_lo, {numbers_sql('q_hi')} AS q_hi, {numbers_sql('q_lo')} AS q_lo FROM planes""",
+)
 def quantize_split(t):
     out = v.quantize_split(t.embeddings)
-    miss = F.zip_with(
-        "embedding", F.zip_with("q_hi", "q_lo", lambda a, b: a * F.col("scale_hi") + b * F.col("scale_lo")),
-        lambda x, y: F.abs(x.cast("double") - y),
-    )
-    return out.select("vec_id", (F.array_max(miss) <= F.col("scale_lo") * 0.51).alias("within_half_step"))
+    text = {c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in ("q_hi", "q_lo")}
+    return out.withColumns(text).select("vec_id", F.round("scale_hi", 10).alias("scale_hi"), F.round("scale_lo", 12).alias("scale_lo"), "q_hi", "q_lo")
+
 
+INT8_SQL = f"""{DICT_SQL}, {PLANES_SQL},
+qd AS MATERIALIZED (SELECT feature_id, scale, {int8_sql('w', 'scale')} AS q FROM
+ (SELECT *, CASE WHEN {PEAK.format('w')} > 0 THEN {PEAK.format('w')} / 127.0 ELSE 1.0 END AS scale FROM dict)),
+act8 AS (SELECT vec_id, feature_id, greatest((list_dot_product(q_hi, q) * scale_hi + list_dot_product(q_lo, q) * scale_lo) * scale - 0.01, 0.0) AS value FROM planes, qd)"""
 
-@query("int8_error")
+
+@query("project_int8", f"WITH {INT8_SQL} SELECT vec_id, feature_id, round(value, 8) AS value FROM act8")
+def project_int8(t):
+    return v.project_int8(t.embeddings, dictionary(t)).withColumn("value", F.round("value", 8))
+
+
+@query(
+    "project_int8_topk",
+    f"""WITH {INT8_SQL} SELECT vec_id, feature_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY value DESC, feature_id) AS INTEGER) AS rank, round(value, 8) AS value FROM act8 QUALIFY rank <= {K}""",
+)
+def project_int8_topk(t):
+    return v.rank_topk(v.project_int8(t.embeddings, dictionary(t), k=K), K).withColumn("value", F.round("value", 8))
+
+
+@query(
+    "int8_error",
+    f"""WITH {INT8_SQL} SELECT vec_id, round(CASE WHEN max(abs(act.value)) > 0 THEN max(abs(act.value - act8.value)) / max(abs(act.value)) ELSE max(abs(act.value - act8.value)) END, 8) AS relative_error
+FROM act JOIN act8 USING (vec_id, feature_id) GROUP BY 1""",
+)
 def int8_error(t):
     d = dictionary(t)
     out = v.projection_error(v.project(t.embeddings, d), v.project_int8(t.embeddings, d))
-    return out.select("vec_id", (F.col("relative_error") < 1e-2).alias("close"))
+    return out.select("vec_id", F.round("relative_error", 8).alias("relative_error"))
 
 
 @query(

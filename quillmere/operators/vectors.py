@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.fields import truthy
-from ..runtime import spread_small
+from ..runtime import scratch_path, spread_small
 
 # The eight sums, in bucket order.
 PILLARS = (
@@ -36,8 +37,9 @@ PILLAR_NAMES = {
 }
 WEIGHT_SIGMA, BIAS = 0.02, -0.01
 BROADCAST_LIMIT = 256 << 20  # bytes of float64 weights a task may hold whole
-BLOCK_BYTES = 64 << 20
-SLICE_ROWS = 8192
+BLOCK_BYTES = 16 << 20  # of a stored block of the dictionary
+SCORE_BYTES = 64 << 20  # of the scores of one slice of vectors against one block
+EXACT_TERMS = (1 << 24) // (127 * 127)  # products of int8 numbers whose sum is exact in float32, in any order
 
 
 def validate_vectors(
@@ -144,9 +146,8 @@ def _project(df: DataFrame, dictionary: DataFrame, vec: str, k: int | None, limi
     """Long activations; per vector only the best ``k`` when given.
 
     A dictionary whose measured size is within ``limit`` is shipped to every
-    task once, and vectors are never shuffled.  A larger one is cut into blocks
-    that meet slices of vectors by key; slice and block sizes are bounded, so
-    no task depends on how many vectors or features there are.
+    task once.  A larger one is stored in blocks that tasks stream through
+    (``store_dictionary``).  Vectors are never shuffled, nor is the dictionary beyond its one sort.
     """
     n, dim = _dictionary_shape(dictionary)
     vectors = df.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col(vec).alias("v"))
@@ -173,37 +174,139 @@ def _project(df: DataFrame, dictionary: DataFrame, vec: str, k: int | None, limi
 
         return vectors.mapInArrow(run, _LONG)
 
-    per_block = max(1, BLOCK_BYTES // (8 * max(1, dim)))
-    n_blocks = -(-n // per_block)
-    slices = max(1, -(-vectors.count() // SLICE_ROWS))
-    left = vectors.withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.lit(slices))).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    )
-    right = dictionary.select(
-        F.pmod(F.xxhash64("feature_id"), F.lit(n_blocks)).cast("int").alias("block"),
-        "feature_id", "weights", "bias",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint"))).alias("slice"),
-    )
+    return _streamed(vectors, store_dictionary(dictionary), k)
 
-    def cell(a: pa.Table, d: pa.Table) -> pa.Table:
-        if a.num_rows == 0 or d.num_rows == 0:
-            return pa.schema(
-                [("vec_id", pa.int64()), ("feature_id", pa.int64()), ("value", pa.float64())]
-            ).empty_table()
-        ids = d["feature_id"].to_numpy()
-        rank = np.argsort(ids, kind="stable")
-        s = _scores(_matrix(a["v"]), _matrix(d["weights"])[rank], d["bias"].to_numpy()[rank])
-        vid, ids = a["vec_id"].to_numpy(), ids[rank]
-        got = _long_batch(vid, np.broadcast_to(ids, s.shape), s) if k is None else _long_batch(
-            vid, *_topk(s, ids, k)
-        )
-        return pa.Table.from_batches([got])
 
-    return (
-        left.groupBy("slice", "block")
-        .cogroup(right.groupBy("slice", "block"))
-        .applyInArrow(cell, _LONG)
-    )
+@dataclass(frozen=True)
+class StoredDictionary:
+    """Blocks of features in files that every executor gets once, and that tasks read one block at a time."""
+
+    files: tuple[str, ...]
+    int8: bool
+
+
+def int8_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``quantize_rows`` of a matrix: (int8 rows, scale of each)."""
+    peak = np.abs(x).max(axis=1, initial=0.0)
+    scale = np.where(peak > 0, peak / 127.0, 1.0)
+    t = x / scale[:, None]
+    return np.clip(np.sign(t) * np.floor(np.abs(t) + 0.5), -127, 127).astype(np.int8), scale
+
+
+def int8_planes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``quantize_split`` of a matrix: (hi, scale_hi, lo, scale_lo); rows without a finite peak are zero."""
+    peak = np.abs(x).max(axis=1, initial=0.0)
+    x = np.where(((peak > 0) & np.isfinite(peak))[:, None], x, 0.0)
+    hi, scale_hi = int8_rows(x)
+    lo, scale_lo = int8_rows(x - hi * scale_hi[:, None])
+    return hi, scale_hi, lo, scale_lo
+
+
+def store_dictionary(dictionary: DataFrame, int8: bool = False, block_bytes: int = BLOCK_BYTES) -> StoredDictionary:
+    """Write (feature_id, weights, bias) in blocks by feature to the shared folder and hand the files to all executors.
+
+    Weights take eight bytes, or one and a scale a row.  Spark copies the files to each executor
+    once; an executor that joins later gets them with its first task.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, per_block = [], 0, 0
+
+        def block(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(rows)
+            w = _matrix(table["weights"])
+            parts = int8_rows(w) if int8 else (w, np.zeros(0))
+            ids, bias = table["feature_id"].to_numpy(), table["bias"].to_numpy().astype(np.float64)
+            columns = [pa.array([ids[0]], pa.int64()), *(pa.array([np.ascontiguousarray(x).tobytes()]) for x in (ids, *parts, bias))]
+            return pa.RecordBatch.from_arrays(columns, ["first", "ids", "weights", "scale", "bias"])
+
+        for batch in batches:
+            if batch.num_rows and not per_block:
+                per_block = max(1, block_bytes // (max(1, len(batch.column(1)[0])) * (1 if int8 else 8)))
+            while batch.num_rows:
+                part = batch.slice(0, per_block - size)
+                held.append(part)
+                size += part.num_rows
+                batch = batch.slice(part.num_rows)
+                if size == per_block:
+                    yield block(held)
+                    held, size = [], 0
+        if held:
+            yield block(held)
+
+    spark = dictionary.sparkSession
+    path = scratch_path(spark, "dictionary")
+    ordered = dictionary.select("feature_id", "weights", F.col("bias").cast("double").alias("bias"))
+    ordered = ordered.repartitionByRange("feature_id").sortWithinPartitions("feature_id")
+    ordered.mapInArrow(pack, "first long, ids binary, weights binary, scale binary, bias binary").write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    files = sorted(str(f.getPath()) for f in found if f.getPath().getName().endswith(".parquet"))
+    for file in files:
+        spark.sparkContext.addFile(file)
+    return StoredDictionary(tuple(f.rsplit("/", 1)[1] for f in files), int8)
+
+
+def _blocks_of(stored: StoredDictionary) -> Iterator[tuple]:
+    """(ids, weights, scale, bias) of each block, features ascending; one block in memory."""
+    import pyarrow.parquet as pq
+    from pyspark import SparkFiles
+
+    # Range partitions are written in order of their features.
+    for file in stored.files:
+        for group in pq.ParquetFile(SparkFiles.get(file)).iter_batches(batch_size=1, columns=["ids", "weights", "scale", "bias"]):
+            ids, w, scale, bias = (group.column(c)[0].as_buffer() for c in range(4))
+            ids = np.frombuffer(ids, np.int64)
+            w = np.frombuffer(w, np.int8 if stored.int8 else np.float64).reshape(ids.size, -1)
+            yield ids, w, np.frombuffer(scale), np.frombuffer(bias)
+
+
+def int8_product(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w.T of int8 matrices as int32, exactly: float32 products over slices too short to round."""
+    total = np.zeros((x.shape[0], w.shape[0]), np.int32)
+    for at in range(0, x.shape[1], EXACT_TERMS):
+        cut = slice(at, at + EXACT_TERMS)
+        total += (x[:, cut].astype(np.float32) @ w[:, cut].astype(np.float32).T).astype(np.int32)
+    return total
+
+
+def _streamed(vectors: DataFrame, stored: StoredDictionary, k: int | None) -> DataFrame:
+    """Long activations of (vec_id, v) against a stored dictionary; a running top k when ``k`` is given."""
+
+    def scores(x, planes, w, scale, bias) -> np.ndarray:
+        if not stored.int8:
+            return _scores(x, w, bias)
+        hi, scale_hi, lo, scale_lo = planes
+        both = int8_product(hi, w) * scale_hi[:, None] + int8_product(lo, w) * scale_lo[:, None]
+        return np.maximum(both * scale + bias, 0.0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            width = len(batch.column(1)[0]) if batch.num_rows else 0
+            # A block has this many features at most, so slices of vectors have scores of a bounded size.
+            per_block = max(1, BLOCK_BYTES // (max(1, width) * (1 if stored.int8 else 8)))
+            step = max(64, SCORE_BYTES // (8 * per_block))
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                vid, x = part.column(0).to_numpy(), _matrix(part.column(1))
+                planes = int8_planes(x) if stored.int8 else None
+                best_ids = best = None
+                for ids, w, scale, bias in _blocks_of(stored):
+                    s = scores(x, planes, w, scale, bias)
+                    if k is None:
+                        yield _long_batch(vid, np.broadcast_to(ids, s.shape), s)
+                        continue
+                    own_ids, own = _topk(s, ids, k)
+                    if best is not None:
+                        # Features ascend from block to block, so the earlier of equal values comes first.
+                        own_ids, own = np.concatenate([best_ids, own_ids], 1), np.concatenate([best, own], 1)
+                        order = np.argsort(-own, axis=1, kind="stable")[:, :k]
+                        own_ids, own = np.take_along_axis(own_ids, order, 1), np.take_along_axis(own, order, 1)
+                    best_ids, best = own_ids, own
+                if best is not None:
+                    yield _long_batch(vid, best_ids, best)
+
+    return vectors.mapInArrow(run, _LONG)
 
 
 def project(
@@ -331,21 +434,16 @@ def quantize_split(df: DataFrame, vec: str = "embedding") -> DataFrame:
 
 
 def project_int8(
-    df: DataFrame, dictionary: DataFrame, vec: str = "embedding", limit: int = BROADCAST_LIMIT
+    df: DataFrame, dictionary: DataFrame, vec: str = "embedding", k: int | None = None
 ) -> DataFrame:
-    """Projection from the quantized planes and quantized dictionary.
+    """Projection from the quantized planes and the quantized dictionary, in integers.
 
-    Integer products are exact in float64, so the block kernel is shared: the
-    planes are recombined as ``hi * s_hi + lo * s_lo`` against ``q * scale``.
+    value = max(0, (hi . q * scale_hi + lo . q * scale_lo) * scale + b), where both products of int8 rows are summed
+    exactly to int32.  The stored dictionary takes a byte a weight and is streamed, whatever
+    its size; per vector only the best ``k`` are returned when given.
     """
-    planes = quantize_split(df, vec)
-    back = F.zip_with(
-        "q_hi", "q_lo", lambda a, b: a * F.col("scale_hi") + b * F.col("scale_lo")
-    )
-    x = planes.select("vec_id", back.alias("v"))
-    q = quantize_rows(dictionary)
-    w = q.select("feature_id", F.transform("q", lambda v: v * F.col("scale")).alias("weights"), "bias")
-    return _project(x, w, "v", None, limit)
+    vectors = spread_small(df.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col(vec).alias("v")))
+    return _streamed(vectors, store_dictionary(dictionary, int8=True), k)
 
 
 def projection_error(exact: DataFrame, approx: DataFrame) -> DataFrame:
