@@ -183,15 +183,14 @@ def _slots(blocks: DataFrame, passed: list, bits: int, least: int):
 
     out, width = np.zeros(1 << bits - 3, np.uint8), 1 << CHUNK - 3
     tallied = blocks.select("codes", "keys").mapInArrow(tally, "chunk long, slots binary, counts binary")
-    for r in tallied.groupBy("chunk").applyInArrow(add, "chunk long, bits binary").toLocalIterator():
+    for r in tallied.groupBy("chunk").applyInArrow(add, "chunk long, bits binary").collect():  # 2 ** bits bits
         out[r["chunk"] * width : (r["chunk"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
     below.destroy()
     return out
 
 
-def _candidates(blocks: DataFrame, passed: list, max_words: int) -> DataFrame:
+def _candidates(blocks: DataFrame, filters, max_words: int) -> DataFrame:
     """(path) of each different phrase of 2 to ``max_words`` words that passes its level: eight bytes a word."""
-    filters = blocks.sparkSession.sparkContext.broadcast(passed)
 
     def emit(batches: Iterator) -> Iterator:
         import numpy as np
@@ -317,9 +316,8 @@ def _tries(candidates: DataFrame, shards: int) -> DataFrame:
     )
 
 
-def _states(blocks: DataFrame, trie) -> DataFrame:
-    """(slot, n): how often the trie's walk from any position ends in the slot, summed over all blocks."""
-    shared = blocks.sparkSession.sparkContext.broadcast(tuple(bytes(c) for c in trie))
+def _states(blocks: DataFrame, shared) -> DataFrame:
+    """(slot, n): how often the walk of a broadcast trie from any position ends in the slot, summed over all blocks."""
 
     def walk(batches: Iterator) -> Iterator:
         import numpy as np
@@ -365,7 +363,9 @@ def phrase_counts(docs: DataFrame, max_words: int = 3, min_count: int = 10) -> t
     passed: list[np.ndarray] = []
     for _ in range(max_words):
         passed.append(_slots(blocks, passed, bits, min_count))
-    found = cut_lineage(_candidates(blocks, passed, max_words), "phrase-candidates")
+    filters = spark.sparkContext.broadcast(passed)  # at most 2 ** MAX_BITS bits a level
+    found = cut_lineage(_candidates(blocks, filters, max_words), "phrase-candidates")
+    filters.destroy()
     total = found.count()
     shards = -(-total // SHARD)
     counted = scratch_path(spark, "phrase-counts")
@@ -377,8 +377,10 @@ def phrase_counts(docs: DataFrame, max_words: int = 3, min_count: int = 10) -> t
         trie = mine.select("words", "labels", "base", "check").first()
         if trie is None:
             continue
-        sums = _states(blocks, trie).filter(F.col("a") >= min_count)
+        shared = spark.sparkContext.broadcast(tuple(bytes(c) for c in trie))  # bounded by SHARD
+        sums = _states(blocks, shared).filter(F.col("a") >= min_count)
         sums.join(_paths(mine), "slot").select("path", "a").write.mode("append").parquet(counted)
+        shared.destroy()
     return words, spark.read.schema("path binary, a long").parquet(counted)
 
 
