@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..runtime import cut_lineage
+from ..runtime import cut_lineage, scratch_path
 
 
 def documents(docs: DataFrame, *more: str) -> DataFrame:
@@ -29,6 +29,20 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``cut_lineage`` with the table's path, for ``forget``."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Delete tables of ``stored`` that nothing reads any more."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def keep_rows(docs: DataFrame, answer: DataFrame) -> DataFrame:
     """The rows of ``docs`` that a written (doc_id, digest, kept) table keeps, all their columns and no others.
 
@@ -36,13 +50,16 @@ def keep_rows(docs: DataFrame, answer: DataFrame) -> DataFrame:
     digest are those of a kept row; rows repeated with the same id and text are folded to the
     one whose columns, as JSON, come first.
     """
-    named = answer.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "kept")
-    same = F.col("__sha").eqNullSafe(F.col("__digest")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id"))
-    mine = docs.withColumn("__sha", sha256(F.coalesce(F.col("text"), F.lit(""))))
+    # Columns by number, so that no name of theirs can clash with one made here.
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    own_id, own_text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    mine = numbered.select("*", sha256(F.coalesce(own_text, F.lit(""))).alias("sha"), own_id.cast("bigint").alias("id"))
+    named = answer.select(F.col("doc_id").alias("of"), F.col("digest").alias("digest"), "kept")
+    same = F.col("sha").eqNullSafe(F.col("digest")) & F.col("id").eqNullSafe(F.col("of"))
     rows = mine.join(named.filter("kept").drop("kept"), same, "left_semi")
-    twice = cut_lineage(named.groupBy("__id", "__digest").count().filter("count > 1").drop("count"), "repeats")
-    if twice.isEmpty():
-        return rows.select(*docs.columns)
-    first = F.min(F.struct(F.to_json(F.struct(*docs.columns)).alias("j"), F.struct(*docs.columns).alias("r")))
-    folded = rows.join(twice, same, "left_semi").groupBy("doc_id", "__sha").agg(first.alias("m")).select("m.r.*")
-    return rows.join(twice, same, "left_anti").select(*docs.columns).unionByName(folded)
+    twice = cut_lineage(named.groupBy("of", "digest").count().filter("count > 1").drop("count"), "repeats")
+    if not twice.isEmpty():
+        first = F.min(F.struct(F.to_json(F.struct(*numbered.columns)).alias("j"), F.struct(*numbered.columns).alias("r")))
+        folded = rows.join(twice, same, "left_semi").groupBy("id", "sha").agg(first.alias("m")).select("m.r.*")
+        rows = rows.join(twice, same, "left_anti").select(*numbered.columns).unionByName(folded)
+    return rows.select(*numbered.columns).toDF(*docs.columns)
