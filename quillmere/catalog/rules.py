@@ -204,7 +204,18 @@ def route_enrichment(t):
     return filters.route_enrichment(d, known, language="language").select("item_id", "outcome")
 
 
-@query("language_gate")
+LANGUAGE_SQL = r"""WITH w AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS w FROM documents),
+cut AS (SELECT w, substr(' ' || w || ' ', s, 3) AS gram FROM (SELECT w, unnest(range(1, length(w) + 1)) AS s FROM (SELECT DISTINCT w FROM w))),
+g AS (SELECT lang, gram, sum(n) AS n FROM (SELECT lang, w, count(*) AS n FROM w GROUP BY ALL) JOIN cut USING (w) GROUP BY ALL),
+p AS (SELECT lang, gram, ln((n + 1) / (sum(n) OVER (PARTITION BY lang) + 1)) AS weight FROM g),
+v AS (SELECT w, lang, sum(weight - (SELECT min(weight) - 2 FROM p)) AS gain FROM cut JOIN p USING (gram) GROUP BY ALL),
+s AS (SELECT doc_id, v.lang, sum(gain) AS gain FROM w JOIN v USING (w) GROUP BY ALL),
+d AS (SELECT doc_id, arg_max(lang, (gain, lang)) AS detected FROM s GROUP BY 1)
+SELECT doc_id, lang, detected, length(coalesce(text, '')) < 8 OR detected IS NULL OR detected = 'en' AS passes
+FROM documents LEFT JOIN d USING (doc_id)"""
+
+
+@query("language_gate", LANGUAGE_SQL)
 def language_gate(t):
     profiles = cut_lineage(language.train_language_profiles(t.documents, "text", "lang"), "profiles")
     out = language.language_gate(t.documents, "doc_id", "text", profiles)
