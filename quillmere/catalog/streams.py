@@ -244,6 +244,26 @@ def page_stream(t):
 # ------------------------------------------------------------ other source formats, written and read back
 
 
+TREE = {"id": "doc_id", "g": "doc_id % 97", "line": "replace(replace(text, chr(10), ' '), chr(13), ' ')"}
+
+
+@query(
+    "project_tree",
+    f"""WITH {cte("d", "documents", TREE)}, f AS (SELECT g, string_agg(line, chr(10) ORDER BY id) || chr(10) AS body FROM d GROUP BY 1)
+SELECT g, strlen(body)::BIGINT AS length, md5(CASE WHEN strlen(body) > 50000 THEN printf('{io.OVERSIZED}', strlen(body)::VARCHAR) ELSE body END) AS content_md5 FROM f""",
+)
+def project_tree(t):
+    """Documents written as text files of a tree, some in a skipped folder; the tree read back."""
+    root = scratch_path(t.spark, "tree")
+    lines = derive(t.documents, TREE).repartition(8, "g").sortWithinPartitions("g", "id")
+    lines.select("g", "line").write.partitionBy("g").text(f"{root}/notes")
+    lines.filter("id % 5 = 0").select("line").write.text(f"{root}/notes/{io.SKIPPED_DIRS[0]}")
+    lines.filter("id % 7 = 0").select("line").write.csv(f"{root}/tables")
+    out = io.read_project_tree(t.spark, root)
+    g = F.regexp_extract("path", r"^notes/g=(\d+)/", 1)
+    return out.select(g.cast("bigint").alias("g"), F.col("length").cast("bigint").alias("length"), F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
 @query("json_arrays", "SELECT * FROM part")
 def json_arrays(t):
     """Files that hold one JSON array each, of at most a thousand keys."""

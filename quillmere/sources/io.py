@@ -223,39 +223,44 @@ def scan_ports(hosts: DataFrame) -> DataFrame:
     return hosts.select("ip", F.inline("ports"))
 
 
-def read_project_tree(spark: SparkSession, root: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """Knowledge files below ``root``; an oversized file becomes a marker."""
+def _tree(spark: SparkSession, root: str) -> tuple[DataFrame, Column, Column]:
+    """(files, path below ``root``, whether no folder on it is skipped), told by the listing alone.
+
+    Conditions on a file's metadata are settled before any file is opened, so what they
+    leave out is never read.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").split(":")[-1].lstrip("/")
-    rel = F.regexp_replace("path", r"^[a-z]+:/*" + base.replace(".", r"\.") + "/", "")
-    parts = F.split(rel, "/")
-    folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
-    skipped = F.exists(folders, lambda d: d.isin(list(SKIPPED_DIRS)) | d.startswith("."))
-    name = F.element_at(parts, -1)
+    rel = F.regexp_replace("_metadata.file_path", r"^[a-z]+:/*" + base.replace(".", r"\.") + "/", "")
+    skipped = "|".join(d.replace(".", r"\.") for d in SKIPPED_DIRS)
+    return files, rel, ~rel.rlike(rf"(^|/)({skipped}|\.[^/]*)/")
+
+
+def read_project_tree(spark: SparkSession, root: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """Knowledge files below ``root``; an oversized file becomes a marker and is not read."""
+    files, rel, open_folders = _tree(spark, root)
+    name = F.col("_metadata.file_name")
     wanted = name.isin(list(KNOWLEDGE_FILES))
     for ending in KNOWLEDGE_ENDINGS:
         wanted = wanted | name.endswith(ending)
-    listed = files.select(rel.alias("path"), name.alias("file"), "length", "content", skipped.alias("s"), wanted.alias("w"))
-    text = F.when(
-        F.col("length") > max_bytes,
-        F.format_string(OVERSIZED, F.col("length").cast("string")),
-    ).otherwise(F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit("")))
-    return listed.filter(F.col("w") & ~F.col("s")).select("path", "file", "length", text.alias("content"))
+    size = F.col("_metadata.file_size")
+    listed = files.filter(wanted & open_folders)
+    columns = [rel.alias("path"), name.alias("file"), size.alias("length")]
+    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
+    small = listed.filter(size <= max_bytes).select(*columns, text.alias("content"))
+    large = listed.filter(size > max_bytes).select(*columns, F.format_string(OVERSIZED, size.cast("string")).alias("content"))
+    return small.unionByName(large)
 
 
 def project_listing(spark: SparkSession, root: str) -> DataFrame:
-    """(category, project, subproject, file, language, is_knowledge) for roll-ups."""
+    """(category, project, subproject, file, language, is_knowledge) for roll-ups; no file is read."""
     from ..operators.rollup import code_language
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    base = root.rstrip("/").split(":")[-1].lstrip("/")
-    rel = F.regexp_replace("path", r"^[a-z]+:/*" + base.replace(".", r"\.") + "/", "")
-    parts = F.split(rel, "/")
-    folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
-    hidden = F.exists(folders, lambda d: d.isin(list(SKIPPED_DIRS)) | d.startswith("."))
+    files, rel, open_folders = _tree(spark, root)
     return (
-        files.select(parts.alias("parts"), hidden.alias("hidden"))
-        .filter(~F.col("hidden") & (F.size("parts") >= 3))
+        files.filter(open_folders)
+        .select(F.split(rel, "/").alias("parts"))
+        .filter(F.size("parts") >= 3)
         .select(
             F.col("parts")[0].alias("category"),
             F.col("parts")[1].alias("project"),

@@ -1,6 +1,8 @@
 import json
 import zipfile
 
+import pytest
+
 from quillmere import schemas
 from quillmere.operators.rollup import project_rollup
 from quillmere.sources import io
@@ -95,3 +97,21 @@ def test_jdbc_round_trip(spark, tmp_path):
 def test_schemas_parse(spark):
     for name in ("RAW_TOOL", "KNOWLEDGE", "SCAN", "TRAINING_HISTORY", "SETTINGS", "ACTIVITY", "PAGE_SNAPSHOT"):
         assert io.empty(spark, getattr(schemas, name)).count() == 0
+
+
+def test_left_out_files_are_never_opened(spark, tmp_path):
+    """A file longer than the reader may read fails when it is opened; skipped, unwanted and oversized ones are not."""
+    skipped = io.SKIPPED_DIRS[0]
+    for name, size in {"a/notes.md": 40, f"{skipped}/b.md": 900, f"a/{skipped}/c/d.md": 900, "a/data.bin": 900, "a/.git/e.md": 900, "big.txt": 800}.items():
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("x" * size)
+    key = "spark.sql.sources.binaryFile.maxLength"
+    spark.conf.set(key, "100")
+    try:
+        got = {r["path"]: (r["length"], r["content"]) for r in io.read_project_tree(spark, str(tmp_path), 500).collect()}
+        with pytest.raises(Exception, match="maxLength|BINARY_FILE|exceeds"):
+            spark.read.format("binaryFile").load(f"{tmp_path}/a/data.bin").select("content").collect()
+    finally:
+        spark.conf.unset(key)
+    assert got == {"a/notes.md": (40, "x" * 40), "big.txt": (800, io.OVERSIZED % 800)}
