@@ -80,10 +80,37 @@ def stream_dedup(t):
     return drain(t, out, "dedup").select("user_id", "event_type")
 
 
-@query("stream_ttl_cache", "SELECT count(*) AS n, count(DISTINCT user_id) AS keys FROM events")
+# A fold along each key: a row is served from what was kept, or keeps its own value.
+TTL_SQL = """WITH RECURSIVE e AS MATERIALIZED (SELECT user_id::VARCHAR AS key, event_id AS seq, ts, props AS value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+w AS (SELECT key, i, seq, ts AS at, value, FALSE AS hit FROM e WHERE i = 1
+ UNION ALL SELECT e.key, e.i, e.seq, CASE WHEN x.hit THEN w.at ELSE e.ts END, CASE WHEN x.hit THEN w.value ELSE e.value END, x.hit
+ FROM w JOIN e ON e.key = w.key AND e.i = w.i + 1, LATERAL (SELECT e.ts - w.at <= INTERVAL 5 DAY AS hit) x)
+SELECT key, seq, value, hit FROM w"""
+
+
+@query("stream_ttl_cache", TTL_SQL)
 def stream_ttl_cache(t):
-    out = drain(t, state.ttl_cache(source(t, "events"), "user_id", "props", "ts", "event_id", 86_400), "cache")
-    return out.agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"))
+    """Keys come back after five days or sooner, so some are served and some have expired."""
+    return drain(t, state.ttl_cache(source(t, "events"), "user_id", "props", "ts", "event_id", 5 * 86_400), "cache")
+
+
+LRU = {"cache": "event_type", "key": "user_id % 40", "value": "props", "ts": "ts", "seq": "event_id"}
+
+
+@query(
+    "stream_lru_cache",
+    f"""WITH RECURSIVE {cte("d", "events", LRU)},
+o AS (SELECT cache, key::VARCHAR AS key, value, ts, seq, row_number() OVER (PARTITION BY cache ORDER BY ts, seq) AS pos, row_number() OVER (PARTITION BY cache, key ORDER BY ts, seq) AS i FROM d),
+r AS MATERIALIZED (SELECT *, lag(pos) OVER (PARTITION BY cache, key ORDER BY i) AS before FROM o),
+e AS MATERIALIZED (SELECT *, (SELECT count(DISTINCT b.key) FROM r b WHERE b.cache = a.cache AND b.pos > a.before AND b.pos < a.pos) < 16 AS present FROM r a),
+w AS (SELECT cache, key, i, seq, ts AS at, value, FALSE AS hit FROM e WHERE i = 1
+ UNION ALL SELECT e.cache, e.key, e.i, e.seq, CASE WHEN x.hit THEN w.at ELSE e.ts END, CASE WHEN x.hit THEN w.value ELSE e.value END, x.hit
+ FROM w JOIN e ON e.cache = w.cache AND e.key = w.key AND e.i = w.i + 1, LATERAL (SELECT e.present AND e.ts - w.at < INTERVAL 6 HOUR AS hit) x)
+SELECT cache, key, seq, value, hit FROM w""",
+)
+def stream_lru_cache(t):
+    """Forty keys compete for the sixteen places of each cache for six hours at most."""
+    return drain(t, state.lru_cache(derive(source(t, "events"), LRU), "cache", "key", "value", "ts", "seq", 16, 6 * 3600), "lru")
 
 
 @query(

@@ -173,3 +173,61 @@ def ttl_cache(stream: DataFrame, key: str, value: str, ts: str, seq: str, ttl_se
         outputMode="append",
         timeMode="ProcessingTime" if forget else "none",
     )
+
+
+class _LruCache(StatefulProcessor):
+    """At most ``size`` values by key, least recently used out first, each valid for a time to live."""
+
+    def __init__(self, size: int, ttl_ms: int) -> None:
+        self.size, self.ttl_ms = size, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        # ``used`` orders the entries by their last use.
+        self.entries = handle.getMapState("entries", "key string", "value string, at timestamp, used bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
+        stored = {k[0]: tuple(v) for k, v in self.entries.iterator()}
+        # Never more than ``size`` entries; a dict keeps the order of use.
+        held = {k: (v[0], pd.Timestamp(v[1])) for k, v in sorted(stored.items(), key=lambda x: x[1][2])}
+        used = max((v[2] for v in stored.values()), default=0)
+        life, out = pd.Timedelta(milliseconds=self.ttl_ms), []
+        for name, seq, ts, value in zip(pdf["key"], pdf["seq"], pdf["ts"], pdf["value"], strict=True):
+            entry = held.pop(name, None)
+            hit = entry is not None and ts - entry[1] < life
+            held[name] = entry if hit else (value, ts)
+            if len(held) > self.size:
+                del held[next(iter(held))]
+            out.append((key[0], name, seq, held[name][0], hit))
+        for name in stored.keys() - held.keys():
+            self.entries.removeKey((name,))
+        for place, (name, (value, at)) in enumerate(held.items(), used + 1):
+            self.entries.updateValue((name,), (value, at.to_pydatetime(), place))
+        yield pd.DataFrame(out, columns=["cache", "key", "seq", "value", "hit"])
+
+    def close(self) -> None:
+        pass
+
+
+def lru_cache(
+    stream: DataFrame, cache: str, key: str, value: str, ts: str, seq: str, size: int = 128, ttl_seconds: int = 300
+) -> DataFrame:
+    """(cache, key, seq, value, hit): each request served from its cache, or with its own value, which is then kept.
+
+    A value is valid for ``ttl_seconds`` after it was fetched; using it does not renew it, but makes it the
+    most recent.  A full cache gives up the entry that was used least recently, expired or not.  Ages are
+    told by the rows' own times, in their order.  State is one map of at most ``size`` entries a cache.
+    """
+    rows = stream.select(
+        F.col(cache).cast("string").alias("cache"),
+        F.col(key).cast("string").alias("key"),
+        F.col(seq).cast("bigint").alias("seq"),
+        F.col(ts).cast("timestamp_ntz").alias("ts"),
+        F.col(value).cast("string").alias("value"),
+    )
+    return rows.groupBy("cache").transformWithStateInPandas(
+        statefulProcessor=_LruCache(size, ttl_seconds * 1000),
+        outputStructType="cache string, key string, seq bigint, value string, hit boolean",
+        outputMode="append",
+        timeMode="none",
+    )
