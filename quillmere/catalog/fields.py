@@ -139,7 +139,12 @@ def table_health(t):
     return quality.table_health(tables, EXPECTED_COLUMNS)
 
 
-@query("table_schema")
+@query(
+    "table_schema",
+    """SELECT 'documents' AS table_name, (row_number() OVER ())::INTEGER AS ordinal, column_name,
+ CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' ELSE lower(column_type) END AS column_type,
+ (SELECT least(10, count(*)) FROM documents) AS sampled_rows FROM (DESCRIBE documents)""",
+)
 def table_schema(t):
     df = t.documents
     sample = quality.table_sample(df, 10).agg(F.count("*")).scalar()

