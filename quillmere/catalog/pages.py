@@ -181,12 +181,29 @@ def enrichers(t):
     return r.enrich(t.pages).select("page_id", "n_chars", "section", failed.alias("failed"))
 
 
-@query("typed_extractors")
+# What the pages have, and behind it accounts, videos and places of every sort, some of them wrong.
+TYPED_TEXT = {
+    "page_id": "page_id",
+    "url": "url",
+    "html": """concat(html, '<p><a href="https://twitter.com/acct', page_id, '">t</a> <a href="https://www.GitHub.com/org', page_id % 7, '/repo?x=1">g</a>',
+ ' <a href="https://github.com/">home</a> https://youtu.be/vid', page_id, '</p><meta name="geo.position" content="', page_id % 200 - 90, '.5; ', page_id % 360 - 180, '.25">',
+ '<meta name="ICBM" content="nowhere"><meta name="description" content="1,2">')""",
+}
+VIDEO_RE = r"(https?://(?:www\.)?(?:youtube\.com/watch\?v=|youtu\.be/)([\w-]+))"
+TYPED_SQL = f"""WITH {cte("d", "pages", TYPED_TEXT)},
+h AS (SELECT page_id, url, list_transform(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda x: CASE WHEN x LIKE '/%' THEN split_part(url, ':', 1) || '://' || split_part(url, '/', 3) ELSE '' END || replace(x, '&amp;', '&')) AS links,
+ regexp_extract_all(html, '{VIDEO_RE}', 1) AS va, regexp_extract_all(html, '{VIDEO_RE}', 2) AS vb FROM d),
+s AS (SELECT page_id, url, list_filter(links, lambda x: regexp_matches(lower(x), '^https?://(www\.)?(twitter|github)\.com/[^/?#]')) AS soc FROM h),
+r AS (SELECT page_id, url, 'link' AS kind, generate_subscripts(links, 1) - 1 AS position, unnest(links) AS value, NULL AS detail FROM h
+ UNION ALL SELECT page_id, url, 'social', generate_subscripts(soc, 1) - 1, unnest(soc), unnest(list_transform(soc, lambda x: regexp_extract(lower(x), '(twitter|github)\.com/', 1) || '/' || regexp_extract(x, '^[a-z]+://[^/]+/([^/?#]+)', 1))) FROM s
+ UNION ALL SELECT page_id, url, 'video', generate_subscripts(va, 1) - 1, unnest(va), unnest(vb) FROM h
+ UNION ALL SELECT page_id, url, 'geo', 0, (page_id % 200 - 90) || '.5,' || (page_id % 360 - 180) || '.25', 'geo.position' FROM pages WHERE abs(((page_id % 200 - 90) || '.5')::DOUBLE) <= 90 AND abs(((page_id % 360 - 180) || '.25')::DOUBLE) <= 180)
+SELECT page_id, url, kind, position::INTEGER AS position, value, detail FROM r"""
+
+
+@query("typed_extractors", TYPED_SQL)
 def typed_extractors(t):
+    """Links, accounts, videos and places of every page, out of one parse."""
     r = Registry()
-    r.register_extractor("videos", lambda df: p.extract_videos(df).select("page_id", F.col("video_url").alias("target")))
-    r.register_extractor(
-        "links",
-        lambda df: p.link_edges(df).join(df.select(F.col("url").alias("src"), "page_id"), "src").select("page_id", F.col("dst").alias("target")),
-    )
-    return r.extract_all(t.pages)
+    r.register_extractor("typed", p.typed_rows)
+    return r.extract_all(derive(t.pages, TYPED_TEXT))

@@ -13,6 +13,11 @@ from ..runtime import global_row_number
 POLICIES = ("overwrite", "keep_first", "keep_old_if_blank", "counter")
 
 
+def _has_map(kind) -> bool:
+    """Maps, also inside other types, cannot be hashed."""
+    return "map<" in kind.simpleString() or "variant" in kind.simpleString()
+
+
 def duplicate_flag(
     df: DataFrame, target: DataFrame, keys: Sequence[str], name: str = "dedup"
 ) -> DataFrame:
@@ -30,7 +35,9 @@ def duplicate_flag(
             .withColumn(f"__h{i}", F.lit(True))
         )
         # Null and blank keys match nothing; each such row gets a salt, so they do not pile up in one task.
-        salt = F.when(truthy(key, df.schema[key].dataType), F.lit(0)).otherwise(F.rand(i) * 1e9 + 1).cast("int")
+        # The salt is a hash of the row, so a task that is run again deals its rows as before.
+        row = F.pmod(F.xxhash64(*[c for c in df.columns if not _has_map(df.schema[c].dataType)]), F.lit(1_000_000_000)) + 1
+        salt = F.when(truthy(key, df.schema[key].dataType), F.lit(0)).otherwise(row).cast("int")
         df = (
             df.withColumn(f"__s{i}", salt)
             .join(seen.withColumn("__zero", F.lit(0)), (F.col(key) == F.col(f"__k{i}")) & (F.col(f"__s{i}") == F.col("__zero")), "left")

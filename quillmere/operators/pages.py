@@ -242,6 +242,58 @@ def extract_videos(df: DataFrame, content: str = "html", keep: tuple[str, ...] =
     )
 
 
+# Hosts of accounts, without "www.", and their platforms.
+SOCIAL_HOSTS = {
+    "twitter.com": "twitter", "x.com": "twitter", "facebook.com": "facebook", "linkedin.com": "linkedin", "github.com": "github",
+    "gitlab.com": "gitlab", "instagram.com": "instagram", "reddit.com": "reddit", "mastodon.social": "mastodon", "t.me": "telegram",
+}
+GEO_NAMES = ("geo.position", "icbm")  # fixed values: names of meta elements that hold a place
+
+
+def typed_rows(df: DataFrame, kinds: tuple[str, ...] = ("link", "social", "video", "geo")) -> DataFrame:
+    """(page_id, url, kind, position, value, detail) of everything typed in a page, from one parse.
+
+    link: an anchor's absolute address; social: the same of an account on a known platform, with
+    ``platform/account``; video: its address and id; geo: ``latitude,longitude`` of a meta element within
+    their ranges, with the element's name.  Positions count from 0 within a page and kind.
+    """
+    page = with_nodes(df)
+    item = lambda kind, value, detail: F.struct(F.lit(kind).alias("kind"), value.alias("value"), detail.alias("detail"))
+    none = F.lit(None).cast("string")
+    anchors = F.filter(elements(F.col("nodes"), "a"), lambda a: attr(a, "href").isNotNull())
+    links = F.transform(anchors, lambda a: join_url(F.col("url"), attr(a, "href")))
+
+    host = lambda u: F.regexp_replace(F.lower(F.regexp_extract(u, r"^[a-zA-Z]+://([^/?#:]+)", 1)), r"^www\.", "")
+    account = lambda u: F.regexp_extract(u, r"^[a-zA-Z]+://[^/?#]+/([^/?#]+)", 1)
+    platforms = F.create_map(*[F.lit(x) for pair in SOCIAL_HOSTS.items() for x in pair])
+    accounts = F.filter(links, lambda u: F.try_element_at(platforms, host(u)).isNotNull() & (account(u) != ""))
+    socials = F.transform(
+        accounts, lambda u: item("social", u, F.concat(F.try_element_at(platforms, host(u)), F.lit("/"), account(u)))
+    )
+    pattern = F.lit(f"(?U){VIDEO_PATTERN}")
+    seen = F.arrays_zip(
+        F.regexp_extract_all("html", pattern, 1).alias("a"), F.regexp_extract_all("html", pattern, 2).alias("b")
+    )
+    videos = F.transform(seen, lambda v: item("video", v["a"], v["b"]))
+    metas = F.transform(
+        F.filter(elements(F.col("nodes"), "meta"), lambda m: F.lower(F.coalesce(attr(m, "name"), F.lit(""))).isin(list(GEO_NAMES))),
+        lambda m: F.struct(
+            F.split(F.coalesce(attr(m, "content"), F.lit("")), r"\s*[;,]\s*").alias("at"), F.lower(attr(m, "name")).alias("name")
+        ),
+    )
+    number = lambda m, i: F.trim(F.get(m["at"], F.lit(i))).try_cast("double")
+    within = lambda x, most: F.coalesce(F.abs(x) <= most, F.lit(False))
+    places = F.filter(metas, lambda m: (F.size(m["at"]) == 2) & within(number(m, 0), 90) & within(number(m, 1), 180))
+    geo = F.transform(
+        places, lambda m: item("geo", F.array_join(F.transform(m["at"], lambda x: F.trim(x)), ","), m["name"])
+    )
+    found = {"link": F.transform(links, lambda u: item("link", u, none)), "social": socials, "video": videos, "geo": geo}
+    numbered = [
+        F.transform(found[k], lambda x, i: F.struct(x["kind"], i.alias("position"), x["value"], x["detail"])) for k in kinds
+    ]
+    return page.select("page_id", "url", F.inline(F.concat(*numbered)))
+
+
 def link_edges(df: DataFrame, only_followed: bool = True) -> DataFrame:
     """(src, dst) of every anchor, made absolute; by default only followed ones."""
     page = with_nodes(df)

@@ -87,9 +87,10 @@ class Registry:
         self.extractors[kind] = transform
 
     def extract_all(self, df: DataFrame) -> DataFrame:
-        """Rows of every registered kind, tagged with it."""
+        """Rows of every registered kind, tagged with it; an extractor of several kinds tags its own."""
         out = None
         for kind, transform in self.extractors.items():
-            rows = transform(df).withColumn("kind", F.lit(kind))
+            rows = transform(df)
+            rows = rows if "kind" in rows.columns else rows.withColumn("kind", F.lit(kind))
             out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
         return out
