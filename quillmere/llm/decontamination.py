@@ -184,7 +184,9 @@ def contaminations(
 
     Null texts count as empty and repeat nothing; items of fewer than five words are left
     out, as they are common phrases; repeated rows of documents are reported as often as
-    they come, repeated items once; null ids are kept; other columns are not read.
+    they come, repeated items once; of equal windows the first counts; a very long text is searched
+    whole, in its own row; null ids are kept; other columns are not read; an empty table of
+    documents or items gives no rows.
     """
     out = None
     for index in indexes(benchmark):

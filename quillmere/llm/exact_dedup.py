@@ -159,7 +159,8 @@ def exact_groups(docs: DataFrame, in_snapshot: Column | None = None, digest=sha2
     result is the same for any split.  ``digest`` maps a text to a string.
 
     Null texts equal empty ones.  Of equal texts the largest doc_id stays, null ids last; of
-    repeated rows with the same id and text exactly one is kept.  Other columns are not read.
+    repeated rows with the same id and text exactly one is kept.  A very long text is hashed whole and
+    moves once to its bucket.  Other columns are not read; an empty table gives no rows.
     """
     side = in_snapshot if in_snapshot is not None else F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
     source = docs.select(

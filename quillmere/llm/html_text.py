@@ -284,8 +284,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), a row for each page.
 
     A null page counts as empty and gives an empty text; broken markup is read as far as it
-    goes; repeated rows and null ids are kept as they come; other columns are not read; an
-    empty table gives no rows.
+    goes; a very long page is parsed whole, in its own row; of equal density sums the first
+    subtree in page order wins; repeated rows and null ids are kept as they come; other columns are not
+    read; an empty table gives no rows.
     """
     return pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), "url", _text(F.coalesce(F.col("html"), F.lit(""))).alias("text")

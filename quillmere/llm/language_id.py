@@ -215,8 +215,8 @@ def identify(docs: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFrame:
 
     ``und`` with score 0 where a text is null or has no letter; where no filter knows any
     n-gram, the commonest language with score 0.  Ties go to the first name.  Null languages
-    teach nothing; repeated rows get the same answer; other columns are not read; an empty
-    table gives no rows.
+    teach nothing; repeated rows get the same answer; a very long text is read whole, in its own
+    row; other columns are not read; an empty table gives no rows.
     """
     rows = documents(docs)
     return rows.select(

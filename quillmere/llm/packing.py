@@ -60,7 +60,8 @@ def pack(
     doc_id, start (ids of the document before the piece), length, ids (binary, little-endian
     unsigned 32-bit), doc_tokens, sequence_id, offset.  Sequences are full but for the last.
 
-    A null or empty text is its end id alone.  Repeated rows and null ids are packed as they
+    A null or empty text is its end id alone; a very long text is cut wherever windows end.  Documents keep
+    the order in which they are read, so there are no ties.  Repeated rows and null ids are packed as they
     come; other columns are not read; an empty table gives no rows.
     """
     kept = cut_lineage(encoded(docs, tokenizer, end_id), "packing")

@@ -260,7 +260,8 @@ def scored(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROW
 
     Null texts count as empty and are scored like any other; repeated rows get the same
     score; rows with a null id are never learned from as positives; other columns are not
-    read; ids whose labels disagree or are null are unlabelled; an empty table gives no rows.
+    read; ids whose labels disagree or are null are unlabelled; equal texts have equal scores; a
+    very long text is read whole, in its own row; an empty table gives no rows.
     """
     rows = figure_table(docs)
     model = fit(rows, labels, training_rows)

@@ -45,7 +45,8 @@ def length_histogram(docs: DataFrame, tokenizer: str | None = None) -> DataFrame
     tokens_at_least: suffix sums.  docs_at_most: prefix sum, which finds quantiles.
     truncated_tokens: all tokens left if every document were cut to this length.
 
-    A null text counts as empty, with length 0; repeated rows count as often as they
+    A null text counts as empty, with length 0; a very long text is encoded whole and is a length like
+    any other; documents of equal length share its row; repeated rows count as often as they
     come; ids and other columns are not read; an empty table gives no rows.
     """
     # Read twice below; a row for each length, so the written table is small.

@@ -134,7 +134,8 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, labelled: DataFrame
     a half; without both labels to learn from it is allow, with score 0.
 
     A null url, or one without ``://``, has an empty host and path and gets the model's
-    verdict; repeated rows get the same answer; other columns are not read.
+    verdict; a very long url is read whole, as one row; of equally long rules that fit the first
+    wins; repeated rows get the same answer; other columns are not read; an empty table gives no rows.
     """
     host, path = host_and_path(F.col("url"))
     parsed = pages.select(F.col("page_id").cast("bigint").alias("page_id"), host.alias("host"), path.alias("path"))
