@@ -190,7 +190,7 @@ TYPED_TEXT = {
  '<meta name="ICBM" content="nowhere"><meta name="description" content="1,2">')""",
 }
 VIDEO_RE = r"(https?://(?:www\.)?(?:youtube\.com/watch\?v=|youtu\.be/)([\w-]+))"
-TYPED_SQL = f"""WITH {cte("d", "pages", TYPED_TEXT)},
+TYPED_SQL = rf"""WITH {cte("d", "pages", TYPED_TEXT)},
 h AS (SELECT page_id, url, list_transform(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda x: CASE WHEN x LIKE '/%' THEN split_part(url, ':', 1) || '://' || split_part(url, '/', 3) ELSE '' END || replace(x, '&amp;', '&')) AS links,
  regexp_extract_all(html, '{VIDEO_RE}', 1) AS va, regexp_extract_all(html, '{VIDEO_RE}', 2) AS vb FROM d),
 s AS (SELECT page_id, url, list_filter(links, lambda x: regexp_matches(lower(x), '^https?://(www\.)?(twitter|github)\.com/[^/?#]')) AS soc FROM h),
