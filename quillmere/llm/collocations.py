@@ -248,7 +248,7 @@ def double_array(paths: list[bytes]):
     up, by = np.concatenate(up), np.concatenate(by)
     order = np.lexsort((by[1:], up[1:])) + 1
     parents, starts, counts = np.unique(up[order], return_index=True, return_counts=True)
-    base, free = np.zeros(total, np.int64), np.ones(2 * total + 2 * width + 1024, bool)
+    base, free = np.zeros(total, np.int64), np.ones(3 * total // 2 + width + 1024, bool)
     free[0] = False
     at = 1
     for p in np.argsort(-counts, kind="stable")[: int((counts > _MANY).sum())]:
@@ -381,6 +381,7 @@ def phrase_counts(docs: DataFrame, max_words: int = 3, min_count: int = 10) -> t
         sums = _states(blocks, shared).filter(F.col("a") >= min_count)
         sums.join(_paths(mine), "slot").select("path", "a").write.mode("append").parquet(counted)
         shared.destroy()
+        del trie, shared
     return words, spark.read.schema("path binary, a long").parquet(counted)
 
 
