@@ -258,7 +258,7 @@ def double_array(paths: list[bytes]):
         stride = reach
         while True:
             if at + reach + off[-1] >= free.size:
-                free = np.concatenate([free, np.ones(free.size, bool)])
+                free = np.concatenate([free, np.ones(at + reach + int(off[-1]) - free.size + (1 << 16), bool)])
             tries = at + np.flatnonzero(free[at : at + reach])
             fits = free[tries[:, None] + off].all(1)
             if fits.any():
@@ -274,8 +274,8 @@ def double_array(paths: list[bytes]):
         todo = np.flatnonzero(counts == c)
         own = by[order[starts[todo][:, None] + np.arange(c)]]
         while todo.size:
-            if free.sum() < 2 * c * todo.size:
-                free = np.concatenate([free, np.ones(free.size, bool)])
+            if free.mean() < 0.4 or free.sum() < 1.2 * c * todo.size:
+                free = np.concatenate([free, np.ones(free.size // 2, bool)])
             spots = random.integers(0, free.size - width, todo.size)[:, None] + own
             fit = np.flatnonzero(free[spots].all(1))
             first = np.unique(spots[fit], return_index=True)[1]
