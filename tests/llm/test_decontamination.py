@@ -75,6 +75,49 @@ def test_long_items_and_shards(spark, monkeypatch, items):
     assert [(r.doc_id, r.item_id) for r in d.contaminations(docs, bench).collect()] == [(1, 777)]
 
 
+def test_a_long_item_does_not_loosen_short_ones(spark, items):
+    rng = random.Random(8)
+    short = (900, " ".join(f"s{k}" for k in range(20)) + ". " + " ".join(f"t{k}" for k in range(6)) + ".")
+    thin = [" ".join(x for w in words(short[1]) for x in (w, text_of(rng, 25, 9000))) for _ in range(6)]
+    docs = spark.createDataFrame([*enumerate(thin), (50, text_of(rng, 90, 9000) + " " + short[1])], "doc_id long, text string")
+    for more in ([], [(901, text_of(rng, 900, 4000))]):
+        bench = spark.createDataFrame([*items, short, *more], "item_id long, text string")
+        assert [(r.doc_id, r.item_id) for r in d.contaminations(docs, bench).collect()] == [(50, 900)]
+
+
+def test_shards_change_no_answer(spark, monkeypatch, items):
+    rng = random.Random(9)
+    rows = []
+    for i in range(60):
+        flat = words(items[i][1])
+        kept = [w for w in flat if rng.random() > i / 150]  # from whole copies to thinned ones
+        rows.append((i, text_of(rng, rng.randrange(0, 80), 5000) + " " + " ".join(kept) + " " + text_of(rng, 30, 5000)))
+    docs = spark.createDataFrame([*rows, (60, "say zig zag now")], "doc_id long, text string")
+    bench = spark.createDataFrame([*items, (700, "Zig, zag!"), (701, "zag zig")], "item_id long, text string")
+    whole = sorted(map(tuple, d.contaminations(docs, bench).collect()))
+    monkeypatch.setattr(d, "SHARD", 9)
+    dealt = sorted(map(tuple, d.contaminations(docs, bench).collect()))
+    assert [x[:2] for x in dealt] == [x[:2] for x in whole] and 10 < len(whole) < 61
+    assert [x[2:] for x in dealt] == [pytest.approx(x[2:]) for x in whole]
+
+
+def test_short_items_come_back_word_by_word(spark):
+    rng = random.Random(10)
+    short = [(i, " ".join(f"w{rng.randrange(5)}" for _ in range(rng.randrange(1, 5)))) for i in range(40)] + [(40, "w1 ... ?!"), (41, "?!")]
+    texts = [(i, " ".join(f"w{rng.randrange(9)}" for _ in range(rng.randrange(0, 12)))) for i in range(50)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    want = set()
+    for i, t in texts:
+        for k, s in short:
+            flat, item = words(t), words(s)
+            at = [p for p in range(len(flat)) if item and flat[p : p + len(item)] == item]
+            want |= {(i, k, at[0])} if at else set()
+    bench = spark.createDataFrame(short, "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.at) for r in d.contaminations(docs, bench).collect()} == want
+    clean = {r.doc_id for r in d.drop_contaminated(docs, bench).collect()}
+    assert clean == {i for i, _ in texts} - {i for i, _, _ in want}
+
+
 def test_empty(spark, items):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
