@@ -277,6 +277,22 @@ def _named(spans: Column) -> Column:
     )
 
 
+def apart(spans: Column) -> Column:
+    """Spans by start, kind and stop, each that begins before the last one kept has ended left out."""
+    by_start = F.array_sort(
+        F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), s.alias("whole")))
+    )
+    none = F.slice(by_start, 1, 0)
+    kept = F.aggregate(
+        by_start,
+        none,
+        lambda done, s: F.when(
+            (F.size(done) == 0) | (s["start"] >= F.try_element_at(done, F.lit(-1))["stop"]), F.concat(done, F.array(s))
+        ).otherwise(done),
+    )
+    return F.transform(kept, lambda s: s["whole"])
+
+
 def find_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, spans), spans an array of struct(kind, strict, start, stop) of base and added spans.
 
@@ -292,11 +308,8 @@ def find_spans(docs: DataFrame) -> DataFrame:
     )
     if model is None:
         return found.select("doc_id", slim(base).alias("spans"))
-    more = F.array_sort(slim(F.filter("spans", lambda s: ~s["strict"] & (s["votes"][SHAPE] >= 0) & _accepted(s, model))))
-    apart = F.filter(
-        more, lambda s: ~F.exists(more, lambda o: (o["start"] < s["stop"]) & (s["start"] < o["stop"]) & ((o["start"] < s["start"]) | ((o["start"] == s["start"]) & (o["kind"] < s["kind"]))))
-    )
-    return found.select("doc_id", F.concat(slim(base), apart).alias("spans"))
+    more = slim(F.filter("spans", lambda s: ~s["strict"] & (s["votes"][SHAPE] >= 0) & _accepted(s, model)))
+    return found.select("doc_id", F.concat(slim(base), apart(more)).alias("spans"))
 
 
 def _is(kind: int):

@@ -1,9 +1,11 @@
 """Page text against what was put into the page, and personal data against the patterns themselves."""
 
 import hashlib
+import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillmere.llm import html_text, pii
 
@@ -109,6 +111,25 @@ def test_spans_equal_the_patterns(spark):
     assert pii.digests(docs.limit(0)).count() == 0
 
 
+def test_added_spans_in_chains(spark):
+    rng = random.Random(3)
+    rows = [(0, [(0, 5, 1), (4, 9, 1), (8, 12, 1)]), (1, []), (2, [(3, 9, 2), (3, 6, 1), (6, 8, 0), (3, 6, 1)])]
+    for i in range(3, 60):
+        starts = [rng.randrange(40) for _ in range(rng.randrange(12))]
+        rows.append((i, [(a, a + rng.randrange(1, 8), rng.randrange(4)) for a in starts]))
+    want = {}
+    for i, spans in rows:
+        kept = []
+        for a, k, z in sorted((a, k, z) for a, z, k in spans):
+            if not kept or a >= kept[-1][1]:
+                kept.append((a, z, k))
+        want[i] = kept
+    assert want[0] == [(0, 5, 1), (8, 12, 1)]
+    df = spark.createDataFrame(rows, "id int, s array<struct<start:int,stop:int,kind:int>>")
+    got = {r.id: [tuple(x) for x in r.s] for r in df.select("id", pii.apart(F.col("s")).alias("s")).collect()}
+    assert got == want
+
+
 def test_em_finds_the_reliable_labeler():
     # Labeler 2 is right nine times in ten, labeler 3 votes by chance.
     patterns = [(0, (0, 0, 1, 1, 0), 450), (0, (0, 0, 1, -1, 0), 450), (0, (0, 1, 1, 0, 1), 500), (0, (0, -1, -1, 1, -1), 500), (0, (0, -1, -1, -1, 0), 500)]
