@@ -14,7 +14,7 @@ BASE = "/root/testdata/sf0.001"
 
 def test_every_operator_is_registered_once():
     names = entry.queries()
-    assert sorted(int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))) == list(range(1, 11))
+    assert sorted(int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))) == list(range(1, 14))
     assert "pipeline" in names and set(ORACLES) <= set(QUERIES) <= set(names)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "exact_dedup", "near_dedup", "decontamination", "packing"]
 
