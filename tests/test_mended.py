@@ -2,11 +2,13 @@
 
 from urllib.parse import urljoin
 
+import duckdb
 from pyspark.sql import functions as F
 
+from quillmere.catalog import ORACLES
 from quillmere.functions import fields, urls
 from quillmere.functions.html import with_nodes
-from quillmere.operators import filters, graph, merge
+from quillmere.operators import filters, graph, merge, pages
 from quillmere.streaming import state
 
 
@@ -32,6 +34,18 @@ def test_broken_markup_keeps_what_came_before(spark):
     assert got[1].startswith("one") and got[2] == "x"
 
 
+def test_references_without_their_semicolon_are_read_alike(spark):
+    titles = ["a &amp", "b &lt &gt; &quot", "c &amp;lt;", "d &#x27 &#x27;", "plain"]
+    rows = [(i, f"http://h/{i}", f"<title>{x}</title><p>{x}</p>") for i, x in enumerate(titles)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    got = sorted(map(tuple, pages.extract_page(df).select("page_id", "url", "title").collect()))
+    assert got == sorted(con.execute(ORACLES["extract_page"]).fetchall())
+    assert [r[2] for r in got] == ["a &", 'b < > "', "c &lt;", "d ' '", "plain"]
+
+
 def test_links_join_like_the_standard_says(spark):
     base = ["http://a/b/c/d", "http://a/b/c/", "http://a", "http://a/b/c/d?q=1#f"]
     href = ["../d", "./d", "../../../x", "..", ".", "../", "g/../h", "g/./h?y=/../z", "/x/../y", "x", "//h/./p", "a/b/../../c", "?q", "#f", "", "http://o/a/../b"]
