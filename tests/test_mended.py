@@ -3,10 +3,11 @@
 from urllib.parse import urljoin
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillmere.catalog import ORACLES
-from quillmere.functions import fields, urls
+from quillmere.functions import fields, html, urls
 from quillmere.functions.html import with_nodes
 from quillmere.operators import filters, graph, merge, pages
 from quillmere.streaming import state
@@ -34,6 +35,12 @@ def test_broken_markup_keeps_what_came_before(spark):
     assert got[1].startswith("one") and got[2] == "x"
 
 
+def test_parsed_pages_leave_in_small_pieces():
+    text = "<p>" + "word " * 20_000 + "</p>"
+    sizes = [len(out) for out in html._parsed(iter([pa.array([text, None] * 100)]))]
+    assert sum(sizes) == 200 and max(sizes) <= 2 * (html.PIECE // len(text) + 1)
+
+
 def test_references_without_their_semicolon_are_read_alike(spark):
     titles = ["a &amp", "b &lt &gt; &quot", "c &amp;lt;", "d &#x27 &#x27;", "plain"]
     rows = [(i, f"http://h/{i}", f"<title>{x}</title><p>{x}</p>") for i, x in enumerate(titles)]
