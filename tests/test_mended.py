@@ -123,3 +123,33 @@ def test_scope_deletes_what_was_written_inside(spark, tmp_path):
         assert cut_lineage(spark.range(5), "x").count() == 5
         assert os.listdir(root.removeprefix("file://"))
     assert not os.path.exists(root.removeprefix("file://"))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_small_side_goes_to_every_task(spark):
+    from quillmere.operators.dedup import hamming_pairs
+
+    values = spark.range(3000).select("id", (F.xxhash64("id") % 4096).alias("simhash"))
+    few = spark.range(40).select(F.col("id").alias("of"), (F.xxhash64("id", F.lit(1)) % 4096).alias("simhash"))
+    for a, b, ids in ((values, few, ("id", "of")), (few, values, ("of", "id"))):
+        got = hamming_pairs(a, b, *ids, max_dist=3)
+        assert "BroadcastNestedLoopJoin" in _plan(got)
+        assert sorted(got.collect()) == sorted(hamming_pairs(a, b, *ids, max_dist=3, blocks=5).collect()) != []
+
+
+def test_consistency_shuffles_no_text(spark):
+    from quillmere.catalog import QUERIES
+
+    plan = _plan(QUERIES["consistency"](spark, "/root/testdata/sf0.001"))
+    assert not [line for line in plan.splitlines() if "Aggregate(keys=" in line and "md5(" in line]
+    assert [line for line in plan.splitlines() if "Project" in line and "md5(" in line]
+
+
+def test_a_piece_that_all_values_share_brings_no_strangers_together(spark):
+    from quillmere.operators.fuzzy import candidates, similar_strings
+
+    df = spark.range(300).select(F.format_string("supplier#%09d", F.col("id") * 10_007).alias("v"))
+    assert candidates(*[df.withColumn("n", F.length("v"))] * 2, 0.92).count() < 3 * similar_strings(df, df, 0.92).count()
