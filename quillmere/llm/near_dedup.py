@@ -11,10 +11,11 @@ with its hub, the member whose other buckets are the fullest.  Two members that
 linked to the hub are similar only if they share runs that the hub lacks (or one of them is
 shorter than the hub by a few runs), so members are dealt anew by such runs, rarest first
 and under a prefix filter; a crowd that shares one gets a hub of its own, and what counts
-next are the runs that no hub so far has.  Every member goes on this way.  How often a crowd
+next are the runs that no hub so far has.  Every member goes on this way.  Members of which
+the hubs so far have 0.8 of the runs may be similar without sharing a run beyond them; those
+are compared pair by pair in blocks (``among_covered``), unless both are linked to the hub.  How often a crowd
 has a run is counted in a table of hashed slots; two runs in one slot only look more frequent,
-which may cost a row but loses none.  Neither all pairs of a crowd are listed nor is a
-crowd cut short.  A pair
+which may cost a row but loses none.  A crowd is not cut short.  A pair
 is a link when the longest common subsequence of the two run sequences, within the only
 band that can reach the threshold, is at least 0.8 of their union.
 """
@@ -35,6 +36,7 @@ SIMILARITY = 0.8
 SKETCHES = 24
 PER_BAND = 2
 SMALL = 8
+BLOCK = 128  # members of a crowd in one block of those compared pair by pair
 _COLUMNS = 1 << 16  # runs hashed at once
 _CHUNK = 16  # bits of a slot inside its part of the table of counts
 _SLOTS = 24  # bits of a slot at most; the table takes two bytes a slot
@@ -216,31 +218,76 @@ def judged(pairs: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def led_by_hubs(star: DataFrame, hubs: DataFrame, runs: DataFrame) -> DataFrame:
-    """(star, a, b, linked, outer, room) for (star, a) members and (star, b, rb, base) hubs."""
+    """(star, a, b, linked, outer, room, covered) for (star, a) members and (star, b, rb, base) hubs.
+
+    A member is covered if the base has so many of its runs that it may share none but those with a similar text.
+    """
 
     def judge(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            linked, more, room = [], [], []
+            linked, more, room, covered = [], [], [], []
             for x, y, base in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5)), strict=True):
                 x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                outer, k = beyond(x, np.frombuffer(base, np.uint32))
+                base = np.frombuffer(base, np.uint32)
+                outer, k = beyond(x, base)
+                covered.append(bool(np.isin(x, base).sum() >= SIMILARITY * x.size - 1e-9))
                 linked.append(aligned_similarity(x, y) > 0)
                 more.append(outer.tobytes())
                 room.append(k)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(linked, pa.bool_()), pa.array(more, pa.binary()), pa.array(room, pa.int64())],
-                ["star", "a", "b", "linked", "outer", "room"],
+                [
+                    *batch.columns[:3], pa.array(linked, pa.bool_()), pa.array(more, pa.binary()), pa.array(room, pa.int64()),
+                    pa.array(covered, pa.bool_()),
+                ],
+                ["star", "a", "b", "linked", "outer", "room", "covered"],
             )
 
     both = star.join(runs.select(F.col("node").alias("a"), F.col("runs").alias("ra")), "a").join(hubs, "star")
     return (
         both.filter("a <> b")
         .select("star", "a", "b", "ra", "rb", "base")
-        .mapInArrow(judge, "star long, a long, b long, linked boolean, outer binary, room long")
+        .mapInArrow(judge, "star long, a long, b long, linked boolean, outer binary, room long, covered boolean")
+    )
+
+
+def among_covered(led: DataFrame, runs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b) links between a covered member that the hub is not linked with and any other covered one of its star.
+
+    Such texts need not share a run beyond the base, so no prefix brings them together: the rest that
+    is compared pair by pair.  Members are cut into blocks; a task holds two blocks at a time, and
+    runs are shuffled once for each block that they meet, not for each pair.
+    """
+    members = led.filter("covered").select("star", F.col("a").alias("node"), "linked")
+    sizes = members.groupBy("star").agg(
+        F.ceil(F.count("*") / block).cast("int").alias("all_blocks"), F.ceil(F.count_if(~F.col("linked")) / block).cast("int").alias("open_blocks")
+    )
+    whole = members.join(sizes.filter("open_blocks > 0"), "star").join(runs, "node")
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    near = whole.filter("NOT linked").select(
+        "star", place("open_blocks").alias("i"), others("all_blocks").alias("j"), "node", "linked", "runs", F.lit(True).alias("near")
     )
+    far = whole.select(
+        "star", others("open_blocks").alias("i"), place("all_blocks").alias("j"), "node", "linked", "runs", F.lit(False).alias("near")
+    )
+
+    def compare(table):
+        import numpy as np
+        import pyarrow as pa
+
+        rows = [(r["node"], r["linked"], np.frombuffer(r["runs"], np.uint32), r["near"]) for r in table.to_pylist()]
+        found = [
+            (a, b)
+            for a, _, x, near in rows if near
+            for b, known, y, also in rows
+            if not also and a != b and (known or a < b) and aligned_similarity(x, y) > 0
+        ]
+        return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
+
+    return near.union(far).groupBy("star", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def _crowd_keys(star: int, runs):
@@ -410,6 +457,7 @@ def links(level: DataFrame, runs: DataFrame, small: int = SMALL) -> DataFrame:
         tables.append(found)
         last = led.filter("NOT linked").isEmpty()
         if not last:
+            tables.append(stored(among_covered(led, runs), "near-covered")[0])
             # Two slots a run, as far as the table may grow.
             total = led.agg(F.sum(F.length("outer"))).first()[0] // 4
             bits = min(_SLOTS, max(_CHUNK, total.bit_length() + 1))

@@ -6,6 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillmere.llm import near_dedup
 from quillmere.llm.words import hashed, words
@@ -159,6 +160,19 @@ def test_texts_that_hubs_cover(spark):
     assert got == classes(rows)
 
 
+def test_pairs_inside_the_hub_are_links(spark):
+    """Two texts of runs that a longer hub has all of share nothing beyond it, nor a bucket that is not crowded."""
+    rng = np.random.default_rng(3)
+    hub = rng.integers(0, 1 << 32, 400, np.uint32)
+    texts = [hub, *(rng.integers(0, 1 << 32, 100, np.uint32) for _ in range(9)), hub[:100], hub[:95], hub[200:290]]
+    level = [(i, 7, len(texts)) for i in range(len(texts))] + [(0, 8, 100)]
+    level = spark.createDataFrame(level, "node long, key long, n long").selectExpr("*", "false AS linked", "CAST(null AS bigint) AS parent")
+    runs = spark.createDataFrame([(i, bytearray(t.tobytes())) for i, t in enumerate(texts)], "node long, runs binary")
+    assert {tuple(sorted(r)) for r in near_dedup.links(level, runs).collect()} == {(10, 11)}
+    star = spark.createDataFrame([(1, i, i > 10) for i in range(10, 13)], "star long, a long, linked boolean").withColumn("covered", F.lit(True))
+    assert [tuple(sorted(r)) for r in near_dedup.among_covered(star, runs, 1).collect()] == [(10, 11)]
+
+
 def test_columns_with_names_of_ours(spark):
     rows = [(i, f"one two three four five six {i // 2}", "a", "b", "c", 1) for i in range(6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, __digest string, __id string, __sha string, sha int")
