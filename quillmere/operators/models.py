@@ -15,7 +15,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fields import truthy
-from ..runtime import global_row_number
+from ..runtime import cut_lineage, global_row_number
 
 PASS_THRESHOLD = 0.95
 # Reconstruction-error limit of the unfitted anomaly test, and the
@@ -94,7 +94,8 @@ def dense_codes(df: DataFrame, column: str, name: str) -> DataFrame:
     values = df.select(F.col(column)).distinct()
     coded = global_row_number(values, [F.col(column).asc_nulls_first()], name, 0)
     n = coded.agg(F.count("*")).scalar()
-    return coded.withColumn(f"n_{name}", n)
+    # Written out, so that joins see how small it is: few values of a large table would be few keys to sort by.
+    return cut_lineage(coded.withColumn(f"n_{name}", n), "codes")
 
 
 def port_features(df: DataFrame) -> DataFrame:

@@ -153,3 +153,11 @@ def test_a_piece_that_all_values_share_brings_no_strangers_together(spark):
 
     df = spark.range(300).select(F.format_string("supplier#%09d", F.col("id") * 10_007).alias("v"))
     assert candidates(*[df.withColumn("n", F.length("v"))] * 2, 0.92).count() < 3 * similar_strings(df, df, 0.92).count()
+
+
+def test_codes_of_few_values_are_broadcast(spark):
+    from quillmere.operators.models import port_features
+
+    rows = spark.range(200).selectExpr("CAST(id AS int) AS port", "'s' || id % 3 AS service", "'p' || id % 2 AS product", "'open' AS state", "'1' AS version")
+    plan = _plan(port_features(rows))
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
