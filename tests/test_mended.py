@@ -161,3 +161,28 @@ def test_codes_of_few_values_are_broadcast(spark):
     rows = spark.range(200).selectExpr("CAST(id AS int) AS port", "'s' || id % 3 AS service", "'p' || id % 2 AS product", "'open' AS state", "'1' AS version")
     plan = _plan(port_features(rows))
     assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
+
+
+def test_verdicts_in_rounds_that_are_halved_match_a_loop(spark):
+    import random
+
+    from quillmere.operators.dedup import band_masks, decided, nearest
+
+    rng, reach = random.Random(3), lambda x, y: ((x ^ y) & (1 << 64) - 1).bit_count()
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    base = [rng.getrandbits(64) for _ in range(6)]
+    points = {signed(rng.choice(base) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6)))) for _ in range(160)}
+    rows = list(enumerate(sorted(points, key=lambda x: x * 2654435761 % 97)))
+    want, kept = {}, []
+    for i, x in rows:
+        by = next(((j, reach(x, y)) for j, y in kept if reach(x, y) <= 6), (None, None))
+        want[i] = by
+        if by[0] is None:
+            kept.append((i, x))
+    got = decided(spark.createDataFrame(rows, "ord bigint, h bigint"), crowd=16, first=40, most=300).collect()
+    assert {r["ord"]: (r["by"], r["distance"]) for r in got} == want
+    stored = spark.createDataFrame([(f"e{j}", x) for j, x in rows[:80]], "of string, h bigint")
+    probes = spark.createDataFrame(rows[80:], "ord bigint, h bigint")
+    near = nearest(probes, stored, 6, band_masks(6, 7), 16, closest=True).collect()
+    best = {i: min((reach(x, y), f"e{j}") for j, y in rows[:80]) for i, x in rows[80:]}
+    assert {r["ord"]: (r["distance"], r["of"]) for r in near} == {i: b for i, b in best.items() if b[0] <= 6}
