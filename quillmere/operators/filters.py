@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fields import col, present, truthy
 from .dedup import near_dups
-from .merge import duplicate_flag, exact_match_flag
+from .merge import duplicate_flag, exact_match_flag, with_record_key
 
 # Relevance needs this many characters; each test is worth half.
 MIN_RELEVANT_LENGTH = 30
@@ -169,8 +169,11 @@ def filter_records(
         raise ValueError("mode is rules_only or strict")
     base = list(df.columns)
     out = apply_rules(df, rules, tables)
-    out = duplicate_flag(out, target, key_cols)
-    out = exact_match_flag(out, target).withColumn(
+    # What needs the text is told before the joins, so that the audit's joins do not move the text.
+    known = target.select(*[c for c in target.columns if c in out.columns])
+    out = with_record_key(out, known, name="__record").withColumn("relevance", relevance(text_col, keywords))
+    out = duplicate_flag(out, target, key_cols, row="__record")
+    out = exact_match_flag(out, known, key="__record").withColumn(
         "dedup", F.when(F.col("exact_match"), "duplicate").otherwise(F.col("dedup"))
     ).drop("exact_match")
     near = near_dups(df.filter(truthy(text_col)), id_col, text_col, order or id_col, index=index)
@@ -179,7 +182,6 @@ def filter_records(
         "fuzzy",
         F.when(F.col("near_dup_of").isNotNull(), "near-duplicate").otherwise("not-near-duplicate"),
     )
-    out = out.withColumn("relevance", relevance(text_col, keywords))
     stage = (
         F.when(F.col("result") == "filtered", F.col("reason"))
         .when(F.col("dedup") == "duplicate", "duplicate")

@@ -19,12 +19,13 @@ def _has_map(kind) -> bool:
 
 
 def duplicate_flag(
-    df: DataFrame, target: DataFrame, keys: Sequence[str], name: str = "dedup"
+    df: DataFrame, target: DataFrame, keys: Sequence[str], name: str = "dedup", row: str | None = None
 ) -> DataFrame:
     """``duplicate`` when any key value already exists in ``target``.
 
     Each lookup meets a side with one row per distinct key, so no row is ever
-    multiplied, however often a value repeats on either side.
+    multiplied, however often a value repeats on either side.  ``row`` names a column that tells rows apart,
+    so that the others need not be read here.
     """
     hit = F.lit(False)
     for i, key in enumerate(keys):
@@ -36,8 +37,9 @@ def duplicate_flag(
         )
         # Null and blank keys match nothing; each such row gets a salt, so they do not pile up in one task.
         # The salt is a hash of the row, so a task that is run again deals its rows as before.
-        row = F.pmod(F.xxhash64(*[c for c in df.columns if not _has_map(df.schema[c].dataType)]), F.lit(1_000_000_000)) + 1
-        salt = F.when(truthy(key, df.schema[key].dataType), F.lit(0)).otherwise(row).cast("int")
+        told = [row] if row else [c for c in df.columns if not _has_map(df.schema[c].dataType)]
+        alone = F.pmod(F.xxhash64(*told), F.lit(1_000_000_000)) + 1
+        salt = F.when(truthy(key, df.schema[key].dataType), F.lit(0)).otherwise(alone).cast("int")
         df = (
             df.withColumn(f"__s{i}", salt)
             .join(seen.withColumn("__zero", F.lit(0)), (F.col(key) == F.col(f"__k{i}")) & (F.col(f"__s{i}") == F.col("__zero")), "left")
@@ -58,26 +60,35 @@ def _record_digest(df: DataFrame, columns: Sequence[str], types: Mapping, null_s
     return F.when(whole, digest)
 
 
+def with_record_key(df: DataFrame, target: DataFrame, null_safe: bool = False, name: str = "__d") -> DataFrame:
+    """Adds the digest by which ``exact_match_flag`` finds a row of ``df`` in ``target``; null if they share no column."""
+    shared = sorted(set(df.columns) & set(target.columns))
+    if not shared:
+        return df.withColumn(name, F.lit(None).cast("string"))
+    types = {c: df.schema[c].dataType for c in shared}
+    # A row that cannot match gets a key of its own, so such rows do not pile up.
+    alone = F.concat(F.lit("!"), _record_digest(df, shared, types, True))
+    return df.withColumn(name, F.coalesce(_record_digest(df, shared, types, null_safe), alone))
+
+
 def exact_match_flag(
-    df: DataFrame, target: DataFrame, null_safe: bool = False, name: str = "exact_match"
+    df: DataFrame, target: DataFrame, null_safe: bool = False, name: str = "exact_match", key: str | None = None
 ) -> DataFrame:
     """Whole-record match on the columns both tables have.
 
-    Only a digest of the target crosses the network.
+    Only a digest of the target crosses the network.  ``key`` names a column of ``with_record_key``, which is
+    left out of the result; with it the record's own columns are not read here.
     """
     shared = sorted(set(df.columns) & set(target.columns))
     if not shared:
-        return df.withColumn(name, F.lit(False))
+        return df.withColumn(name, F.lit(False)).drop(*([key] if key else []))
     types = {c: df.schema[c].dataType for c in shared}
     seen = (
         target.select(_record_digest(target, shared, types, null_safe).alias("__t"))
         .filter(F.col("__t").isNotNull())
         .distinct()
     )
-    digest = _record_digest(df, shared, types, null_safe)
-    # A row that cannot match gets a key of its own, so such rows do not pile up.
-    alone = F.concat(F.lit("!"), _record_digest(df, shared, types, True))
-    probe = df.withColumn("__d", F.coalesce(digest, alone))
+    probe = df.withColumnRenamed(key, "__d") if key else with_record_key(df, target, null_safe)
     return (
         probe.join(seen, F.col("__d") == F.col("__t"), "left")
         .withColumn(name, F.col("__t").isNotNull())

@@ -186,3 +186,20 @@ def test_verdicts_in_rounds_that_are_halved_match_a_loop(spark):
     near = nearest(probes, stored, 6, band_masks(6, 7), 16, closest=True).collect()
     best = {i: min((reach(x, y), f"e{j}") for j, y in rows[:80]) for i, x in rows[80:]}
     assert {r["ord"]: (r["distance"], r["of"]) for r in near} == {i: b for i, b in best.items() if b[0] <= 6}
+
+
+def test_audit_of_filters_does_not_move_the_text(spark):
+    df = spark.createDataFrame([(i, f"text {i} " * 30, f"s{i % 3}") for i in range(40)], "id bigint, body string, source string")
+    stored = df.filter("source = 's1'").union(df.filter("source = 's2'").withColumn("id", F.col("id") + 1000))
+    _, _, audit = filters.filter_records(df, [], stored, id_col="id", text_col="body", key_cols=["id"], keywords=["the"])
+    got = {r["id"]: r["dedup"] for r in audit.collect()}
+    assert got == {i: "duplicate" if i % 3 == 1 else "unique" for i in range(40)}
+    joins, todo = 0, [audit._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Join":
+            joins += 1
+            assert all("body#" not in child.output().toString() for child in children)
+        todo += children
+    assert joins >= 3
