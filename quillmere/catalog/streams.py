@@ -139,19 +139,29 @@ def stream_upsert(t):
     return table.read()
 
 
+FILE_ROWS = 10_000  # rows of a file of a batch, at least
+
+
+def batch_files(rows) -> int:
+    """Files for each of four batches: one for so many rows, far more than there are tasks that deal them."""
+    return max(1, rows.count() // (4 * FILE_ROWS))
+
+
 @query("stream_near_dups", GREEDY_SQL)
 def stream_near_dups(t):
     """All documents in four batches by id, each against what the earlier ones stored: the one-pass answer."""
     root = scratch_path(t.spark, "near")
     rows = t.documents.select("doc_id", "text")
     cuts = rows.approxQuantile("doc_id", [0.25, 0.5, 0.75], 0.01)
+    # As many files in each batch, dealt in turn, so that none is empty: no task reads a batch alone.
+    files = batch_files(rows)
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         # A stream of files takes the oldest first; each batch is written after the one before.
         late = F.lit(True) if low is None else F.col("doc_id") > low
-        rows.filter(late & (F.lit(True) if high is None else F.col("doc_id") <= high)).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        rows.filter(late & (F.lit(True) if high is None else F.col("doc_id") <= high)).repartition(files).write.mode("append").parquet(f"{root}/in")
     index = NearIndex(t.spark, f"{root}/index")
     sink = sinks.near_dup_sink(index, f"{root}/out", "doc_id", "text", "doc_id")
-    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{root}/in")
     sinks.run_resumable(stream, f"{root}/checkpoint", each_batch=sink).awaitTermination()
     return t.spark.read.parquet(f"{root}/out").select("doc_id", "kept", "near_dup_of")
 

@@ -203,3 +203,13 @@ def test_audit_of_filters_does_not_move_the_text(spark):
             assert all("body#" not in child.output().toString() for child in children)
         todo += children
     assert joins >= 3
+
+
+def test_stream_batches_of_several_files_keep_their_order(spark, monkeypatch):
+    from quillmere.catalog import QUERIES, streams
+
+    monkeypatch.setattr(streams, "FILE_ROWS", 10)
+    base = "/root/testdata/sf0.001"
+    assert streams.batch_files(spark.read.parquet(f"{base}/documents.parquet")) > 1
+    got = QUERIES["stream_near_dups"](spark, base).collect()
+    assert sorted(got) == sorted(QUERIES["near_dups"](spark, base).select("doc_id", "kept", "near_dup_of").collect())
