@@ -20,6 +20,7 @@ from .tokens import WordIds, shared
 
 END_ID = 2
 SEQUENCE = 4096
+ROWS = 500  # documents whose ids leave Python together
 
 
 def encoded(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
@@ -31,7 +32,7 @@ def encoded(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID)
 
         ids_of, end = shared(WordIds, path), end_id.to_bytes(4, "little")
         part, pos = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             ids = [ids_of(text) + end for text in batch.column(1).to_pylist()]
             n = [len(x) // 4 for x in ids]
             starts = []

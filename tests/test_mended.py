@@ -213,3 +213,12 @@ def test_stream_batches_of_several_files_keep_their_order(spark, monkeypatch):
     assert streams.batch_files(spark.read.parquet(f"{base}/documents.parquet")) > 1
     got = QUERIES["stream_near_dups"](spark, base).collect()
     assert sorted(got) == sorted(QUERIES["near_dups"](spark, base).select("doc_id", "kept", "near_dup_of").collect())
+
+
+def test_packing_of_more_rows_than_leave_together(spark, monkeypatch):
+    from quillmere.llm import packing
+
+    monkeypatch.setattr(packing, "ROWS", 7)
+    docs = spark.range(100).selectExpr("id AS doc_id", "repeat('some words ', cast(id % 9 AS int)) AS text").coalesce(1)
+    rows = packing.encoded(docs).select("pos", "doc_tokens").orderBy("pos").collect()
+    assert len(rows) == 100 and all(a["pos"] + a["doc_tokens"] == b["pos"] for a, b in zip(rows, rows[1:]))
