@@ -41,6 +41,16 @@ def test_parsed_pages_leave_in_small_pieces():
     assert sum(sizes) == 200 and max(sizes) <= 2 * (html.PIECE // len(text) + 1)
 
 
+def test_pages_are_parsed_once_and_after_they_are_spread(spark, tmp_path):
+    text = "<h1> a <b> c</b></h1><div class='x tool-description'>d</div><pre> run </pre><code>-x</code>"
+    rows = [(1, "u", text), (2, "u", "<h1>no description</h1>"), (3, "u", "<div class='tool-description'>no name</div>"), (4, "u", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages")
+    out = pages.extract_tool_page(spark.read.parquet(f"{tmp_path}/pages"))
+    assert [tuple(r) for r in out.collect()] == [(1, "u", "ac", "d", ["run"], ["-x"])]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("Filter") < plan.index("ArrowEvalPython") < plan.index("Repartition")
+
+
 def test_references_without_their_semicolon_are_read_alike(spark):
     titles = ["a &amp", "b &lt &gt; &quot", "c &amp;lt;", "d &#x27 &#x27;", "plain"]
     rows = [(i, f"http://h/{i}", f"<title>{x}</title><p>{x}</p>") for i, x in enumerate(titles)]
