@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import (
-    IDF, PCA, CountVectorizer, PCAModel, RegexTokenizer, StandardScaler, StopWordsRemover, VectorAssembler,
+    IDF, PCA, CountVectorizerModel, PCAModel, RegexTokenizer, StandardScaler, StopWordsRemover, VectorAssembler,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -63,9 +63,11 @@ def with_probability(df: DataFrame, model: Transformer, name: str = "p") -> Data
 def text_label_index(df: DataFrame, label: str, order: str) -> DataFrame:
     """(label, label_index) numbered by first appearance."""
     firsts = df.groupBy(label).agg(F.min(order).alias("first_seen"))
-    return global_row_number(firsts, ["first_seen"], "label_index", 0).select(
+    numbered = global_row_number(firsts, ["first_seen"], "label_index", 0).select(
         label, F.col("label_index").cast("double").alias("label_index")
     )
+    # Written out like the codes below: texts are not dealt by their few labels.
+    return cut_lineage(numbered, "labels")
 
 
 def train_text_classifier(
@@ -74,19 +76,25 @@ def train_text_classifier(
     """TF-IDF over title and content, at least ten characters; (model, label table).
 
     ``vocabulary`` is the number of commonest terms that are features; rarer ones are not used.
+    Texts are cut into words once and counted once, both written; every pass of the fits reads the counts.
     """
     text = F.trim(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(content, F.lit(""))))
     rows = df.withColumn("text", text).filter((F.length("text") >= MIN_TEXT) & truthy(label))
     labels = text_label_index(rows, label, order)
-    stages = [
+    cut = [
         RegexTokenizer(inputCol="text", outputCol="words", pattern=r"(?U)\b\w\w+\b", gaps=False),
         StopWordsRemover(inputCol="words", outputCol="kept"),
-        CountVectorizer(inputCol="kept", outputCol="tf", vocabSize=vocabulary),
+    ]
+    words = cut_lineage(PipelineModel(cut).transform(rows.join(labels, label)).select("kept", "label_index"), "words")
+    counted = words.select(F.explode("kept").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    commonest = counted.orderBy(F.col("n").desc(), "w").limit(vocabulary)  # of equally common terms the first in order
+    counter = CountVectorizerModel.from_vocabulary([r["w"] for r in commonest.collect()], inputCol="kept", outputCol="tf")
+    counts = cut_lineage(counter.transform(words).select("tf", "label_index"), "counts")
+    fitted = Pipeline(stages=[
         IDF(inputCol="tf", outputCol="features"),
         LogisticRegression(featuresCol="features", labelCol="label_index", maxIter=max_iter),
-    ]
-    model = Pipeline(stages=stages).fit(rows.join(labels, label))
-    return model, labels
+    ]).fit(counts)
+    return PipelineModel([*cut, counter, *fitted.stages]), labels
 
 
 def dense_codes(df: DataFrame, column: str, name: str) -> DataFrame:

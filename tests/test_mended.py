@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillmere.catalog import ORACLES
 from quillmere.functions import fields, html, urls
 from quillmere.functions.html import with_nodes
-from quillmere.operators import filters, graph, merge, pages
+from quillmere.operators import filters, graph, merge, models, pages
 from quillmere.streaming import state
 
 
@@ -51,6 +51,20 @@ def test_pages_are_parsed_once_and_after_they_are_spread(spark, tmp_path):
     assert plan.count("ArrowEvalPython") == 1 and plan.index("Filter") < plan.index("ArrowEvalPython") < plan.index("Repartition")
 
 
+def test_texts_of_few_labels_are_cut_once_and_not_dealt_by_label(spark, monkeypatch):
+    kinds = ("alpha beta gamma", "delta beta epsilon", "zeta eta theta")
+    df = spark.createDataFrame([(i, "title", f"{kinds[i % 3]} word {i}", f"l{i % 3}") for i in range(60)], "id int, t string, c string, l string")
+    written = {}
+    cut = models.cut_lineage
+    monkeypatch.setattr(models, "cut_lineage", lambda d, label="stage": written.setdefault(label, []).append(d) or cut(d, label))
+    model, labels = models.train_text_classifier(df, "t", "c", "l", "id", max_iter=5)
+    assert sorted(map(tuple, labels.collect())) == [("l0", 0.0), ("l1", 1.0), ("l2", 2.0)]
+    words = written["words"][0]._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in words and "SortMergeJoin" not in words and len(written["words"]) == 1
+    scored = model.transform(df.withColumn("text", F.concat_ws(" ", "t", "c"))).join(labels, "l")
+    assert scored.filter("prediction <> label_index").count() == 0
+
+
 def test_references_without_their_semicolon_are_read_alike(spark):
     titles = ["a &amp", "b &lt &gt; &quot", "c &amp;lt;", "d &#x27 &#x27;", "plain"]
     rows = [(i, f"http://h/{i}", f"<title>{x}</title><p>{x}</p>") for i, x in enumerate(titles)]
