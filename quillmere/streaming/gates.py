@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from .groups import OrderedRows
+
 REASONS = ("allowed", "disallowed_by_robots", "crawl_delay")
 
 
@@ -44,24 +46,29 @@ def _micros(s: pd.Series) -> np.ndarray:
     return s.astype("datetime64[us]").astype("int64").to_numpy().astype(np.float64)
 
 
-def _verdict(pdf: pd.DataFrame, last: float) -> tuple[pd.DataFrame, float]:
-    pdf = pdf.sort_values(["ts", "seq"], kind="stable")
-    robots = pdf["robots_ok"].to_numpy()
-    allowed, until, last = _walk(
-        _micros(pdf["ts"]), robots, pdf["delay"].to_numpy() * 1e6, last
-    )
+def _gated(ordered: pd.DataFrame, last: float) -> tuple[np.ndarray, np.ndarray, float]:
+    return _walk(_micros(ordered["ts"]), ordered["robots_ok"].to_numpy(), ordered["delay"].to_numpy() * 1e6, last)
+
+
+def _told(pdf: pd.DataFrame, domain, allowed: np.ndarray, until: np.ndarray) -> pd.DataFrame:
+    """Rows in order with their verdicts in words."""
     late = ~np.isnan(until)
-    reason = np.where(late, REASONS[2], np.where(robots, REASONS[0], REASONS[1]))
+    reason = np.where(late, REASONS[2], np.where(pdf["robots_ok"].to_numpy(), REASONS[0], REASONS[1]))
     stamp = pd.Series(pd.NaT, index=pdf.index, dtype="datetime64[us]")
     if late.any():
         stamp[late] = pd.to_datetime(until[late].astype("int64"), unit="us")
-    out = pd.DataFrame(
+    return pd.DataFrame(
         {
-            "domain": pdf["domain"], "seq": pdf["seq"], "ts": pdf["ts"],
+            "domain": domain, "seq": pdf["seq"], "ts": pdf["ts"],
             "allowed": allowed, "reason": reason, "restricted_until": stamp,
         }
     )
-    return out, last
+
+
+def _verdict(pdf: pd.DataFrame, last: float) -> tuple[pd.DataFrame, float]:
+    pdf = pdf.sort_values(["ts", "seq"], kind="stable")
+    allowed, until, last = _gated(pdf, last)
+    return _told(pdf, pdf["domain"], allowed, until), last
 
 
 _OUT = (
@@ -89,12 +96,13 @@ class _Gate(StatefulProcessor):
         self.last = handle.getValueState("last_allowed", "us double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True)
+        ordered = OrderedRows(rows, ("robots_ok", "delay"))
         state = self.last.get()
-        out, last = _verdict(pdf, -np.inf if state is None else state[0])
+        allowed, until, last = _gated(ordered.numbers, -np.inf if state is None else state[0])
         if np.isfinite(last):
             self.last.update((last,))
-        yield out
+        for cut, piece in ordered.pieces():
+            yield _told(piece, key[0], allowed[cut], until[cut])
 
     def close(self) -> None:
         pass
