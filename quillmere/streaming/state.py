@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.fields import status_code
 from ..operators.crawl_queue import error_streaks
+from .groups import OrderedRows
 from .sinks import VersionedTable
 
 FEED_SIZE = 500
@@ -129,6 +130,11 @@ def dedup_within_batch(df: DataFrame, keys: list[str], ts: str, seq: str) -> Dat
     return first.select(*keys, "r.*").select(*df.columns)
 
 
+def _when(row: tuple) -> tuple:
+    """Order of (ts, seq, ...), nulls last."""
+    return tuple(x for v in row[:2] for x in (v is None, 0 if v is None else v))
+
+
 class _TtlCache(StatefulProcessor):
     """Last fetched value per key, forgotten after a time to live."""
 
@@ -139,17 +145,16 @@ class _TtlCache(StatefulProcessor):
         ttl = self.ttl_ms if self.forget else None
         self.value = handle.getValueState("value", "value string, at timestamp", ttl)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
-        held = self.value.get()
-        out = []
-        for r in pdf.itertuples(index=False):
-            hit = held is not None and (r.ts - pd.Timestamp(held[1])).total_seconds() * 1000 <= self.ttl_ms
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # Rows, not frames: keys are many and have few rows each, and a frame costs more than they do.
+        held, out = self.value.get(), []
+        for ts, seq, value in sorted(((r["ts"], r["seq"], r["value"]) for r in rows), key=_when):
+            hit = held is not None and None not in (ts, held[1]) and (ts - held[1]).total_seconds() * 1000 <= self.ttl_ms
             if not hit:
-                held = (r.value, r.ts.to_pydatetime())
-            out.append((key[0], r.seq, held[0], hit))
+                held = (value, ts)
+            out.append(Row(key=key[0], seq=seq, value=held[0], hit=hit))
         self.value.update(held)
-        yield pd.DataFrame(out, columns=["key", "seq", "value", "hit"])
+        yield from out
 
     def close(self) -> None:
         pass
@@ -167,7 +172,7 @@ def ttl_cache(stream: DataFrame, key: str, value: str, ts: str, seq: str, ttl_se
         F.col(ts).cast("timestamp_ntz").alias("ts"),
         F.col(value).cast("string").alias("value"),
     )
-    return rows.groupBy("key").transformWithStateInPandas(
+    return rows.groupBy("key").transformWithState(
         statefulProcessor=_TtlCache(ttl_seconds * 1000, forget),
         outputStructType="key string, seq bigint, value string, hit boolean",
         outputMode="append",
@@ -186,24 +191,26 @@ class _LruCache(StatefulProcessor):
         self.entries = handle.getMapState("entries", "key string", "value string, at timestamp, used bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
+        ordered = OrderedRows(rows, (), ("key", "value"))
         stored = {k[0]: tuple(v) for k, v in self.entries.iterator()}
         # Never more than ``size`` entries; a dict keeps the order of use.
         held = {k: (v[0], pd.Timestamp(v[1])) for k, v in sorted(stored.items(), key=lambda x: x[1][2])}
         used = max((v[2] for v in stored.values()), default=0)
-        life, out = pd.Timedelta(milliseconds=self.ttl_ms), []
-        for name, seq, ts, value in zip(pdf["key"], pdf["seq"], pdf["ts"], pdf["value"], strict=True):
-            entry = held.pop(name, None)
-            hit = entry is not None and ts - entry[1] < life
-            held[name] = entry if hit else (value, ts)
-            if len(held) > self.size:
-                del held[next(iter(held))]
-            out.append((key[0], name, seq, held[name][0], hit))
+        life = pd.Timedelta(milliseconds=self.ttl_ms)
+        for _, piece in ordered.pieces():
+            out = []
+            for name, seq, ts, value in zip(piece["key"], piece["seq"], piece["ts"], piece["value"], strict=True):
+                entry = held.pop(name, None)
+                hit = entry is not None and ts - entry[1] < life
+                held[name] = entry if hit else (value, ts)
+                if len(held) > self.size:
+                    del held[next(iter(held))]
+                out.append((key[0], name, seq, held[name][0], hit))
+            yield pd.DataFrame(out, columns=["cache", "key", "seq", "value", "hit"])
         for name in stored.keys() - held.keys():
             self.entries.removeKey((name,))
         for place, (name, (value, at)) in enumerate(held.items(), used + 1):
             self.entries.updateValue((name,), (value, at.to_pydatetime(), place))
-        yield pd.DataFrame(out, columns=["cache", "key", "seq", "value", "hit"])
 
     def close(self) -> None:
         pass
