@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 MIN_DETECTABLE = 8
@@ -15,6 +15,7 @@ GRAM = 3
 
 PROFILE_GRAMS = 1_000_000  # different grams of a profile that tasks hold: about 40 MB for four languages
 WORDS_HELD = 200_000  # words whose gains a task remembers
+ROWS_SCORED = 500  # rows whose words are scored together
 
 
 def _words(text: str) -> Column:
@@ -69,31 +70,37 @@ def detected_language(words: Column, profiles: DataFrame) -> Column:
         gains.setdefault(gram, [0.0] * len(langs))[langs.index(lang)] = weight - floor
     shared = profiles.sparkSession.sparkContext.broadcast((langs, gains))
 
-    @F.pandas_udf("string")
-    def detect(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def detect(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         langs, gains = shared.value
-        none = np.zeros(len(langs))
-        held: dict[str, np.ndarray] = {}
+        none = (0.0,) * len(langs)
+        held: dict[str, tuple[float, ...]] = {}
 
-        def gain(word: str) -> np.ndarray:
+        def gain(word: str) -> tuple[float, ...]:
             if word not in held:
                 if len(held) >= WORDS_HELD:
                     held.clear()
                 padded = f" {word} "
                 found = [gains[g] for i in range(len(word)) if (g := padded[i : i + GRAM]) in gains]
-                held[word] = np.sum(found, axis=0) if found else none
+                held[word] = tuple(map(sum, zip(*found, strict=True))) if found else none
             return held[word]
 
-        for batch in batches:
-            out = []
-            for listed in batch:
-                total = none.copy()
-                for word, n in Counter(listed if listed is not None else ()).items():
-                    total += n * gain(word)
-                # Of equal gains the last language in order wins; every known gram gains something.
-                out.append(langs[len(langs) - 1 - int(total[::-1].argmax())] if total.any() else None)
-            yield pd.Series(out, dtype=object)
+        def best(rows: pa.Array) -> pa.Array:
+            # Words meet their gains by code: different words are scored once, and no text becomes Python lists.
+            sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+            coded = rows.flatten().dictionary_encode()
+            if not len(coded) or not langs:
+                return pa.nulls(len(rows), pa.string())
+            table = np.array([gain(w) for w in coded.dictionary.to_pylist()])
+            codes, row = coded.indices.to_numpy(), np.repeat(np.arange(len(rows)), sizes)
+            total = np.stack([np.bincount(row, table[codes, i], len(rows)) for i in range(len(langs))], axis=1)
+            # Of equal gains the last language in order wins; every known gram gains something.
+            picked = len(langs) - 1 - total[:, ::-1].argmax(axis=1)
+            return pa.array(langs, pa.string()).take(pa.array(picked, mask=~total.any(axis=1)))
 
+        for batch in batches:
+            parts = [best(batch.slice(at, ROWS_SCORED)) for at in range(0, len(batch), ROWS_SCORED)]
+            yield pa.concat_arrays(parts) if parts else pa.nulls(0, pa.string())
     return detect(words)
 
 

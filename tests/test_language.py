@@ -32,3 +32,13 @@ def test_repeated_keys_keep_their_own_text(spark):
     assert {r["text"]: r["detected"] for r in got}["le les la"] == "fr" and len(got) == 2
     nothing = profiles.filter(F.lit(False))
     assert language.language_gate(df, "id", "text", nothing).filter("NOT passes").count() == 0
+
+
+def test_rows_scored_together_get_their_own_language(spark, monkeypatch):
+    monkeypatch.setattr(language, "ROWS_SCORED", 3)
+    rows = [(i, lang, text) for i, (_, lang, text) in enumerate(ROWS * 4)]
+    df = spark.createDataFrame(rows, "id long, lang string, text string").coalesce(1)
+    profiles = language.train_language_profiles(df.filter("lang IS NOT NULL"), "text", "lang")
+    got = {r["id"]: r["detected"] for r in language.language_gate(df, "id", "text", profiles).collect()}
+    want = {r["id"]: r["detected"] for r in language.detect_language(df, "id", "text", profiles).collect()}
+    assert got == {i: want.get(i) for i, _, _ in rows} and set(got.values()) == {"en", "fr", None}
