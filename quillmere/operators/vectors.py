@@ -38,6 +38,7 @@ PILLAR_NAMES = {
 WEIGHT_SIGMA, BIAS = 0.02, -0.01
 BROADCAST_LIMIT = 256 << 20  # bytes of float64 weights a task may hold whole
 BLOCK_BYTES = 16 << 20  # of a stored block of the dictionary
+LONG_BYTES = 4 << 20  # of the scores that leave a held dictionary together; their rows take some six times that
 SCORE_BYTES = 64 << 20  # of the scores of one slice of vectors against one block
 EXACT_TERMS = (1 << 24) // (127 * 127)  # products of int8 numbers whose sum is exact in float32, in any order
 
@@ -162,7 +163,7 @@ def _project(df: DataFrame, dictionary: DataFrame, vec: str, k: int | None, limi
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, w, b = shared.value
             for batch in batches:
-                step = max(1, (32 << 20) // (8 * max(1, len(ids))))
+                step = max(1, LONG_BYTES // (8 * max(1, len(ids))))
                 for start in range(0, batch.num_rows, step):
                     part = batch.slice(start, step)
                     s = _scores(_matrix(part.column(1)), w, b)

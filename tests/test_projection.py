@@ -79,3 +79,18 @@ def test_neither_side_is_shuffled(data):
     plan = v._streamed(vectors.withColumnRenamed("embedding", "v"), stored, 3)._jdf.queryExecution().executedPlan().toString()
     own = vectors._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == own.count("Exchange")
+
+
+def test_a_held_dictionary_gives_small_pieces(spark, monkeypatch):
+    df = spark.range(0, 40, 1, 1).selectExpr("id AS vec_id", "array(double(id), 1.0D) AS embedding")
+    features = spark.range(8).selectExpr("id AS feature_id", "array(1.0D, double(id)) AS weights", "0.5D AS bias")
+    make = v._long_batch
+
+    def small(vec_ids, ids, values):
+        assert values.size <= 16
+        return make(vec_ids, ids, values)
+
+    monkeypatch.setattr(v, "_long_batch", small)
+    monkeypatch.setattr(v, "LONG_BYTES", 8 * 16)
+    got = {(r.vec_id, r.feature_id): r.value for r in v.project(df, features).collect()}
+    assert got == {(i, k): i + k + 0.5 for i in range(40) for k in range(8)}
