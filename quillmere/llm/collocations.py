@@ -9,10 +9,12 @@ passed the level below, and only slots that reach ``min_count`` stay.  A slot ca
 fuller than a phrase in it, so no phrase that is frequent enough is lost (Apriori); the table
 has at most ``2 ** MAX_BITS`` slots whatever the corpus, packed to a bit each before it is sent.
 
-Counting: candidates are dealt by a hash into shards of about ``SHARD`` phrases.  A task builds
-each shard's double-array trie; the tries are broadcast one after another (their size is bounded
-by SHARD).  Tasks advance the states of all positions of a block at once, one word a
-level, and count the accepting states; the sums over tasks are the exact counts.  Keys that two
+Counting: the longest candidate from each position is a window; its first words are candidates too.
+Blocks fold equal windows and deal them by a hash of their first two words into shards of at most
+about ``SHARD`` positions.  A task builds the double-array trie of a shard's windows, advances the
+states of all of them at once, one word a level, and adds up how many positions come to each state:
+as all windows that begin with a phrase are in one shard, these sums are the exact counts.  Every
+position is read once and sent once at most, however many candidates there are.  Keys that two
 words share would mix counts, so the words are compared and the blocks made anew with another
 seed if that happens.
 """
@@ -24,12 +26,14 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..runtime import cut_lineage, scratch_path
+from .common import forget
 
-BLOCK = 1 << 18  # words of a block at most, but for the last text in it
+BLOCK = 1 << 20  # words of a block at most, but for the last text in it
 MAX_BITS = 26  # of a table that a task counts in, 64 MB, and of its packed bits, 8 MB
 CHUNK = 16  # bits of a slot inside its part of the table
 _MANY = 8  # children of a node beyond which it is placed alone
-SHARD = 250_000  # phrases of a trie, on average: about 10 MB
+SHARD = 1 << 20  # positions whose windows one trie counts at most, on average: about 24 MB
+GROUPS = 32  # parts of a language that are ranked apart before its whole
 _BREAKS = b".,;:!?\n\x0b\x0c\r"  # fixed values
 
 
@@ -78,7 +82,7 @@ def _blocks(docs: DataFrame, seed: int) -> DataFrame:
                 [
                     pa.array([e[0] for e in entries], pa.string()),
                     pa.array([e[1] for e in entries], pa.binary()),
-                    pa.array([raw[8 * k : 8 * k + 8] for k in range(1, keys.size)], pa.binary()),
+                    _fixed(keys[1:].astype("<u8"), 1),
                     pa.array(n, pa.int64()),
                 ],
                 ["lang", "word", "path", "n"],
@@ -110,6 +114,14 @@ def _blocks(docs: DataFrame, seed: int) -> DataFrame:
     )
 
 
+def _fixed(words, size: int):
+    """An Arrow array of byte strings of ``size`` words each."""
+    import pyarrow as pa
+
+    rows = pa.Array.from_buffers(pa.binary(8 * size), words.size // size, [None, pa.py_buffer(words.tobytes())])
+    return rows.cast(pa.binary())
+
+
 def _mixed(a, b):
     """Keys of phrases from the key of all words but the last and the key of the last."""
     import numpy as np
@@ -120,30 +132,40 @@ def _mixed(a, b):
     return h ^ h >> np.uint64(32)
 
 
+def _holds(bits, hashed):
+    """Whether the slots of hashed keys are set in a level's packed bits."""
+    import numpy as np
+
+    slot = hashed >> np.uint64(64 - (bits.size * 8).bit_length() + 1)
+    return (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
 def _climb(codes, keys, passed: list, upto: int):
     """Positions and hashed keys of the phrases of level ``upto`` whose parts pass the levels below.
 
-    ``passed`` holds for each level below the packed bits of its slots.
+    ``passed`` holds for each level the packed bits of its slots.  The third answer has for each
+    position the words of the longest phrase below ``upto`` that begins there and passes.
     """
     import numpy as np
 
-    first = keys[codes]
-    hashed, alive = _mixed(first, np.uint64(0)), codes > 0
+    longest, word = np.zeros(codes.size, np.int32), _mixed(keys, np.uint64(0))
+    at = np.flatnonzero(codes > 0)
+    hashed = word[codes[at]]
     for level, bits in enumerate(passed[: upto - 1], 1):
-        shift = np.uint64(64 - (bits.size * 8).bit_length() + 1)
-        at = np.flatnonzero(alive)
-        slot = hashed[at] >> shift
-        at = at[(bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
-        good = np.zeros(codes.size + 1, bool)
-        good[at] = True
-        alive = good[:-1] & good[1:]
-        at = np.flatnonzero(alive)
+        if level == 1:
+            good = _holds(bits, word)
+            good[0] = False
+            at = np.flatnonzero(good[codes])
+            hashed = word[codes[at]]
+        else:
+            good = _holds(bits, hashed)
+            at, hashed = at[good], hashed[good]
+        longest[at] = level
+        both = np.flatnonzero(at[1:] == at[:-1] + 1)
+        at = at[both]
         # Both parts stand, so the word at at + level is none of the breaks.
-        after = np.zeros(codes.size, np.uint64)
-        after[at] = _mixed(hashed[at], first[at + level])
-        hashed = after
-    at = np.flatnonzero(alive)
-    return at, hashed[at]
+        hashed = _mixed(hashed[both], keys[codes[at + level]])
+    return at, hashed, longest
 
 
 def _slots(blocks: DataFrame, passed: list, bits: int, least: int):
@@ -157,12 +179,18 @@ def _slots(blocks: DataFrame, passed: list, bits: int, least: int):
         import numpy as np
         import pyarrow as pa
 
-        counts = np.zeros(1 << bits, np.uint8)
+        counts = np.zeros(0, np.uint8)
         for batch in batches:
             for codes, keys in zip(batch.column(0), batch.column(1), strict=True):
                 codes, keys = np.frombuffer(codes.as_buffer(), "<i4"), np.frombuffer(keys.as_buffer(), "<u8")
-                _, hashed = _climb(codes, keys, below.value, level)
-                slot, n = np.unique(hashed >> np.uint64(64 - bits), return_counts=True)
+                if not counts.size:
+                    counts = np.zeros(1 << bits, np.uint8)
+                if level == 1:
+                    slot, of = np.unique(_mixed(keys[1:], np.uint64(0)) >> np.uint64(64 - bits), return_inverse=True)
+                    n = np.bincount(of, np.bincount(codes, minlength=keys.size)[1:]).astype(np.int64)
+                else:
+                    hashed = _climb(codes, keys, below.value, level)[1]
+                    slot, n = np.unique((hashed >> np.uint64(64 - bits)).astype(np.uint32), return_counts=True)
                 slot = slot.astype(np.int64)
                 counts[slot] = np.minimum(255, counts[slot] + n)
         for chunk, part in enumerate(counts.reshape(-1, 1 << CHUNK)):
@@ -189,8 +217,8 @@ def _slots(blocks: DataFrame, passed: list, bits: int, least: int):
     return out
 
 
-def _candidates(blocks: DataFrame, filters, max_words: int) -> DataFrame:
-    """(path) of each different phrase of 2 to ``max_words`` words that passes its level: eight bytes a word."""
+def _windows(blocks: DataFrame, filters, max_words: int, shards: int) -> DataFrame:
+    """(shard, words, n): the different windows of a block for a shard, their keys word by word (0: none), and how often each comes."""
 
     def emit(batches: Iterator) -> Iterator:
         import numpy as np
@@ -199,22 +227,35 @@ def _candidates(blocks: DataFrame, filters, max_words: int) -> DataFrame:
         for batch in batches:
             for codes, keys in zip(batch.column(0), batch.column(1), strict=True):
                 codes, keys = np.frombuffer(codes.as_buffer(), "<i4"), np.frombuffer(keys.as_buffer(), "<u8")
-                for level in range(2, max_words + 1):
-                    # The level's own slots are one more filter on where its phrases start.
-                    at, hashed = _climb(codes, keys, filters.value, level)
-                    bits = filters.value[level - 1]
-                    slot = hashed >> np.uint64(64 - (bits.size * 8).bit_length() + 1)
-                    at = at[(bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
-                    rank = codes[at].astype(np.int64)
-                    for k in range(1, level):
-                        _, one, rank = np.unique(rank * keys.size + codes[at + k], return_index=True, return_inverse=True)
-                    if at.size:
-                        paths = np.stack([keys[codes[at[one] + k]] for k in range(level)], 1).astype("<u8")
-                        raw, size = paths.tobytes(), 8 * level
-                        rows = pa.array([raw[i : i + size] for i in range(0, len(raw), size)], pa.binary())
-                        yield pa.RecordBatch.from_arrays([rows], ["path"])
-
-    return blocks.select("codes", "keys").mapInArrow(emit, "path binary").distinct()
+                size = _climb(codes, keys, filters.value, max_words + 1)[2]
+                at = np.flatnonzero(size > 1)
+                if not at.size:
+                    continue
+                # Code 0 has key 0.
+                word = lambda at, k: np.where(size[at] > k, codes[np.minimum(at + k, codes.size - 1)], 0)
+                rank, span = codes[at].astype(np.int64), keys.size
+                for k in range(1, max_words):
+                    if span * keys.size >= 1 << 63:
+                        rank = np.unique(rank, return_inverse=True)[1]
+                        span = at.size
+                    rank, span = rank * keys.size + word(at, k), span * keys.size
+                _, one, n = np.unique(rank, return_index=True, return_counts=True)
+                words = np.stack([keys[word(at[one], k)] for k in range(max_words)])
+                shard = (_mixed(_mixed(words[0], np.uint64(1)), words[1]) % np.uint64(shards)).astype(np.int64)
+                order = np.argsort(shard, kind="stable")
+                shard, words, n = shard[order], words[:, order].astype("<u8"), n[order].astype("<u4")
+                edges = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), shard.size]
+                parts = list(zip(edges, edges[1:], strict=False))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(shard[edges[:-1]]),
+                        pa.array([words[:, i:j].tobytes() for i, j in parts], pa.binary()),
+                        pa.array([n[i:j].tobytes() for i, j in parts], pa.binary()),
+                    ],
+                    ["shard", "words", "n"],
+                )
+
+    return blocks.select("codes", "keys").mapInArrow(emit, "shard long, words binary, n binary")
 
 
 def double_array(paths: list[bytes]):
@@ -228,7 +269,15 @@ def double_array(paths: list[bytes]):
 
     sizes = np.asarray([len(p) // 8 for p in paths])
     depth = int(sizes.max())
-    grid = np.frombuffer(b"".join(p.ljust(8 * depth, b"\0") for p in paths), "<u8").reshape(-1, depth)
+    return _double_array(np.frombuffer(b"".join(p.ljust(8 * depth, b"\0") for p in paths), "<u8").reshape(-1, depth), sizes)
+
+
+def _double_array(grid, sizes):
+    """``double_array`` of phrases given as rows of keys, of which the first ``sizes`` count; equal rows are one phrase."""
+    import numpy as np
+
+    depth = int(sizes.max())
+    grid = grid[:, :depth]
     used = np.arange(depth) < sizes[:, None]
     words, inverse, times = np.unique(grid[used], return_inverse=True, return_counts=True)
     labels = np.empty(words.size, np.int64)
@@ -236,7 +285,7 @@ def double_array(paths: list[bytes]):
     by_place = np.zeros(grid.shape, np.int64)
     by_place[used] = labels[inverse]
     # Nodes by number, level by level; ``up`` and ``by`` are a node's parent and last label.
-    up, by, node = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], np.zeros(len(paths), np.int64)
+    up, by, node = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], np.zeros(len(grid), np.int64)
     total, width = 1, words.size + 1
     for k in range(depth):
         here = np.flatnonzero(sizes > k)
@@ -297,52 +346,35 @@ def double_array(paths: list[bytes]):
     return words, *(x.astype("<i4") for x in (labels, out, check, slot[node]))
 
 
-def _tries(candidates: DataFrame, shards: int) -> DataFrame:
-    """(shard, words, labels, base, check, accepts, paths), a row for each shard: its trie, and its phrases by accepting slot."""
-
-    def build(table):
-        import pyarrow as pa
-
-        paths = table["path"].to_pylist()
-        arrays = [pa.array([x.tobytes()], pa.binary()) for x in double_array(paths)]
-        return pa.table(
-            [table["shard"][:1], *arrays, pa.array([paths], pa.list_(pa.binary()))],
-            ["shard", "words", "labels", "base", "check", "accepts", "paths"],
-        )
-
-    dealt = candidates.withColumn("shard", F.pmod(F.xxhash64("path"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(
-        build, "shard long, words binary, labels binary, base binary, check binary, accepts binary, paths array<binary>"
-    )
+def _walked(windows: DataFrame, max_words: int, least: int) -> DataFrame:
+    """(path, a) of the phrases of two words or more that ``least`` positions or more of their shard's windows begin with."""
 
-
-def _states(blocks: DataFrame, shared) -> DataFrame:
-    """(slot, n): how often the walk of a broadcast trie from any position ends in the slot, summed over all blocks."""
-
-    def walk(batches: Iterator) -> Iterator:
+    def walk(table):
         import numpy as np
         import pyarrow as pa
 
-        kinds = ("<u8", "<i4", "<i4", "<i4")
-        words, labels, base, check = (np.frombuffer(c, kind) for c, kind in zip(shared.value, kinds, strict=True))
-        counts = np.zeros(check.size, np.int64)
-        for batch in batches:
-            for codes, keys in zip(batch.column(0), batch.column(1), strict=True):
-                codes, keys = np.frombuffer(codes.as_buffer(), "<i4"), np.frombuffer(keys.as_buffer(), "<u8")
-                place = np.minimum(np.searchsorted(words, keys), words.size - 1)
-                label = np.where(words[place] == keys, labels[place], 0)[codes]
-                at, state = np.arange(codes.size), np.zeros(codes.size, np.int64)
-                while at.size:
-                    to = base[state] + label[at]
-                    good = (label[at] > 0) & (to >= 0) & (to < check.size)
-                    good[good] = check[to[good]] == state[good]
-                    state, at = to[good], at[good] + 1
-                    counts += np.bincount(state, minlength=check.size)
-                    state, at = state[at < codes.size], at[at < codes.size]
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used])], ["slot", "n"])
-
-    return blocks.select("codes", "keys").mapInArrow(walk, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("a"))
+        parts = [np.frombuffer(w.as_buffer(), "<u8").reshape(max_words, -1) for w in table["words"]]
+        grid = np.ascontiguousarray(np.concatenate(parts, 1).T)
+        n = np.concatenate([np.frombuffer(c.as_buffer(), "<u4") for c in table["n"]])
+        sizes = (grid > 0).sum(1)
+        words, labels, base, check, _ = _double_array(grid, sizes)
+        at, state, paths, counts = np.arange(n.size), np.zeros(n.size, np.int64), [], []
+        for k in range(max_words):
+            here = sizes[at] > k
+            at, state = at[here], state[here]
+            to = base[state] + labels[np.searchsorted(words, grid[at, k])]
+            assert (check[to] == state).all()
+            state = to
+            if k:
+                # Sums of doubles are exact up to 2 ** 53.
+                sums = np.bincount(state, n[at])
+                often = np.flatnonzero(sums[state] >= least)
+                found, one = np.unique(state[often], return_index=True)
+                paths.append(_fixed(grid[at[often[one]], : k + 1], k + 1))
+                counts.append(pa.array(sums[found].astype(np.int64)))
+        return pa.table([pa.concat_arrays(paths), pa.concat_arrays(counts)], ["path", "a"])
+
+    return windows.groupBy("shard").applyInArrow(walk, "path binary, a long")
 
 
 def phrase_counts(docs: DataFrame, max_words: int = 3, min_count: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -351,11 +383,15 @@ def phrase_counts(docs: DataFrame, max_words: int = 3, min_count: int = 10) -> t
 
     spark = docs.sparkSession
     for seed in range(16):
-        blocks = cut_lineage(_blocks(docs, seed), "phrase-blocks")
+        at_blocks = scratch_path(spark, "phrase-blocks")
+        made = _blocks(docs, seed)
+        made.write.option("compression", "zstd").parquet(at_blocks)
+        blocks = spark.read.schema(made.schema).parquet(at_blocks)
         folded = blocks.select(F.inline("words")).groupBy("path", "lang", "word").agg(F.sum("n").alias("n"))
         words = cut_lineage(folded, "phrase-words")
         if words.groupBy("path").agg(F.count("*").alias("c")).filter("c > 1").isEmpty():
             break
+        forget(spark, at_blocks)
     else:
         raise RuntimeError("no seed tells all words apart")
     positions = words.agg(F.sum("n")).first()[0] or 0
@@ -364,40 +400,11 @@ def phrase_counts(docs: DataFrame, max_words: int = 3, min_count: int = 10) -> t
     for _ in range(max_words):
         passed.append(_slots(blocks, passed, bits, min_count))
     filters = spark.sparkContext.broadcast(passed)  # at most 2 ** MAX_BITS bits a level
-    found = cut_lineage(_candidates(blocks, filters, max_words), "phrase-candidates")
+    windows = _windows(blocks, filters, max_words, max(1, -(-positions // SHARD)))
+    phrases = cut_lineage(_walked(windows, max_words, min_count), "phrase-counts")
     filters.destroy()
-    total = found.count()
-    shards = -(-total // SHARD)
-    counted = scratch_path(spark, "phrase-counts")
-    none = spark.createDataFrame([], "path binary, a long")
-    none.write.parquet(counted)
-    tries = cut_lineage(_tries(found, max(1, shards)), "phrase-tries")
-    for shard in range(shards):
-        mine = tries.filter(F.col("shard") == shard)
-        trie = mine.select("words", "labels", "base", "check").first()
-        if trie is None:
-            continue
-        shared = spark.sparkContext.broadcast(tuple(bytes(c) for c in trie))  # bounded by SHARD
-        sums = _states(blocks, shared).filter(F.col("a") >= min_count)
-        sums.join(_paths(mine), "slot").select("path", "a").write.mode("append").parquet(counted)
-        shared.destroy()
-        del trie, shared
-    return words, spark.read.schema("path binary, a long").parquet(counted)
-
-
-def _paths(trie: DataFrame) -> DataFrame:
-    """(slot, path) of the phrases of a trie."""
-
-    def unfold(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            for accepts, paths in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                slots = np.frombuffer(accepts, "<i4").astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(slots), paths.values], ["slot", "path"])
-
-    return trie.select("accepts", "paths").mapInArrow(unfold, "slot long, path binary")
+    forget(spark, at_blocks)
+    return words, phrases
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
@@ -425,7 +432,7 @@ def collocations(
     """
     words, phrases = phrase_counts(docs, max_words, min_count)
     size = F.length("path") / 8
-    known = words.filter(F.col("n") >= min_count).select("path", F.col("n").alias("a")).unionByName(phrases)
+    known = words.filter(F.col("n") >= min_count).select("path", F.col("n").alias("a"), "lang").unionByName(phrases, allowMissingColumns=True)
     cuts = phrases.select("path", "a", F.explode(F.sequence(F.lit(1), (size - 1).cast("int"))).alias("k")).select(
         "path",
         "a",
@@ -433,11 +440,12 @@ def collocations(
         F.substring("path", F.lit(1), F.col("k") * 8).alias("first"),
         F.substring("path", F.col("k") * 8 + 1, F.length("path")).alias("rest"),
     )
-    parts = cuts.join(known.select(F.col("path").alias("first"), F.col("a").alias("l")), "first").join(
+    parts = cuts.join(known.select(F.col("path").alias("first"), F.col("a").alias("l"), "lang"), "first").join(
         known.select(F.col("path").alias("rest"), F.col("a").alias("r")), "rest"
     )
+    # The first part of one cut is a word, which has the language.
     scored = parts.withColumn("score", _score(F.col("a"), F.col("l"), F.col("r"))).groupBy("path", "a").agg(
-        F.min(F.struct("score", "k", "l", "r")).alias("m")
+        F.min(F.struct("score", "k", "l", "r")).alias("m"), F.max("lang").alias("lang")
     )
     # Where a phrase of L words has a part of w words: every start, w from 2 to L - 1.
     spans = F.flatten(
@@ -452,16 +460,19 @@ def collocations(
     alive = scored.join(inside, "path", "left").filter(
         F.col("whole").isNull() | (F.lit(100) * F.col("whole") < F.lit(contained_percent) * F.col("a"))
     )
+    # Only what ranks high enough among some of the rows of its language, ties included, is spelled.
+    rough = Window.partitionBy("lang", F.pmod(F.xxhash64("path"), F.lit(GROUPS))).orderBy(F.desc("m.score"), F.desc("a"))
+    high = cut_lineage(alive.drop("whole").withColumn("rank", F.rank().over(rough)).filter(F.col("rank") <= top).drop("rank"), "phrase-high")
     spelled = (
-        alive.select("path", F.explode(F.sequence(F.lit(0), (size - 1).cast("int"))).alias("i"))
+        high.select("path", F.explode(F.sequence(F.lit(0), (size - 1).cast("int"))).alias("i"))
         .withColumn("word_path", F.substring("path", F.col("i") * 8 + 1, F.lit(8)))
-        .join(words.select(F.col("path").alias("word_path"), "lang", "word"), "word_path")
-        .groupBy("path", "lang")
+        .join(words.select(F.col("path").alias("word_path"), "word"), "word_path")
+        .groupBy("path")
         .agg(F.array_sort(F.collect_list(F.struct("i", F.col("word").cast("string").alias("word")))).alias("w"))
-        .select("path", "lang", F.concat_ws(" ", "w.word").alias("phrase"))
+        .select("path", F.concat_ws(" ", "w.word").alias("phrase"))
     )
     sizes = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    rows = alive.join(spelled, "path").select("lang", "phrase", "a", "m.l", "m.r", "m.score").join(sizes, "lang")
+    rows = high.join(spelled, "path").select("lang", "phrase", "a", "m.l", "m.r", "m.score").join(sizes, "lang")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -100,3 +100,16 @@ def test_trie_takes_just_its_paths():
             if all(x in label for x in p):
                 assert (walk(p) is not None) == (p in prefixes)
     assert np.all(np.diff(words.astype(np.float64)) > 0)
+
+
+def test_jobs_do_not_grow_with_tries(spark, monkeypatch):
+    df = spark.createDataFrame(random_rows(5), SCHEMA).repartition(4)
+    jobs, answers = [], []
+    for shard in (1 << 20, 20):
+        monkeypatch.setattr(collocations, "SHARD", shard)
+        spark.sparkContext.setJobGroup(f"tries-{shard}", "")
+        answers.append(sorted(tuple(r) for r in collocations.phrase_counts(df, 3, 2)[1].collect()))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"tries-{shard}")))
+    assert answers[0] == answers[1] and len(answers[0]) > 200
+    # Adaptive plans may take a job more or less.
+    assert jobs[1] <= jobs[0] + 3
