@@ -183,7 +183,7 @@ UNION ALL SELECT id, FALSE, of FROM hit"""
 @query("near_dups_against_index", INDEXED_SQL)
 def near_dups_against_index(t):
     """Conversation turns against the fingerprints of all documents, then each other."""
-    index = dedup.simhash(t.documents, "doc_id", "text").select(
+    index = dedup.simhash(t.documents, "doc_id", "text", plain=True).select(
         F.col("doc_id").cast("string").alias("entity_id"), "simhash"
     )
     turns = t.conversations.select((F.col("conv_id") * 10000 + F.col("turn")).alias("id"), "text")
@@ -201,7 +201,7 @@ SELECT id, doc_id, distance, r::INTEGER AS place FROM m WHERE r <= 2""",
 def near_index_lookup(t):
     """Every benchmark item against a stored index of all documents: the two stored first within 14 bits."""
     index = NearIndex(t.spark, scratch_path(t.spark, "near-index"), max_dist=14, blocks=4)
-    docs = dedup.simhash(t.documents, "doc_id", "text")
+    docs = dedup.simhash(t.documents, "doc_id", "text", plain=True)
     index.add(docs.select(F.col("doc_id").alias("entity_id"), "simhash", F.col("doc_id").alias("place")), 0)
     items = dedup.fingerprints(t.benchmark, "item_id", "text", "item_id")
     near = index.lookup(items, 1).select(F.col("h").alias("simhash"), F.posexplode("near").alias("n", "e"))

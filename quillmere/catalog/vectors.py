@@ -49,7 +49,7 @@ SIMHASH_SQL = simhash_sql("documents", "doc_id", "")
     f"""WITH {SIMHASH_SQL} SELECT doc_id, CASE WHEN hi >= 2147483648 THEN (hi - 4294967296) * 4294967296 + lo ELSE hi * 4294967296 + lo END::BIGINT AS simhash FROM sh""",
 )
 def simhash(t):
-    return dedup.simhash(t.documents, "doc_id", "text")
+    return dedup.simhash(t.documents, "doc_id", "text", plain=True)
 
 
 GREEDY_SQL = f"""WITH RECURSIVE {SIMHASH_SQL},
@@ -74,8 +74,8 @@ SELECT doc_id, item_id, CAST(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.
  ON bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 12""",
 )
 def near_dups_of_benchmark(t):
-    docs = dedup.simhash(t.documents, "doc_id", "text")
-    items = dedup.simhash(t.benchmark, "item_id", "text")
+    docs = dedup.simhash(t.documents, "doc_id", "text", plain=True)
+    items = dedup.simhash(t.benchmark, "item_id", "text", plain=True)
     return dedup.hamming_pairs(docs, items, "doc_id", "item_id", max_dist=12)
 
 
