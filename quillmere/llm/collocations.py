@@ -1,8 +1,10 @@
 """Phrase collocations: exact phrase counts by double-array tries of Apriori-safe candidates.
 
-One pass reads the texts and writes *blocks* of up to ``BLOCK`` words: a code for each
-position (0 breaks a phrase), and for each code a 64-bit key of (lang, word), the word and how
-often the block has it.  Everything later reads blocks, so a word is hashed once a block.
+One pass reads the texts and writes *blocks* of up to ``BLOCK`` words: a row with a code for each
+position (0 breaks a phrase) and a 64-bit key of (lang, word) for each code, then a row for each
+code with its word and how often the block has it.  Everything later reads blocks, so a word is
+hashed once a block.  Rows of words lie between those of codes, so no batch that is read or group of rows
+that is written holds more than a few blocks, however many a task makes.
 
 Candidates, level by level: hashed slots count the phrases of a level whose first and last part
 passed the level below, and only slots that reach ``min_count`` stay.  A slot can only look
@@ -11,7 +13,7 @@ has at most ``2 ** MAX_BITS`` slots whatever the corpus, packed to a bit each be
 
 Counting: the longest candidate from each position is a window; its first words are candidates too.
 Blocks fold equal windows and deal them by a hash of their first two words into shards of at most
-about ``SHARD`` positions.  A task builds the double-array trie of a shard's windows, advances the
+about ``SHARD`` positions.  A task folds equal windows of all blocks as they come, builds the double-array trie of a shard's windows, advances the
 states of all of them at once, one word a level, and adds up how many positions come to each state:
 as all windows that begin with a phrase are in one shard, these sums are the exact counts.  Every
 position is read once and sent once at most, however many candidates there are.  Keys that two
@@ -22,8 +24,10 @@ seed if that happens.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..runtime import cut_lineage, scratch_path
 from .common import forget
@@ -31,6 +35,10 @@ from .common import forget
 BLOCK = 1 << 20  # words of a block at most, but for the last text in it
 MAX_BITS = 26  # of a table that a task counts in, 64 MB, and of its packed bits, 8 MB
 CHUNK = 16  # bits of a slot inside its part of the table
+WORDS = 1 << 15  # words of a block that leave Python together
+GROUP_BYTES = 16 << 20  # of blocks that are written, and read again, together
+FOLD = 1 << 17  # windows of a shard at least between one fold of them and the next
+ROWS = 4  # blocks, or rows that come of a block, which enter Python together
 _MANY = 8  # children of a node beyond which it is placed alone
 SHARD = 1 << 20  # positions whose windows one trie counts at most, on average: about 24 MB
 GROUPS = 32  # parts of a language that are ranked apart before its whole
@@ -38,11 +46,10 @@ _BREAKS = b".,;:!?\n\x0b\x0c\r"  # fixed values
 
 
 def _blocks(docs: DataFrame, seed: int) -> DataFrame:
-    """(codes, keys, words): int32 codes, uint64 keys by code, and (lang, word, path, n) of each code but 0."""
+    """A row of a block with its int32 codes and uint64 keys by code, then one (lang, word, path, n) of each code but 0."""
 
     def read(batches: Iterator) -> Iterator:
         import numpy as np
-        import pyarrow as pa
         import xxhash
 
         to = bytearray(range(256))
@@ -64,12 +71,13 @@ def _blocks(docs: DataFrame, seed: int) -> DataFrame:
                 self[word] = code = len(entries)
                 return code
 
+        names = ["codes", "keys", "lang", "word", "path", "n"]
         entries: list[tuple[str, bytes]] = []
         langs: dict[str, Codes] = {}
         parts: list = []
         size = 0
 
-        def block() -> pa.RecordBatch:
+        def block() -> Iterator:
             nonlocal size
             codes = np.concatenate(parts)
             n = np.bincount(codes, minlength=len(entries) + 1)[1:]
@@ -78,22 +86,19 @@ def _blocks(docs: DataFrame, seed: int) -> DataFrame:
                 tag = lang.encode()
                 keys[k] = xxhash.xxh3_64_intdigest(b"%d:%b%b" % (len(tag), tag, word), seed) or 1
             raw = keys.astype("<u8").tobytes()
-            words = pa.StructArray.from_arrays(
-                [
-                    pa.array([e[0] for e in entries], pa.string()),
-                    pa.array([e[1] for e in entries], pa.binary()),
-                    _fixed(keys[1:].astype("<u8"), 1),
-                    pa.array(n, pa.int64()),
-                ],
-                ["lang", "word", "path", "n"],
-            )
-            listed = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([codes.astype("<i4").tobytes()]), pa.array([raw]), listed], ["codes", "keys", "words"]
-            )
+            named = [
+                pa.array([e[0] for e in entries], pa.string()),
+                pa.array([e[1] for e in entries], pa.binary()),
+                _fixed(keys[1:].astype("<u8"), 1),
+                pa.array(n, pa.int64()),
+            ]
+            bare = [pa.nulls(1, x.type) for x in named]
+            yield pa.RecordBatch.from_arrays([pa.array([codes.astype("<i4").tobytes()]), pa.array([raw]), *bare], names)
+            for i in range(0, len(entries), WORDS):
+                some = [x[i : i + WORDS] for x in named]
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(len(some[0]), pa.binary())] * 2, *some], names)
             entries.clear(), langs.clear(), parts.clear()
             size = 0
-            return out
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -103,20 +108,30 @@ def _blocks(docs: DataFrame, seed: int) -> DataFrame:
                 parts += [codes[codes >= 0], np.zeros(1, np.int32)]
                 size += parts[-2].size
                 if size >= BLOCK:
-                    yield block()
+                    yield from block()
         if size:
-            yield block()
+            yield from block()
 
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")
-    words = "array<struct<lang:string,word:binary,path:binary,n:bigint>>"
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), text).mapInArrow(
-        read, f"codes binary, keys binary, words {words}"
+        read, "codes binary, keys binary, lang string, word binary, path binary, n bigint"
     )
 
 
+@contextmanager
+def _few_rows(spark: SparkSession) -> Iterator[None]:
+    """Rows of megabytes enter Python a few at a time, in what runs inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before), ROWS) if int(before) > 0 else ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _fixed(words, size: int):
     """An Arrow array of byte strings of ``size`` words each."""
-    import pyarrow as pa
 
     rows = pa.Array.from_buffers(pa.binary(8 * size), words.size // size, [None, pa.py_buffer(words.tobytes())])
     return rows.cast(pa.binary())
@@ -177,7 +192,6 @@ def _slots(blocks: DataFrame, passed: list, bits: int, least: int):
 
     def tally(batches: Iterator) -> Iterator:
         import numpy as np
-        import pyarrow as pa
 
         counts = np.zeros(0, np.uint8)
         for batch in batches:
@@ -201,7 +215,6 @@ def _slots(blocks: DataFrame, passed: list, bits: int, least: int):
 
     def add(table):
         import numpy as np
-        import pyarrow as pa
 
         total = np.zeros(1 << CHUNK, np.int64)
         for slots, counts in zip(table["slots"].to_pylist(), table["counts"].to_pylist(), strict=True):
@@ -222,7 +235,6 @@ def _windows(blocks: DataFrame, filters, max_words: int, shards: int) -> DataFra
 
     def emit(batches: Iterator) -> Iterator:
         import numpy as np
-        import pyarrow as pa
 
         for batch in batches:
             for codes, keys in zip(batch.column(0), batch.column(1), strict=True):
@@ -346,16 +358,36 @@ def _double_array(grid, sizes):
     return words, *(x.astype("<i4") for x in (labels, out, check, slot[node]))
 
 
+def _folded(parts: list):
+    """Equal windows of several (windows, times) as one, with the sum of their times."""
+    import numpy as np
+
+    grid, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.lexsort(grid.T)
+    grid, n = grid[order], n[order]
+    new = np.ones(n.size, bool)
+    new[1:] = (grid[1:] != grid[:-1]).any(1)
+    first = np.flatnonzero(new)
+    return grid[first], np.add.reduceat(n, first)
+
+
 def _walked(windows: DataFrame, max_words: int, least: int) -> DataFrame:
     """(path, a) of the phrases of two words or more that ``least`` positions or more of their shard's windows begin with."""
 
-    def walk(table):
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
-        import pyarrow as pa
 
-        parts = [np.frombuffer(w.as_buffer(), "<u8").reshape(max_words, -1) for w in table["words"]]
-        grid = np.ascontiguousarray(np.concatenate(parts, 1).T)
-        n = np.concatenate([np.frombuffer(c.as_buffer(), "<u4") for c in table["n"]])
+        grid, n = np.zeros((0, max_words), np.uint64), np.zeros(0, np.int64)
+        parts, held = [], 0
+        for batch in batches:
+            for keys, times in zip(batch["words"], batch["n"], strict=True):
+                parts.append((np.frombuffer(keys.as_buffer(), "<u8").reshape(max_words, -1).T, np.frombuffer(times.as_buffer(), "<u4")))
+                held += parts[-1][1].size
+            if held >= max(FOLD, n.size):
+                grid, n = _folded([(grid, n), *parts])
+                parts, held = [], 0
+        grid, n = _folded([(grid, n), *parts])
+        parts.clear()
         sizes = (grid > 0).sum(1)
         words, labels, base, check, _ = _double_array(grid, sizes)
         at, state, paths, counts = np.arange(n.size), np.zeros(n.size, np.int64), [], []
@@ -372,7 +404,7 @@ def _walked(windows: DataFrame, max_words: int, least: int) -> DataFrame:
                 found, one = np.unique(state[often], return_index=True)
                 paths.append(_fixed(grid[at[often[one]], : k + 1], k + 1))
                 counts.append(pa.array(sums[found].astype(np.int64)))
-        return pa.table([pa.concat_arrays(paths), pa.concat_arrays(counts)], ["path", "a"])
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays(paths), pa.concat_arrays(counts)], ["path", "a"])
 
     return windows.groupBy("shard").applyInArrow(walk, "path binary, a long")
 
@@ -385,9 +417,10 @@ def phrase_counts(docs: DataFrame, max_words: int = 3, min_count: int = 10) -> t
     for seed in range(16):
         at_blocks = scratch_path(spark, "phrase-blocks")
         made = _blocks(docs, seed)
-        made.write.option("compression", "zstd").parquet(at_blocks)
-        blocks = spark.read.schema(made.schema).parquet(at_blocks)
-        folded = blocks.select(F.inline("words")).groupBy("path", "lang", "word").agg(F.sum("n").alias("n"))
+        made.write.option("compression", "zstd").option("parquet.block.size", GROUP_BYTES).parquet(at_blocks)
+        rows = spark.read.schema(made.schema).parquet(at_blocks)
+        blocks = rows.filter("codes IS NOT NULL").select("codes", "keys")
+        folded = rows.filter("codes IS NULL").groupBy("path", "lang", "word").agg(F.sum("n").alias("n"))
         words = cut_lineage(folded, "phrase-words")
         if words.groupBy("path").agg(F.count("*").alias("c")).filter("c > 1").isEmpty():
             break
@@ -397,11 +430,12 @@ def phrase_counts(docs: DataFrame, max_words: int = 3, min_count: int = 10) -> t
     positions = words.agg(F.sum("n")).first()[0] or 0
     bits = min(MAX_BITS, max(CHUNK, int(positions).bit_length()))
     passed: list[np.ndarray] = []
-    for _ in range(max_words):
-        passed.append(_slots(blocks, passed, bits, min_count))
-    filters = spark.sparkContext.broadcast(passed)  # at most 2 ** MAX_BITS bits a level
-    windows = _windows(blocks, filters, max_words, max(1, -(-positions // SHARD)))
-    phrases = cut_lineage(_walked(windows, max_words, min_count), "phrase-counts")
+    with _few_rows(spark):
+        for _ in range(max_words):
+            passed.append(_slots(blocks, passed, bits, min_count))
+        filters = spark.sparkContext.broadcast(passed)  # at most 2 ** MAX_BITS bits a level
+        windows = _windows(blocks, filters, max_words, max(1, -(-positions // SHARD)))
+        phrases = cut_lineage(_walked(windows, max_words, min_count), "phrase-counts")
     filters.destroy()
     forget(spark, at_blocks)
     return words, phrases

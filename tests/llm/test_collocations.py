@@ -3,8 +3,10 @@
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from quillmere.llm import collocations
@@ -113,3 +115,43 @@ def test_jobs_do_not_grow_with_tries(spark, monkeypatch):
     assert answers[0] == answers[1] and len(answers[0]) > 200
     # Adaptive plans may take a job more or less.
     assert jobs[1] <= jobs[0] + 3
+
+
+def test_what_is_read_at_once_does_not_grow_with_the_blocks_of_a_task(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(collocations, "BLOCK", 1000)
+    monkeypatch.setattr(collocations, "forget", lambda spark, *paths: held.append((paths, spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rng = random.Random(2)
+    rows = [(i, "en", " ".join(f"w{rng.randrange(400)}" for _ in range(1000))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string").coalesce(1)
+    sizes = []
+    real = collocations._slots
+
+    def slots(blocks, passed, bits, least):
+        sent = blocks.mapInArrow(lambda batches: (b.slice(0, 1) for b in batches), blocks.schema).count()
+        sizes.append((blocks.count(), sent, spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))
+        return real(blocks, passed, bits, least)
+
+    monkeypatch.setattr(collocations, "_slots", slots)
+    words, phrases = collocations.phrase_counts(df, 2, 3)
+    assert sizes[0][0] == 150 and sizes[0][1] >= 150 / collocations.ROWS and sizes[0][2] == str(collocations.ROWS)
+    assert held[0][1] == before == spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # Rows of words lie between those of codes: no row holds more than its block, and rows are many.
+    tables = [pq.read_table(f) for f in Path(held[0][0][0].removeprefix("file:")).glob("*.parquet")]
+    for t in tables:
+        at = np.flatnonzero(np.asarray(t["codes"].is_valid()))
+        assert not at.size or np.all(np.diff(at) > 300)
+    assert sum(t["codes"].null_count for t in tables) == sum(t["word"].length() - t["word"].null_count for t in tables) > 150 * 300
+    assert words.count() == 400 and phrases.count() > 0
+
+
+def test_windows_are_folded_as_they_come(monkeypatch):
+    rng = np.random.default_rng(1)
+    parts = [(rng.integers(0, 4, (50, 3)).astype(np.uint64), rng.integers(1, 9, 50)) for _ in range(20)]
+    grid, n = collocations._folded(parts)
+    want = Counter()
+    for g, k in parts:
+        for row, c in zip(g.tolist(), k.tolist(), strict=True):
+            want[tuple(row)] += c
+    assert {tuple(r): int(c) for r, c in zip(grid.tolist(), n, strict=True)} == want and len(grid) == len(want) == 64
